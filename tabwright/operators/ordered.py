@@ -134,6 +134,21 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
     }).drop(bucket, *[f"_o_{o}" for o in sums])
 
 
+def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, bucket: str = "_bk") -> DataFrame:
+    """The next larger row's ``order`` value within the group (null for the last row).
+
+    Groups are cut into buckets of the order value; the last row of a bucket
+    takes the smallest value of the next non-empty bucket.
+    """
+    by = list(by)
+    marked = with_buckets(df, cut_points(df, [order])).withColumnRenamed(f"_b_{order}", bucket)
+    firsts = marked.groupBy(*by, bucket).agg(F.min(order).alias("_first"))
+    after = firsts.select(*by, bucket, F.lead("_first").over(W.partitionBy(*by).orderBy(bucket)).alias("_after"))
+    inside = W.partitionBy(*by, bucket).orderBy(order)
+    joined = null_safe_join(marked, after, [*by, bucket])
+    return joined.withColumn(out, F.coalesce(F.lead(order).over(inside), F.col("_after"))).drop(bucket, "_after")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on same-named keys where null matches null."""
     right = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
