@@ -339,7 +339,7 @@ def ngram_vocabulary(df: DataFrame, text: str, lo: int = 1, hi: int = 3, min_df:
     Each text is reduced to (gram, count) inside its own row before the explode,
     so one aggregate with map-side combine gives both frequencies.
     """
-    grams = F.array_sort(ngrams(words(F.col(text)), lo, hi))
+    grams = F.sort_array(ngrams(words(F.col(text)), lo, hi))
     firsts = (df.where(F.col(text).isNotNull()).select(grams.alias("g"))
               .select(F.explode(F.transform("g", lambda x, i: F.struct(
                   x.alias("gram"),

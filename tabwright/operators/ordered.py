@@ -111,27 +111,42 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs) -> dict[str, list[float
     return result
 
 
-def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str],
-            bucket: str = "_bk", cuts: list[float] | None = None) -> DataFrame:
-    """Sums over all rows of the group that come strictly earlier in ``order``.
+def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str] | None = None,
+            maxes: dict[str, str] | None = None, cuts: list[float] | None = None) -> DataFrame:
+    """Sums (0 if none) and maxima (null if none) over the group's rows strictly earlier in ``order``.
 
-    ``df`` has one row per (group, order value); ``sums`` maps output names to
-    columns. A bucket's own rows are summed in a window on (group, bucket) and
+    ``df`` has one row per (group, order value); the dicts map output names to
+    columns. A bucket's own rows are combined in a window on (group, bucket) and
     the totals of earlier buckets are added, so no window holds a whole group.
     """
-    by = list(by)
+    by, sums, maxes, bucket = list(by), dict(sums or {}), dict(maxes or {}), "_bk"
     if cuts is None:
         cuts = cut_points(df, [order])[order]
     marked = with_buckets(df, {order: cuts}).withColumnRenamed(f"_b_{order}", bucket)
-    totals = marked.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    totals = marked.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()],
+                                             *[F.max(c).alias(f"_t_{o}") for o, c in maxes.items()])
     earlier = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, bucket, *[
-        F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums])
+    offsets = totals.select(
+        *by, bucket, *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums],
+        *[F.max(f"_t_{o}").over(earlier).alias(f"_o_{o}") for o in maxes])
     inside = W.partitionBy(*by, bucket).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     out = null_safe_join(marked, offsets, [*by, bucket])
     return out.withColumns({
-        o: F.col(f"_o_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()
-    }).drop(bucket, *[f"_o_{o}" for o in sums])
+        **{o: F.col(f"_o_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()},
+        **{o: F.greatest(F.col(f"_o_{o}"), F.max(c).over(inside)) for o, c in maxes.items()},
+    }).drop(bucket, *[f"_o_{o}" for o in [*sums, *maxes]])
+
+
+def halo_blocks(df: DataFrame, by: Sequence[str], position: str, back: int, block_rows: int = 100_000) -> DataFrame:
+    """Cut ordered groups into blocks that also hold the ``back`` rows before them.
+
+    ``position`` counts rows from 0 inside the group. A window on (by..., _block)
+    then sees every frame of up to ``back`` preceding rows; drop rows with
+    ``_halo`` afterwards.
+    """
+    block = F.floor(F.col(position) / block_rows)
+    copies = F.when(F.col(position) % block_rows >= block_rows - back, F.array(block, block + 1)).otherwise(F.array(block))
+    return df.withColumn("_block", F.explode(copies)).withColumn("_halo", F.col("_block") != block)
 
 
 def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, bucket: str = "_bk") -> DataFrame:
