@@ -68,4 +68,8 @@ def prefix_sum(v: str | Column) -> Column:
 
 
 def literal_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Constant array<double>; a long one is parsed from text so that it folds into a single literal."""
+    values = [float(v) for v in values]
+    if len(values) <= 16:
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast("array<double>")

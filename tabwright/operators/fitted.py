@@ -50,3 +50,36 @@ def _unpack(x):
     if isinstance(x, list):
         return [_unpack(v) for v in x]
     return x
+
+
+@dataclasses.dataclass(frozen=True)
+class Chain(Fitted):
+    """Fitted steps in order."""
+
+    steps: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = step.transform(df)
+        return df
+
+
+@dataclasses.dataclass(frozen=True)
+class Copy(Fitted):
+    """Suffixed copies of columns, as doubles."""
+
+    cols: list
+    suffix: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c + self.suffix: df[c].cast("double") for c in self.cols})
+
+
+@dataclasses.dataclass(frozen=True)
+class Select(Fitted):
+    """Column choice and order."""
+
+    cols: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.cols)
