@@ -22,5 +22,14 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the given tables.
+
+    ``spread`` deals the rows of a table with fewer files than cores to all
+    cores, for work that is heavy per row; a table of many files stays as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df

@@ -159,12 +159,12 @@ GRAMS_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N
 
 @query("d13_ngram_vocabulary", f"WITH {GRAMS_SQL} SELECT gram, df, tf FROM v")
 def _(spark, sf):
-    return E.ngram_vocabulary(table(spark, sf, "documents"), "text")
+    return E.ngram_vocabulary(table(spark, sf, "documents", spread=True), "text")
 
 
 @query("d13_ngram_counts", f"WITH {GRAMS_SQL} SELECT doc_id, gram, count(*)::DOUBLE AS n FROM g JOIN v USING (gram) GROUP BY doc_id, gram")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     fitted = E.fit_ngrams(docs, "text")
     grams = F.array(*[F.lit(g) for g in fitted.vocabulary])
     counts = fitted.transform(docs).select("doc_id", F.posexplode("ngram_counts").alias("i", "n")).where("n > 0")

@@ -15,7 +15,7 @@ K = ", ".join(KEYS)
 
 
 def lines(spark, sf):
-    return table(spark, sf, "lineitem").select(*KEYS, *NUM)
+    return table(spark, sf, "lineitem", spread=True).select(*KEYS, *NUM)
 
 
 def out(df, cols=tuple(NUM), digits=6):
@@ -254,7 +254,7 @@ SHAPES = {"linenumber": "l_linenumber", "price": "l_extendedprice", "quartic": "
 
 
 def shaped(spark, sf):
-    return table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row"),
+    return table(spark, sf, "lineitem", spread=True).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row"),
                                                *[F.expr(f"cast({x} as double)").alias(c) for c, x in SHAPES.items()])
 
 

@@ -158,7 +158,11 @@ class OneHot(Fitted):
     keep: bool = False
 
     def names(self) -> list[str]:
-        return [f"{c}={'' if v is None else v}" for c in self.values for v in self._flags(c)]
+        return [self._name(c, v) for c in self.values for v in self._flags(c)]
+
+    @staticmethod
+    def _name(c: str, v) -> str:
+        return f"{c}={'' if v is None else v}".replace(".", "_")  # a dot would read as a field access
 
     def _flags(self, c: str) -> list:
         v = self.values[c]
@@ -170,7 +174,7 @@ class OneHot(Fitted):
             text = F.col(c).cast("string")
             for v in self._flags(c):
                 hit = text.isNull() if v is None else text.eqNullSafe(F.lit(v))
-                out[f"{c}={'' if v is None else v}"] = hit.cast("int")
+                out[self._name(c, v)] = hit.cast("int")
         df = df.withColumns(out) if out else df
         return df if self.keep else df.drop(*self.values)
 
