@@ -9,6 +9,15 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda evaluates everything in it per element, so sums and norms used
+    inside one are bound outside through a one-element array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(v: str | Column) -> Column:
     return col(v).cast("array<double>")
 
@@ -29,27 +38,24 @@ def norm(v: str | Column) -> Column:
 def l2_normalise(v: str | Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     v = as_double(v)
-    length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / length)
+    return let(F.greatest(norm(v), F.lit(1e-12)), lambda length: F.transform(v, lambda x: x / length))
 
 
 def centre(v: str | Column) -> Column:
     v = as_double(v)
-    mean = vsum(v) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    return let(vsum(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
 
 
 def softmax(v: str | Column, temperature: float | Column = 1.0) -> Column:
     v = as_double(v)
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(v)
-    shifted = F.transform(v, lambda x: F.exp((x - top) / t))
-    return normalise_sum(shifted)
+    shifted = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / t)))
+    return let(shifted, normalise_sum)
 
 
 def normalise_sum(v: str | Column) -> Column:
     v = col(v)
-    return F.transform(v, lambda x: x / vsum(v))
+    return let(vsum(v), lambda total: F.transform(v, lambda x: x / total))
 
 
 def argmax(v: str | Column) -> Column:
@@ -58,15 +64,6 @@ def argmax(v: str | Column) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
-def prefix_sum(v: str | Column) -> Column:
-    """Running sums, same length as the input."""
-    v = col(v)
-    return F.slice(
-        F.aggregate(v, F.array(F.lit(0.0)),
-                    lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))),
-        F.lit(2), F.size(v))
-
-
 def literal_array(values) -> Column:
     """Constant array<double>; a long one is parsed from text so that it folds into a single literal."""
     values = [float(v) for v in values]

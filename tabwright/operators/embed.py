@@ -356,11 +356,11 @@ def balanced_assign(df: DataFrame, scores: str, temperature: float, iters: int =
             row = F.col("_e")
         else:
             scaled = F.zip_with("_e", V.literal_array(factors), lambda e, c: e * c)
-            row = F.transform(scaled, lambda x: x / (V.vsum(scaled) * n))
+            row = F.transform(V.let(scaled, V.normalise_sum), lambda x: x / n)
         sums = base.agg(vector_to_array(Summarizer.sum(array_to_vector(row))).alias("s")).first()["s"]
         factors = [(1.0 if factors is None else factors[j]) / (k * sums[j]) for j in range(k)]
     scaled = F.zip_with("_e", V.literal_array(factors), lambda e, c: e * c)
-    return base.withColumn(out, V.normalise_sum(scaled)).drop("_e")
+    return base.withColumn(out, V.let(scaled, V.normalise_sum)).drop("_e")
 
 
 PROBE_CS = tuple(float(10 ** e) for e in np.linspace(-6, 5, 45))

@@ -24,7 +24,7 @@ from .features import Scale, fit_range
 from .fitted import Chain, Fitted
 from .ordered import hash_thresholds, order_statistics, quantiles, with_buckets
 
-MAX_KNOTS = 10_000         # the row contract of the source method bounds its knots by the same number
+ROW_CONTRACT = 10_000      # the knot rules are stated for tables up to this size; larger ones keep its resolution
 PROBIT_CLIP = 5.19933758270342   # fixed value: probit(1 - 1e-7)
 IQR_NORMAL = 1.3489795003921634  # fixed value: probit(.75) - probit(.25)
 # fixed values: bandwidth factors offered by name
@@ -125,10 +125,15 @@ class KnotMap(Fitted):
 
 
 def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles=None, output: str = "uniform") -> KnotMap:
-    """Quantile transform with exact knots; ``n_quantiles`` is a number or a function of n (default n // 5)."""
+    """Quantile transform with exact knots over all rows.
+
+    ``n_quantiles`` is a number or a function of the row count (default n // 5),
+    where the count is taken as at most ``ROW_CONTRACT``.
+    """
     def levels(n):
-        m = n_quantiles(n) if callable(n_quantiles) else n_quantiles or max(n // 5, 2)
-        return np.linspace(0, 1, max(2, min(m, n, MAX_KNOTS))).tolist()
+        size = min(n, ROW_CONTRACT)
+        m = n_quantiles(size) if callable(n_quantiles) else n_quantiles or max(size // 5, 2)
+        return np.linspace(0, 1, max(2, min(m, size))).tolist()
 
     sizes = {}
 
