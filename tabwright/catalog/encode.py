@@ -167,5 +167,5 @@ def _(spark, sf):
     docs = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     fitted = E.fit_ngrams(docs, "text")
     grams = F.array(*[F.lit(g) for g in fitted.vocabulary])
-    counts = fitted.transform(docs).select("doc_id", F.posexplode("ngram_counts").alias("i", "n")).where("n > 0")
+    counts = fitted.transform(docs).select("doc_id", F.posexplode_outer("ngram_counts").alias("i", "n")).where("n > 0")
     return counts.select("doc_id", F.get(grams, F.col("i")).alias("gram"), "n")

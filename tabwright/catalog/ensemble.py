@@ -78,7 +78,7 @@ def _(spark, sf):
     SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2""")
 def _(spark, sf):
     docs = table(spark, sf, "documents", spread=True).select("doc_id", "text")
-    return C.hashed_words(docs, "text").select("doc_id", F.posexplode("embedding").alias("bucket", "n")).where("n > 0")
+    return C.hashed_words(docs, "text").select("doc_id", F.posexplode_outer("embedding").alias("bucket", "n")).where("n > 0")
 
 
 def model(rows: pd.DataFrame, pattern) -> pd.DataFrame:

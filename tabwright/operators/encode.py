@@ -343,11 +343,13 @@ def ngram_vocabulary(df: DataFrame, text: str, lo: int = 1, hi: int = 3, min_df:
     Each text is reduced to (gram, count) inside its own row before the explode,
     so one aggregate with map-side combine gives both frequencies.
     """
-    grams = F.sort_array(ngrams(words(F.col(text)), lo, hi))
-    firsts = (df.where(F.col(text).isNotNull()).select(grams.alias("g"))
-              .select(F.explode(F.transform("g", lambda x, i: F.struct(
+    tokens = df.where(F.col(text).isNotNull()).select(words(text).alias("w"))  # a step of its own: used many times
+    firsts = (tokens.select(F.sort_array(ngrams("w", lo, hi)).alias("g"))
+              .select(F.explode_outer(F.transform("g", lambda x, i: F.struct(
                   x.alias("gram"),
                   F.when((i > 0) & (F.get(F.col("g"), i - 1) == x), 0).otherwise(1).alias("first")))).alias("s")))
+    # the outer explode keeps the n-grams from being computed again in an inferred filter;
+    # texts without words give one null gram, whose null df fails the test below
     counts = firsts.groupBy("s.gram").agg(F.sum("s.first").alias("df"), F.count(F.lit(1)).alias("tf"))
     return counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "gram").limit(top)
 

@@ -83,34 +83,35 @@ def order_statistics(df: DataFrame, wanted) -> dict[str, tuple[int, dict[int, fl
     return {c: (totals[c], found[c]) for c in cols}
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs) -> dict[str, list[float]]:
-    """Exact linearly interpolated quantiles per column.
+def quantile_table(df: DataFrame, cols: Sequence[str], probs) -> dict[str, tuple[list[float], list[float]]]:
+    """Per column the levels and the exact linearly interpolated quantiles at them.
 
-    ``probs`` is a list, or a function of the count that gives one. A column
-    without values gets an empty list.
+    ``probs`` is a list, or a function of the column's count that gives one. A
+    column without values gets empty lists.
     """
     def levels(n):
-        return list(probs(n) if callable(probs) else probs)
+        return [float(q) for q in (probs(n) if callable(probs) else probs)]
 
     def ranks(n):
-        out = set()
-        for q in levels(n):
-            h = (n - 1) * q
-            out |= {math.floor(h), math.ceil(h)}
-        return out
+        positions = [(n - 1) * q for q in levels(n)]
+        return {math.floor(h) for h in positions} | {math.ceil(h) for h in positions}
 
-    stats = order_statistics(df, {c: ranks for c in cols})
     result = {}
-    for c, (n, at) in stats.items():
-        values = []
-        for q in levels(n) if n else []:
+    for c, (n, at) in order_statistics(df, {c: ranks for c in cols}).items():
+        wanted, values = levels(n) if n else [], []
+        for q in wanted:
             h = (n - 1) * q
             lo, hi = at[math.floor(h)], at[math.ceil(h)]
             values.append(lo + (hi - lo) * (h - math.floor(h)))
-        result[c] = values
+        result[c] = (wanted, values)
     return result
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs) -> dict[str, list[float]]:
+    """Exact linearly interpolated quantiles per column, see :func:`quantile_table`."""
+    return {c: values for c, (_, values) in quantile_table(df, cols, probs).items()}
+
+
 def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str] | None = None,
             maxes: dict[str, str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """Sums (0 if none) and maxima (null if none) over the group's rows strictly earlier in ``order``.

@@ -22,7 +22,7 @@ from .clean import TRANSFORMS, finite_col
 from .encode import unique_counts
 from .features import Scale, fit_range
 from .fitted import Chain, Fitted
-from .ordered import hash_thresholds, order_statistics, quantiles, with_buckets
+from .ordered import hash_thresholds, order_statistics, quantile_table, quantiles, with_buckets
 
 ROW_CONTRACT = 10_000      # the knot rules are stated for tables up to this size; larger ones keep its resolution
 PROBIT_CLIP = 5.19933758270342   # fixed value: probit(1 - 1e-7)
@@ -135,19 +135,11 @@ def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles=None, output: s
         m = n_quantiles(size) if callable(n_quantiles) else n_quantiles or max(size // 5, 2)
         return np.linspace(0, 1, max(2, min(m, size))).tolist()
 
-    sizes = {}
-
-    def probs(n):
-        sizes[n] = levels(n)
-        return sizes[n]
-
-    counts = {c: s["n"] for c, s in stats(df, cols).items()}
     knots = {}
-    for c, values in quantiles(df, cols, probs).items():
+    for c, (r, values) in quantile_table(df, cols, levels).items():
         if not values:
             knots[c] = [[0.0], [0.0], [0.0]]
             continue
-        r = sizes[counts[c]]
         distinct, left, right = [], [], []
         for v, level in zip(values, r):
             if distinct and v <= distinct[-1]:
@@ -213,6 +205,15 @@ def power_expr(x: Column, lam: Column, method: str) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _power_of_log(x: Column, log: Column, lam: Column, method: str) -> Column:
+    """The same from log x or log(1 + |x|), so a grid of exponents takes one logarithm per value."""
+    if method == "box-cox":
+        return F.when(F.abs(lam) < 1e-9, log).otherwise(F.expm1(lam * log) / F.when(F.abs(lam) >= 1e-9, lam))
+    e = F.when(x >= 0, lam).otherwise(2 - lam)
+    y = F.when(F.abs(e) < 1e-9, log).otherwise(F.expm1(e * log) / F.when(F.abs(e) >= 1e-9, e))
+    return F.when(x >= 0, y).otherwise(-y)
+
+
 @dataclass(frozen=True)
 class Power(Fitted):
     """Power transform, then (y - mean) / deviation; a null exponent leaves the column standardised only."""
@@ -232,11 +233,14 @@ class Power(Fitted):
 def _power_profile(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]], method: str):
     """(column, lambda) -> log-likelihood, mean, deviation, max; all in one combined aggregate."""
     def cell(i, c):
-        return lambda lam: F.struct(F.lit(i).alias("c"), lam.alias("lam"), finite_col(F.col(c)).alias("x"))
-    cells = F.concat(*[F.transform(literal_array(grids[c]), cell(i, c)) for i, c in enumerate(cols)])
-    rows = df.select(F.explode(cells).alias("s")).select("s.*").where("x is not null")
-    y = power_expr(F.col("x"), F.col("lam"), method)
-    jac = F.when(F.col("x") > 0, F.log("x")) if method == "box-cox" else F.signum("x") * F.log1p(F.abs("x"))
+        x = finite_col(F.col(c))
+        log = F.when(x > 0, F.log(x)) if method == "box-cox" else F.log1p(F.abs(x))
+        return F.struct(F.lit(i).alias("c"), x.alias("x"), log.alias("log"), literal_array(grids[c]).alias("grid"))
+    # outer explodes: an inner one adds a filter that computes the cells a second time
+    cells = df.select(F.explode_outer(F.array(*[cell(i, c) for i, c in enumerate(cols)])).alias("s")).where("s.log is not null")
+    rows = cells.select("s.c", "s.x", "s.log", F.explode_outer("s.grid").alias("lam"))
+    y = _power_of_log(F.col("x"), F.col("log"), F.col("lam"), method)
+    jac = F.col("log") if method == "box-cox" else F.signum("x") * F.col("log")
     got = rows.groupBy("c", "lam").agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("sd"),
                                        F.max(y).alias("top"), F.sum(jac).alias("jac")).collect()
     out: dict = {c: {} for c in cols}
