@@ -258,7 +258,7 @@ def _aligned(a: DataFrame, b: DataFrame, key: str, vec: str) -> DataFrame:
     right = b.select(key, F.col(vec).alias("_other"))
     both = a.select(key, vec).join(right, key)
     zipped = F.zip_with(V.as_double(vec), V.as_double("_other"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return both.select(F.posexplode(zipped).alias("dim", "s")).select("dim", "s.x", "s.y")
+    return both.select(F.posexplode(zipped).alias("dim", "_it")).select("dim", "_it.x", "_it.y")
 
 
 # ---- kNN classification -------------------------------------------------------

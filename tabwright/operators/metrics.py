@@ -220,8 +220,8 @@ def class_totals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.struct(F.col("t").alias("class"), F.col("n").alias("t"), F.lit(0.0).alias("m"),
                  F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0.0).alias("tp")),
         F.struct(F.col("p").alias("class"), F.lit(0.0).alias("t"), F.col("n").alias("m"), F.lit(0.0).alias("tp")))
-    return cells.select(*by, F.explode(sides).alias("s")).groupBy(*by, F.col("s.class").alias("class")).agg(
-        F.sum("s.t").alias("t"), F.sum("s.m").alias("m"), F.sum("s.tp").alias("tp"))
+    return cells.select(*by, F.explode(sides).alias("_it")).groupBy(*by, F.col("_it.class").alias("class")).agg(
+        F.sum("_it.t").alias("t"), F.sum("_it.m").alias("m"), F.sum("_it.tp").alias("tp"))
 
 
 def confusion_scores(cells: DataFrame, by: Sequence[str] = (), problem: str = MULTICLASS,
@@ -305,7 +305,7 @@ def _curve_rows(df: DataFrame, by: Sequence[str], wanted: set[str]) -> DataFrame
         others = F.filter(F.transform("_probs", lambda p, j: F.struct(p.alias("p"), j.alias("j"))), lambda s: s["j"] != y)
         parts.append(F.transform(others, lambda s: row("ovo", y, s["j"], F.get(F.col("_probs"), y), F.lit(True))))
         parts.append(F.transform(others, lambda s: row("ovo", s["j"], y, s["p"], F.lit(False))))
-    return df.select(*by, F.explode(F.concat(*parts)).alias("r")).select(*by, "r.*")
+    return df.select(*by, F.explode(F.concat(*parts)).alias("_it")).select(*by, "_it.*")
 
 
 def curve_scores(df: DataFrame, by: Sequence[str], wanted: set[str]) -> DataFrame:
@@ -378,7 +378,7 @@ def _pac(df: DataFrame, by: Sequence[str], problem: str) -> DataFrame:
 
 def _prepare(df: DataFrame, by, y_true, y_pred, probs, score, weight) -> DataFrame:
     """Rename the contract columns; classes follow from probabilities when absent."""
-    cols = [F.col(c) for c in by] + [F.col(y_true).cast("double").alias("_y"),
+    cols = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)] + [F.col(y_true).cast("double").alias("_y"),
                                      (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")]
     if probs in df.columns:
         cols.append(V.as_double(probs).alias("_probs"))
@@ -396,17 +396,18 @@ def _prepare(df: DataFrame, by, y_true, y_pred, probs, score, weight) -> DataFra
 def _long(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(by..., metric, value) from one column per metric."""
     return wide.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("s")).select(
-            *by, "s.metric", "s.value")
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_it")).select(
+            *by, "_it.metric", "_it.value")
 
 
 def evaluate(df: DataFrame, metrics: Sequence[str | Scorer], by: Sequence[str] = (), problem: str | None = None,
              y_true: str = "y_true", y_pred: str = "y_pred", probs: str = "probs", score: str = "score",
              weight: str | None = None) -> DataFrame:
     """Long table (by..., metric, score, error); larger scores are better, error 0 is perfect."""
-    by = list(by)
     scorers = {s.name: s for s in (get_metric(m, problem) for m in metrics)}
     data = _prepare(df, by, y_true, y_pred, probs, score, weight)
+    groups = {f"_by{i}": c for i, c in enumerate(by)}  # own names, so groups may be called anything
+    by = list(groups)
     kind = problem or (MULTICLASS if "_probs" in data.columns else BINARY)
     y, w = F.col("_y"), F.col("_w")
     source = {"pred": "_p", "class": "_p", "proba": "_probs" if "_probs" in data.columns else "_s", "threshold": "_s"}
@@ -450,7 +451,8 @@ def evaluate(df: DataFrame, metrics: Sequence[str | Scorer], by: Sequence[str] =
     signs = F.create_map(*[x for s in scorers.values() for x in (F.lit(s.name), F.lit(float(s.sign)))])
     best = F.create_map(*[x for s in scorers.values() for x in (F.lit(s.name), F.lit(float(s.sign * s.optimum)))])
     signed = F.col("value") * signs[F.col("metric")]
-    return out.select(*by, "metric", signed.alias("score"), (best[F.col("metric")] - signed).alias("error"))
+    return out.select(*[F.col(b).alias(c) for b, c in groups.items()], "metric", signed.alias("score"),
+                      (best[F.col("metric")] - signed).alias("error"))
 
 
 def classwise_top_k(df: DataFrame, ks: Sequence[int], y_true: str = "y_true", probs: str = "probs") -> DataFrame:

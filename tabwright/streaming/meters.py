@@ -21,12 +21,12 @@ def merge_batch(state: DataFrame | None, batch: DataFrame, series: str, step: st
     The batch is cut to its last rows per (series, salt) before it meets the
     state, so a series with most of the rows is spread over many tasks.
     """
-    rows = batch.select(series, F.col(step).alias("step"), F.col(value).cast("double").alias("value"))
+    rows = batch.select(F.col(series), F.col(step).alias("step"), F.col(value).cast("double").alias("value"))
     sums = rows.groupBy(series).agg(F.sum("value").alias("total"), F.count("value").alias("count"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("step"), F.lit(SALTS)))
     recent = _last(salted, series, "step", last, "_salt").drop("_salt")
     if state is not None:
-        recent = recent.unionByName(state.select(series, F.explode("last").alias("s")).select(series, "s.step", "s.value"))
+        recent = recent.unionByName(state.select(series, F.explode("last").alias("_it")).select(series, "_it.step", "_it.value"))
         sums = sums.unionByName(state.select(series, "total", "count"))
     kept = _last(recent, series, "step", last).groupBy(series).agg(
         F.sort_array(F.collect_list(F.struct("step", "value"))).alias("last"))  # at most ``last`` entries
