@@ -15,17 +15,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKETS = 128
+BUCKET_ROWS = 2_000_000   # more buckets are cut once they would hold more rows than this
+OFFSET_ROWS = 200_000     # tables of bucket offsets up to this size are broadcast
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], n: int = BUCKETS) -> dict[str, list[float]]:
-    """About equally filled split points per numeric column, from one aggregate.
+def cut_points(df: DataFrame, cols: Sequence[str], n: int = BUCKETS, most: int = 50_000) -> dict[str, list[float]]:
+    """About equally filled split points per numeric column.
 
-    They only balance the buckets; no result depends on where they fall.
+    One aggregate, and a second one with more points if the table is so large
+    that ``n`` buckets would be too full. The points only balance the buckets;
+    no result depends on where they fall.
     """
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 8 * n).alias(f"_{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(cols)}
+    def cut(n):
+        probs = [i / n for i in range(1, n)]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+            F.percentile_approx(F.col(c).cast("double"), probs, 8 * n).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+        return row["rows"], {c: sorted(set(row[f"_{i}"] or [])) for i, c in enumerate(cols)}
+
+    rows, cuts = cut(n)
+    wanted = min(most, math.ceil(rows / BUCKET_ROWS))
+    return cut(wanted)[1] if wanted > n else cuts
 
 
 def with_buckets(df: DataFrame, cuts: dict[str, list[float]], prefix: str = "_b_") -> DataFrame:
@@ -47,13 +56,13 @@ def order_statistics(df: DataFrame, wanted) -> dict[str, tuple[int, dict[int, fl
     over the columns; only buckets holding a wanted rank are ordered.
     """
     cols = list(wanted)
-    cuts = cut_points(df, cols)
+    cuts = cut_points(df, cols, most=2_000)
     marked = with_buckets(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cuts)
     long = marked.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"_b_{c}").alias("b"), F.col(c).alias("v"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*").where("v is not null")
     hist: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(cols))}
-    for r in long.groupBy("c", "b").count().collect():  # columns x BUCKETS rows
+    for r in long.groupBy("c", "b").count().collect():  # columns x buckets rows
         hist[r["c"]].append((r["b"], r["count"]))
     totals, need = {}, []
     for i, c in enumerate(cols):
@@ -131,7 +140,8 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str] |
         *by, bucket, *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums],
         *[F.max(f"_t_{o}").over(earlier).alias(f"_o_{o}") for o in maxes])
     inside = W.partitionBy(*by, bucket).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = null_safe_join(marked, offsets, [*by, bucket])
+    # broadcast offsets leave the window's own shuffle as the only one
+    out = null_safe_join(marked, sized(offsets, OFFSET_ROWS), [*by, bucket])
     return out.withColumns({
         **{o: F.col(f"_o_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()},
         **{o: F.greatest(F.col(f"_o_{o}"), F.max(c).over(inside)) for o, c in maxes.items()},
@@ -161,7 +171,7 @@ def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, bucket: s
     firsts = marked.groupBy(*by, bucket).agg(F.min(order).alias("_first"))
     after = firsts.select(*by, bucket, F.lead("_first").over(W.partitionBy(*by).orderBy(bucket)).alias("_after"))
     inside = W.partitionBy(*by, bucket).orderBy(order)
-    joined = null_safe_join(marked, after, [*by, bucket])
+    joined = null_safe_join(marked, sized(after, OFFSET_ROWS), [*by, bucket])
     return joined.withColumn(out, F.coalesce(F.lead(order).over(inside), F.col("_after"))).drop(bucket, "_after")
 
 
@@ -207,8 +217,8 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
 # ---- order by a uniform hash -------------------------------------------------
 
 def prefix_digits(n_rows: int, target: int = 50_000) -> int:
-    """Hex digits so that one prefix holds about ``target`` rows or fewer."""
-    return max(1, math.ceil(math.log(max(n_rows / target, 1), 16)))
+    """Hex digits so that one prefix holds about ``target`` rows, at most a million prefixes."""
+    return min(5, max(1, math.ceil(math.log(max(n_rows / target, 1), 16))))
 
 
 def hash_offsets(df: DataFrame, hash_col: str, by: Sequence[str], digits: int) -> DataFrame:
@@ -226,7 +236,7 @@ def hash_rank(df: DataFrame, hash_col: str, out: str, by: Sequence[str] = (), di
     marked = df.withColumn("_p", F.substring(hash_col, 1, digits))
     offsets = hash_offsets(df, hash_col, by, digits).drop("_count")
     w = W.partitionBy(*by, "_p").orderBy(hash_col)
-    joined = null_safe_join(marked, offsets, [*by, "_p"])
+    joined = null_safe_join(marked, sized(offsets, OFFSET_ROWS), [*by, "_p"])
     return joined.withColumn(out, F.col("_before") + F.row_number().over(w)).drop("_p", "_before")
 
 

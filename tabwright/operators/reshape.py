@@ -246,7 +246,8 @@ def _power_profile(df: DataFrame, cols: Sequence[str], grids: dict[str, list[flo
     out: dict = {c: {} for c in cols}
     for r in got:
         sd = r["sd"]
-        if r["n"] and sd and sd > 0 and math.isfinite(sd):
+        # a deviation at the level of rounding is that of a constant column
+        if r["n"] and sd and math.isfinite(sd) and sd > 1e-10 * abs(r["mean"]):
             ll = -r["n"] / 2 * math.log(sd * sd) + (r["lam"] - 1) * r["jac"]
             out[cols[r["c"]]][round(r["lam"], 2)] = (ll, r["mean"], sd, r["top"])
     return out
@@ -265,6 +266,8 @@ def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson", s
     if best:
         fine_grids = {c: [round(b - 0.1 + 0.01 * i, 2) for i in range(21)] for c, b in best.items()}
         for c, p in _power_profile(df, list(best), fine_grids, method).items():
+            if not p:
+                continue
             lam = max(p, key=lambda k: (round(p[k][0], 6), -k))
             _, mean, sd, top = p[lam]
             if safe and (not math.isfinite(top) or (top - mean) / sd > 100):

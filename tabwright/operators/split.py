@@ -129,8 +129,12 @@ def kfold(df: DataFrame, key: str, k: int, y: str | None = None, seed: int = 0,
     return result.drop("_h")
 
 
-def subsample(df: DataFrame, key: str, size: int | float, members: int, seed: int = 0) -> DataFrame:
-    """An independent sample per ensemble member: ``size`` rows, or int(size * n) + 1 for a share."""
+def member_filters(df: DataFrame, key: str, size: int | float, members: int, seed: int = 0) -> list[Column]:
+    """One row condition per member: ``size`` rows, or int(size * n) + 1 for a share, drawn independently.
+
+    A condition compares the member's hash of the key with a threshold, so a
+    member's rows are a filter of any table that has the key.
+    """
     n = df.count()
     if isinstance(size, float):
         if not 0 < size < 1:
@@ -138,10 +142,18 @@ def subsample(df: DataFrame, key: str, size: int | float, members: int, seed: in
         size = int(size * n) + 1
     elif not 1 <= size <= n:
         raise ValueError(f"sample size {size} must lie in [1, {n}]")
-    wide = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).withColumn(
-        "_h", seeded_hash(F.lit(seed) + F.col("member"), key))
-    wanted = df.sparkSession.range(members).select(F.col("id").cast("int").alias("member"), F.lit(size).cast("long").alias("rank"))
-    return take_first(wide, "_h", wanted, ["member"], "_in").where("_in").drop("_h", "_in")
+    wide = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+    marked = wide.withColumn("_h", seeded_hash(F.lit(seed) + F.col("member"), key))
+    wanted = df.sparkSession.createDataFrame([(m, int(size)) for m in range(members)], "member int, rank long")
+    limits = {r["member"]: r["threshold"] for r in hash_thresholds(marked, "_h", wanted, ["member"]).collect()}
+    return [seeded_hash(seed + m, key) <= F.lit(limits[m]) for m in range(members)]
+
+
+def subsample(df: DataFrame, key: str, size: int | float, members: int, seed: int = 0) -> DataFrame:
+    """An independent sample per ensemble member, as rows (member, ...)."""
+    inside = member_filters(df, key, size, members, seed)
+    ids = F.array(*[F.when(c, F.lit(m)) for m, c in enumerate(inside)])
+    return df.withColumn("member", F.explode(F.filter(ids, lambda m: m.isNotNull())))
 
 
 def per_class_sample(df: DataFrame, key: str, y: str, n: int, tries: int = 1, seed: int = 0) -> DataFrame:

@@ -184,8 +184,8 @@ def test_member_plans_are_balanced():
 
 def test_ensemble_shares_fits_and_subsamples(data):
     members = G.plan_members("classification", 4, 5, [S.PrepConfig("robust"), S.PrepConfig("none")], seed=2)
-    fitted, rows = G.fit_ensemble(data, "key", ["skewed", "hot"], [], members)
-    assert rows is None and len(set(fitted.shared.values())) == 2
+    fitted = G.fit_ensemble(data, "key", ["skewed", "hot"], [], members)
+    assert fitted.samples is None and len(set(fitted.shared.values())) == 2
     long = fitted.features(data, "key", "cat", train=True)
     assert long.count() == 4 * 2000 and long.select(F.size("features")).distinct().collect()[0][0] == 3
     perm = members[0].permutation
