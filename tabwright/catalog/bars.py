@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, softmax
+from ..functions.vectors import softmax
 from ..operators import bars as H
 from .base import query, table
 from .metrics import rounded

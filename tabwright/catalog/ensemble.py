@@ -13,7 +13,6 @@ from ..functions.vectors import as_double
 from ..operators import combine as C, encode as E
 from .bars import BORDERS
 from .base import query, table
-from .metrics import rounded
 
 L = """L AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS v FROM embeddings),
   X AS (SELECT vec_id, label, c, v[c + 1] AS x FROM L, (SELECT unnest(range(10)) AS c)),

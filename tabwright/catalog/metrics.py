@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit, seeded_hash
-from ..functions.vectors import as_double, softmax
-from ..operators import encode as E, metrics as M
+from ..functions.vectors import softmax
+from ..operators import metrics as M
 from .base import query, table
 
 # class predictions: softmax of ten times the first ten entries of every embedding

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..session import scratch_table
 from .features import seeded_order
 from .fitted import Fitted
-from .ordered import cut_points, running, sized, with_buckets
+from .ordered import running, sized, with_buckets
 
 VOCABULARY_LIMIT = 100_000  # values kept on the driver over all columns; more go to a written table
 INLINE_LIMIT = 64           # codes looked up in an expression instead of a join

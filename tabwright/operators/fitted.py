@@ -73,13 +73,3 @@ class Copy(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c + self.suffix: df[c].cast("double") for c in self.cols})
-
-
-@dataclasses.dataclass(frozen=True)
-class Select(Fitted):
-    """Column choice and order."""
-
-    cols: list
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*self.cols)

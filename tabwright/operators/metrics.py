@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from ..session import written
 from .ordered import average_ranks, grouped_quantiles, null_safe_join, running
 
 EPS = 2.220446049250313e-16   # fixed values: guards of the percentage errors,
@@ -231,6 +232,8 @@ def confusion_scores(cells: DataFrame, by: Sequence[str] = (), problem: str = MU
     Balanced accuracy counts a class that is predicted but never true with
     recall 1 unless ``strict``.
     """
+    if not by:
+        return confusion_scores(cells.withColumn("_all", F.lit(0)), ["_all"], problem, strict).drop("_all")
     t, m, tp = F.col("t"), F.col("m"), F.col("tp")
     zero = F.lit(0.0)
     per_class = class_totals(cells, by).withColumns({
@@ -263,7 +266,7 @@ def confusion_scores(cells: DataFrame, by: Sequence[str] = (), problem: str = MU
     totals = per_class.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()])
     gap = F.col("t") - F.col("p")
     observed = cells.groupBy(*by).agg(F.sum((gap * gap) * F.col("n")).alias("_observed"))
-    joined = null_safe_join(totals, observed, by) if by else totals.join(observed, F.lit(True))
+    joined = null_safe_join(totals, observed, by)
     return joined.withColumn("quadratic_kappa", F.when(F.col("_expected") > 0, 1 - F.try_divide(
         F.col("_observed"), F.col("_expected"))).otherwise(0.0)).drop("_expected", "_observed")
 
@@ -277,6 +280,7 @@ def curve_areas(df: DataFrame, by: Sequence[str], score: str, pos: str, neg: str
     step, which is the trapezoid for the AUC.
     """
     points = df.groupBy(*by, (-F.col(score)).alias("_s")).agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"))
+    points = written(points, "curve-points")
     run = running(points, by, "_s", {"_pb": "_pos", "_nb": "_neg"})
     seen_pos, seen = F.col("_pb") + F.col("_pos"), F.col("_pb") + F.col("_pos") + F.col("_nb") + F.col("_neg")
     return run.groupBy(*by).agg(
@@ -335,9 +339,9 @@ def curve_scores(df: DataFrame, by: Sequence[str], wanted: set[str]) -> DataFram
 def spearman(df: DataFrame, by: Sequence[str], y: str = "_y", p: str = "_p") -> DataFrame:
     """Rank correlation with average ranks, over distinct (y, p) pairs with counts."""
     by = list(by)
-    pairs = df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("_c"))
-    ry = average_ranks(df, by, y, "_ry").drop("_n")
-    rp = average_ranks(df, by, p, "_rp").drop("_n")
+    pairs = written(df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("_c")), "value-pairs")
+    ry = average_ranks(pairs, by, y, "_ry", "_c").drop("_n")
+    rp = average_ranks(pairs, by, p, "_rp", "_c").drop("_n")
     ranked = null_safe_join(null_safe_join(pairs, ry, [*by, y]), rp, [*by, p])
     c, a, b = F.col("_c"), F.col("_ry"), F.col("_rp")
     n = F.sum(c)
@@ -471,11 +475,11 @@ def multilabel_hit_rate(df: DataFrame, labels: str, probs: str, ks: Sequence[int
 def threshold_scores(df: DataFrame, y_true: str = "y_true", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """Balanced accuracy and average precision of hard 0/1 decisions at a threshold."""
     hard = df.select(F.col(y_true).alias("_y"), (F.col(score) > threshold).cast("long").alias("_p"), F.lit(1.0).alias("_w"))
-    cells = confusion(hard, (), "_y", "_p", "_w")
-    balanced = confusion_scores(cells, (), BINARY).select("balanced_accuracy")
+    cells = confusion(hard, (), "_y", "_p", "_w").withColumn("_all", F.lit(0))
+    balanced = confusion_scores(cells, ["_all"], BINARY).select("_all", "balanced_accuracy")
     c = {(t, p): F.sum(F.when((F.col("t") == t) & (F.col("p") == p), F.col("n")).otherwise(0.0)) for t in (0, 1) for p in (0, 1)}
     pos, n = c[1, 0] + c[1, 1], F.sum("n")
     hits = F.coalesce(F.try_divide(c[1, 1], pos), F.lit(0.0))
     precise = F.coalesce(F.try_divide(c[1, 1], c[1, 1] + c[0, 1]), F.lit(0.0))
-    ap = cells.agg((hits * precise + (1 - hits) * pos / n).alias("average_precision"))
-    return balanced.join(ap, F.lit(True))
+    ap = cells.groupBy("_all").agg((hits * precise + (1 - hits) * pos / n).alias("average_precision"))
+    return balanced.join(ap, "_all").drop("_all")

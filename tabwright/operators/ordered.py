@@ -12,7 +12,9 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import written
 
 BUCKETS = 128
 BUCKET_ROWS = 2_000_000   # more buckets are cut once they would hold more rows than this
@@ -189,11 +191,13 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
                       order_buckets: int = BUCKETS) -> DataFrame:
     """Exact interpolated quantiles per group as one plan: ``by`` columns + names of ``probs``."""
     by = list(by)
+    if not by:
+        return grouped_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, order_buckets).drop("_all")
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    run = running(counts, by, "_v", {"_before": "_n"}, cuts=cut_points(base, ["_v"], order_buckets)["_v"])
+    counts = written(base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    run = running(counts, by, "_v", {"_before": "_n"}, cuts=cut_points(counts, ["_v"], order_buckets)["_v"])
     size = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    run = null_safe_join(run, size, by) if by else run.crossJoin(size)  # size is one row without groups
+    run = null_safe_join(run, sized(size), by)
     upto = F.col("_before") + F.col("_n")
     aggs = []
     for name, q in probs.items():
@@ -207,9 +211,13 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
         for n, q in probs.items()])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Distinct values of a group with their count ``_n`` and average rank (ties share it)."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, count: str | None = None) -> DataFrame:
+    """Distinct values of a group with their count ``_n`` and average rank (ties share it).
+
+    ``count`` names a column that says how often a row counts.
+    """
+    n = F.sum(count) if count else F.count(F.lit(1))
+    counts = written(df.groupBy(*by, value).agg(n.alias("_n")), "value-counts")
     run = running(counts, by, value, {"_before": "_n"})
     return run.withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_before")
 
@@ -261,14 +269,15 @@ def hash_thresholds(df: DataFrame, hash_col: str, wanted: DataFrame, by: Sequenc
     a rank, and only rows of those prefixes are ranked.
     """
     by = list(by)
+    if not by:
+        everything = F.lit(0).alias("_all")
+        return hash_thresholds(df.select("*", everything), hash_col, wanted.select("*", everything), ["_all"],
+                               digits).drop("_all")
     digits = digits or prefix_digits(df.count())
     wanted = sized(wanted.select(*by, "rank"))
     offsets = hash_offsets(df, hash_col, by, digits)
     inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_count"))
-    if by:
-        located = null_safe_join(offsets, wanted, by).where(inside)
-    else:
-        located = offsets.join(wanted, inside)
+    located = null_safe_join(offsets, wanted, by).where(inside)
     located = sized(located.select(*by, "rank", "_p", "_before"))
     rows = df.select(*by, F.col(hash_col).alias("threshold"), F.substring(hash_col, 1, digits).alias("_p"))
     rows = null_safe_join(rows, located.select(*by, "_p").distinct(), [*by, "_p"], "left_semi")
@@ -287,5 +296,7 @@ def take_first(df: DataFrame, hash_col: str, wanted: DataFrame, by: Sequence[str
     """
     by = list(by)
     limits = hash_thresholds(df, hash_col, wanted, by).drop("rank")
-    joined = null_safe_join(df, limits, by, "left") if by else df.join(limits, F.lit(True), "left")
+    if not by:
+        return df.withColumn(out, F.col(hash_col) <= F.lit(limits.first()["threshold"]))
+    joined = null_safe_join(df, limits, by, "left")
     return joined.withColumn(out, F.coalesce(F.col(hash_col) <= F.col("threshold"), F.lit(False))).drop("threshold")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tabwright", master: str | None = None,
@@ -52,3 +52,14 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table below the shared folder."""
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A copy of ``df`` written below the shared folder, for results that several passes read.
+
+    The passes then start from the compact copy instead of the source tables,
+    also after an executor is lost.
+    """
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
