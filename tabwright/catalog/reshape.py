@@ -14,8 +14,8 @@ NUM = ["l_quantity", "l_extendedprice", "l_tax"]
 K = ", ".join(KEYS)
 
 
-def lines(spark, sf):
-    return table(spark, sf, "lineitem", spread=True).select(*KEYS, *NUM)
+def lines(spark, sf, spread=False):
+    return table(spark, sf, "lineitem", spread).select(*KEYS, *NUM)
 
 
 def out(df, cols=tuple(NUM), digits=6):
@@ -134,7 +134,7 @@ def power_sql(source, method):
 
 @query("e8_yeo_johnson", f"WITH {power_sql(f'SELECT {K}, l_quantity - 20 AS x FROM lineitem', 'yeo-johnson')} SELECT {K}, round((y - (SELECT avg(y) FROM p)) / (SELECT stddev_pop(y) FROM p), 5) AS x FROM p")
 def _(spark, sf):
-    df = lines(spark, sf).withColumn("x", F.col("l_quantity") - 20)
+    df = lines(spark, sf, spread=True).withColumn("x", F.col("l_quantity") - 20)
     return out(R.fit_power(df, ["x"]).transform(df), ["x"], 5)
 
 
@@ -143,7 +143,7 @@ BOX = f"SELECT {K}, least(greatest(0.1::DOUBLE + 0.9::DOUBLE * (l_extendedprice
 
 @query("e9_box_cox", f"WITH {power_sql(BOX, 'box-cox')} SELECT {K}, round((y - (SELECT avg(y) FROM p)) / (SELECT stddev_pop(y) FROM p), 5) AS l_extendedprice FROM p")
 def _(spark, sf):
-    df = lines(spark, sf)
+    df = lines(spark, sf, spread=True)
     return out(R.fit_box_cox(df, ["l_extendedprice"]).transform(df), ["l_extendedprice"], 5)
 
 
@@ -152,7 +152,7 @@ def _(spark, sf):
     SELECT {K}, round(CASE WHEN (top - m) / d > 100 THEN raw ELSE (y - m) / d END, 5) AS x, 3.5::DOUBLE AS same
     FROM p, m""")
 def _(spark, sf):
-    df = lines(spark, sf).withColumns({"x": F.col("l_extendedprice") / 1000, "same": F.lit(3.5)})
+    df = lines(spark, sf, spread=True).withColumns({"x": F.col("l_extendedprice") / 1000, "same": F.lit(3.5)})
     return out(R.fit_power(df, ["x", "same"], safe=True).transform(df), ["x", "same"], 5)
 
 

@@ -288,14 +288,14 @@ def hash_thresholds(df: DataFrame, hash_col: str, wanted: DataFrame, by: Sequenc
 
 
 def take_first(df: DataFrame, hash_col: str, wanted: DataFrame, by: Sequence[str] = (),
-               out: str = "first") -> DataFrame:
+               out: str = "first", digits: int | None = None) -> DataFrame:
     """Flag rows whose hash rank within the group is at most the group's ``rank``.
 
     ``wanted`` has one row per group. The flag is a comparison with the group's
     threshold hash, so the data itself is neither sorted nor shuffled.
     """
     by = list(by)
-    limits = hash_thresholds(df, hash_col, wanted, by).drop("rank")
+    limits = hash_thresholds(df, hash_col, wanted, by, digits).drop("rank")
     if not by:
         return df.withColumn(out, F.col(hash_col) <= F.lit(limits.first()["threshold"]))
     joined = null_safe_join(df, limits, by, "left")

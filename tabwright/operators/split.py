@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
-from .ordered import hash_rank, hash_thresholds, null_safe_join, sized, take_first
+from .ordered import hash_rank, hash_thresholds, null_safe_join, prefix_digits, sized, take_first
 
 
 def _rank_table(df: DataFrame, ranks: Sequence[int]) -> DataFrame:
@@ -33,7 +33,8 @@ def split(df: DataFrame, key: str, sizes: Mapping[str, int | Callable[[int], int
     for label, size in sizes.items():
         total += size(n) if callable(size) else size
         ranks[label] = min(total, n)
-    table = hash_thresholds(marked, "_h", _rank_table(df, sorted(set(ranks.values()))))
+    table = hash_thresholds(marked, "_h", _rank_table(df, sorted(set(ranks.values()))),
+                            digits=prefix_digits(n))
     at = {r["rank"]: r["threshold"] for r in table.collect()}  # one row per label
     label: Column | None = None
     for name, rank in ranks.items():
@@ -58,11 +59,9 @@ def default_fraction(n: int) -> float:
     return 0.2 if n < 500_000 else 0.1 if n < 1_000_000 else 0.05
 
 
-def class_quotas(df: DataFrame, y: str, size: Callable[[int], int]) -> DataFrame:
-    """(y, rank): how many rows each class gives to a sample of the whole, by largest remainder."""
+def class_quotas(df: DataFrame, y: str, take: int, n: int) -> DataFrame:
+    """(y, rank): how many rows each class gives to ``take`` of the ``n`` rows, by largest remainder."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    n = df.count()
-    take = size(n)
     share = F.col("_n") * F.lit(float(take)) / F.lit(float(max(n, 1)))
     quotas = counts.withColumn("_floor", F.floor(share)).withColumn("_rest", F.round(share - F.floor(share), 9))
     order = W.orderBy(F.desc("_rest"), F.asc(y))  # over the class table only
@@ -74,10 +73,10 @@ def class_quotas(df: DataFrame, y: str, size: Callable[[int], int]) -> DataFrame
 def stratified_split(df: DataFrame, key: str, y: str, frac: float | None = None, seed: int = 0,
                      names: tuple[str, str] = ("train", "test"), out: str = "split") -> DataFrame:
     """Two-way split with class shares kept; ceil(frac * n) rows get ``names[1]``."""
-    def size(n):
-        return math.ceil(round((frac if frac is not None else default_fraction(n)) * n, 9))
+    n = df.count()
+    take = math.ceil(round((frac if frac is not None else default_fraction(n)) * n, 9))
     marked = df.withColumn("_h", seeded_hash(seed, key))
-    flagged = take_first(marked, "_h", class_quotas(df, y, size), [y], "_test")
+    flagged = take_first(marked, "_h", class_quotas(df, y, take, n), [y], "_test", prefix_digits(n))
     return flagged.withColumn(out, F.when(F.col("_test"), names[1]).otherwise(names[0])).drop("_h", "_test")
 
 
@@ -145,7 +144,8 @@ def member_filters(df: DataFrame, key: str, size: int | float, members: int, see
     wide = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
     marked = wide.withColumn("_h", seeded_hash(F.lit(seed) + F.col("member"), key))
     wanted = df.sparkSession.createDataFrame([(m, int(size)) for m in range(members)], "member int, rank long")
-    limits = {r["member"]: r["threshold"] for r in hash_thresholds(marked, "_h", wanted, ["member"]).collect()}
+    limits = {r["member"]: r["threshold"] for r in hash_thresholds(
+        marked, "_h", wanted, ["member"], prefix_digits(n)).collect()}
     return [seeded_hash(seed + m, key) <= F.lit(limits[m]) for m in range(members)]
 
 
