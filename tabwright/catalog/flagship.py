@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean as C, encode as E, joins as J, metrics as M, reshape as R, split as S
 from ..operators.ordered import sized
+from ..session import written
 from .base import query, table
 from .metrics import metric_rows, rounded
 from .split import stratified_sql
@@ -45,4 +46,5 @@ def experiment(spark: SparkSession, sf: str) -> DataFrame:
     test = ready.where("split = 'test'").join(sized(groups), ["lang", "source"], "left")
     scored = test.select(F.col("quality").alias("y_true"), F.round(
         F.least(F.greatest(share + 0.001 * F.col("n"), F.lit(0.01)), F.lit(0.99)), 6).alias("score"))
+    scored = written(scored, "scored-rows")  # read by every metric
     return rounded(M.evaluate(scored, ["accuracy", "log_loss", "roc_auc"], problem=M.BINARY))

@@ -152,8 +152,9 @@ def member_filters(df: DataFrame, key: str, size: int | float, members: int, see
 def subsample(df: DataFrame, key: str, size: int | float, members: int, seed: int = 0) -> DataFrame:
     """An independent sample per ensemble member, as rows (member, ...)."""
     inside = member_filters(df, key, size, members, seed)
-    ids = F.array(*[F.when(c, F.lit(m)) for m, c in enumerate(inside)])
-    return df.withColumn("member", F.explode(F.filter(ids, lambda m: m.isNotNull())))
+    members = F.array(*[F.struct(F.lit(m).alias("member"), c.alias("inside")) for m, c in enumerate(inside)])
+    wide = df.withColumn("_it", F.explode(members))
+    return wide.where("_it.inside").withColumn("member", F.col("_it.member")).drop("_it")
 
 
 def per_class_sample(df: DataFrame, key: str, y: str, n: int, tries: int = 1, seed: int = 0) -> DataFrame:
