@@ -1 +1,11 @@
-"""Operators of a training-data pipeline. Nothing outside this package imports it."""
+"""Operators of a training-data pipeline. Nothing outside this package imports it.
+
+Their Python functions travel to the executors by value, so that the package
+need not be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, shard
+from . import mix, shard, simhash, warc
 
 QUERIES = {}
 SQL = {}
@@ -109,3 +109,25 @@ FROM rows JOIN walk USING (row_number) JOIN digests USING (row_number), sizes WH
 def op2(spark, sf):
     rows = shard.shard(table(spark, sf, "documents"), SHARDS)
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op9_simhash_ball")
+def op9(spark, sf):
+    return simhash.simhash(table(spark, sf, "documents"), shingle=3, distance=2)
+
+
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+largest AS (
+  SELECT payload_digest, max(page_id) AS page FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page <> page_id THEN page END AS refers_to
+FROM payloads LEFT JOIN largest USING (payload_digest)
+"""
+
+
+@query("op10_warc_archive", WARC_SQL)
+def op10(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
