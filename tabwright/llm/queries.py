@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, shard, simhash, warc
+from . import mix, packing, shard, simhash, warc
 
 QUERIES = {}
 SQL = {}
@@ -131,3 +132,8 @@ FROM payloads LEFT JOIN largest USING (payload_digest)
 @query("op10_warc_archive", WARC_SQL)
 def op10(spark, sf):
     return warc.round_trip(table(spark, sf, "pages"))
+
+
+@query("op8_sum_of_squares_packing")
+def op8(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
