@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, packing, shard, simhash, warc
+from . import mix, packing, quality, shard, simhash, warc
 
 QUERIES = {}
 SQL = {}
@@ -137,3 +137,8 @@ def op10(spark, sf):
 @query("op8_sum_of_squares_packing")
 def op8(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_robust_quality")
+def op5(spark, sf):
+    return quality.quality_rules(table(spark, sf, "documents"))
