@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, packing, quality, shard, simhash, warc
+from . import mix, packing, quality, shard, simhash, urls, warc
 
 QUERIES = {}
 SQL = {}
@@ -142,3 +142,8 @@ def op8(spark, sf):
 @query("op5_robust_quality")
 def op5(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents"))
+
+
+@query("op4_url_filter")
+def op4(spark, sf):
+    return urls.judge(table(spark, sf, "pages"))
