@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, packing, quality, shard, simhash, urls, warc
+from . import mix, packing, quality, shard, simhash, toxicity, urls, warc
 
 QUERIES = {}
 SQL = {}
@@ -147,3 +147,8 @@ def op5(spark, sf):
 @query("op4_url_filter")
 def op4(spark, sf):
     return urls.judge(table(spark, sf, "pages"))
+
+
+@query("op6_toxicity_nnpu")
+def op6(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
