@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, packing, quality, shard, simhash, toxicity, urls, warc
+from . import mix, packing, quality, shard, simhash, syncmers, toxicity, urls, warc
 
 QUERIES = {}
 SQL = {}
@@ -152,3 +152,8 @@ def op4(spark, sf):
 @query("op6_toxicity_nnpu")
 def op6(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_syncmer_fingerprints")
+def op3(spark, sf):
+    return syncmers.edited_likeness(table(spark, sf, "documents"))
