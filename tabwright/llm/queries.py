@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mix, packing, quality, shard, simhash, syncmers, toxicity, urls, warc
+from . import mix, packing, quality, shard, simhash, suffixes, syncmers, toxicity, urls, warc
 
 QUERIES = {}
 SQL = {}
@@ -157,3 +157,8 @@ def op6(spark, sf):
 @query("op3_syncmer_fingerprints")
 def op3(spark, sf):
     return syncmers.edited_likeness(table(spark, sf, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf):
+    return suffixes.remove_repeats(table(spark, sf, "documents")).drop("spans")
