@@ -15,7 +15,9 @@ from .common import Scratch, text_of
 CAPACITY = 2048
 END = 0                  # id after each document
 BLOCK_PIECES = 100_000   # pieces that are packed together
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+MARK, MARK_BYTES = "\x01", b"\x01"
+ENDINGS = b".,;:!?$%&#*"   # marks that are cut off the end of a word
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long, serial long"
 PLACED = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -24,23 +26,51 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, word by word with a cache.
 
     The tokenizer never joins anything across ASCII white space, so the ids of a text
-    are those of its words one after the other.
+    are those of its words one after the other. It drops case and begins a new piece
+    where a letter or digit meets punctuation; so a word is looked up in lower case and
+    apart from the marks that end it. New words are encoded many at a time with the
+    control character U+0001 between them, whose id no other text gives.
     """
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.cache = tokenizer, {}
+        self.tokenizer, self.cache, self.stems = tokenizer, {}, {}
+        (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_stems(self, stems: list[bytes]) -> None:
+        for at in range(0, len(stems), 20_000):
+            some = stems[at:at + 20_000]
+            joined = f" {MARK} ".encode().join(some).decode()
+            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            marks = (4 * np.flatnonzero(found == self.mark)).tolist()
+            ids = found.tobytes()
+            self.stems.update(zip(some, map(ids.__getitem__, map(slice, [0, *(m + 4 for m in marks)], [*marks, len(ids)]))))
+
+    def learn(self, words) -> None:
+        parts = []
+        for word in words:
+            if MARK_BYTES in word or b"<|" in word:   # special tokens are found before anything else
+                self.cache[word] = self.alone(word)
+                continue
+            lower = word.lower()
+            stem = lower.rstrip(ENDINGS)
+            parts.append((word, stem, lower[len(stem):]) if stem[-1:].isalnum() else (word, lower, b""))
+        self.encode_stems(list({stem for _, stem, _ in parts}.difference(self.stems)))
+        for ending in {ending for _, _, ending in parts}.difference(self.stems):
+            self.stems[ending] = self.alone(ending)
+        self.cache.update((word, self.stems[stem] + self.stems[ending]) for word, stem, ending in parts)
 
     def __call__(self, texts) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        missing = list({w for words in split for w in words if w not in self.cache})
+        words = set().union(*split)
+        missing = words.difference(self.cache)
         if len(self.cache) + len(missing) > CACHED_WORDS:
-            self.cache = {}
-            missing = list({w for words in split for w in words})
-        for at in range(0, len(missing), 10_000):
-            some = missing[at:at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+            self.cache, self.stems, missing = {}, {}, words
+        self.learn(missing)
+        near = dict(zip(words, map(self.cache.__getitem__, words)))   # small enough to stay in the CPU's cache
+        return [b"".join(map(near.__getitem__, row)) for row in split]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text", capacity: int = CAPACITY,
