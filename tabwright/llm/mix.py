@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.ordered import null_safe_join, sized
-from .common import BUCKET_ROWS, SPACE, Scratch, before, key_bits, key_bucket, row_key, text_of, word_count
+from .common import BUCKET_ROWS, SPACE, WORD, Scratch, before, key_bits, key_bucket, row_key, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
