@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.ordered import null_safe_join, sized
-from .common import WORD, Scratch, text_of
+from .common import SPACE, WORD, Scratch, text_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WHITE = "\t\n\x0b\x0c\r "
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def text_statistics(docs: DataFrame, text="text") -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_capitals (longs).
 
@@ -27,13 +22,15 @@ def text_statistics(docs: DataFrame, text="text") -> DataFrame:
     cover. All of it is built-in functions of one row; a null text counts as empty.
     """
     t = text_of(text)
-    lines = F.filter(F.split(t, "\n"), lambda line: _without(line, WHITE) > 0)
+    trimmed = F.btrim(t, F.lit(WHITE))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    lines = F.filter(F.split(t, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
     rows = docs.withColumns({
-        "_hashes": F.transform(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)),
+        "_hashes": F.transform(words, lambda w: F.xxhash64(w)),
         "_lines": F.when(F.contains(t, F.lit("\n")), lines),
-        "word_chars": _without(t, WHITE).cast("long"),
-        "n_symbols": (F.length(t) - _without(t, SYMBOLS)).cast("long"),
-        "n_capitals": (F.length(t) - _without(t, CAPITALS)).cast("long")})
+        "word_chars": (F.length(t) - F.regexp_count(t, F.lit(f"[{SPACE}]"))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+        "n_capitals": F.regexp_count(t, F.lit("[A-Z]")).cast("long")})
     at = lambda i, k: F.get("_hashes", i + k)
     windows = F.transform(F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))),
                           lambda h, i: F.xxhash64(h, *[at(i, k) for k in range(1, WINDOW)]))
@@ -67,7 +64,9 @@ NAMES = list(FEATURES)
 SUBSET = 0.6          # share of a group's rows in the subset of least determinant
 MIN_ROWS = 200        # smaller groups are estimated together
 TAIL = 1e-8           # share of normal vectors that may lie outside
-STEPS = 30
+STEPS = 30            # concentration steps at most
+SETTLED = 1e-2        # change of a log determinant below which a group has converged
+LEVELS = 200          # steps per unit of a distance's logarithm that a subset may end at
 GRID = 100            # grid cells per unit when quantiles are counted
 
 
@@ -94,15 +93,12 @@ def grid_quantile(df: DataFrame, group: str, columns: dict[str, float], share: f
     Values are counted on a grid, combined map-side, so a group of any size is a few
     hundred rows, and the result does not depend on the order of the rows.
     """
-    cells = df.select(group, F.explode(F.array(*[F.struct(
-        F.lit(c).alias("c"), F.round(F.col(c) / unit * GRID).cast("long").alias("v")) for c, unit in columns.items()
-    ])).alias("s")).groupBy(group, "s.c", "s.v").agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy(group, "c")
-    upto = F.sum("n").over(every.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cells = cells.withColumns({"upto": upto, "all": F.sum("n").over(every)})
-    return cells.groupBy(group).agg(*[
-        (F.min(F.when((F.col("c") == c) & (F.col("upto") >= F.ceil(F.col("all") * share)), F.col("v"))) * unit / GRID).alias(c)
-        for c, unit in columns.items()])
+    pairs = ", ".join(f"'{c}', cast(round({c} / {unit} * {GRID}) as long)" for c, unit in columns.items())
+    cells = df.selectExpr(group, f"stack({len(columns)}, {pairs}) as (c, v)").groupBy(group, "c", "v").count()
+    upto = f"sum(count) over (partition by {group}, c order by v rows unbounded preceding)"
+    cells = cells.selectExpr(group, "c", "v", f"{upto} >= ceil(sum(count) over (partition by {group}, c) * {share}) as reached")
+    return cells.groupBy(group).agg(*[F.expr(f"min(case when reached and c = '{c}' then v end) * {unit} / {GRID} as {c}")
+                                      for c, unit in columns.items()])
 
 
 def _group_names(rows: DataFrame, min_rows: int) -> DataFrame:
@@ -117,36 +113,30 @@ def _group_names(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Add ``distance``, the squared Mahalanobis distance, from the centre m_i and the Cholesky factor l_i_j."""
-    steps = []
-    for i, c in enumerate(NAMES):
-        inner = F.col(c) - F.col(f"m_{i}")
-        for k in range(i):
-            inner = inner - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        rows = rows.withColumn(f"z_{i}", inner / F.col(f"l_{i}_{i}"))
-        steps.append(F.col(f"z_{i}") * F.col(f"z_{i}"))
-    total = steps[0]
-    for s in steps[1:]:
-        total = total + s
-    return rows.withColumn("distance", total).drop(*[f"z_{i}" for i in range(len(NAMES))])
+    """Add ``distance``, the squared Mahalanobis distance, from the centre m_i and the inverse factor v_i_j."""
+    parts = [" + ".join(f"v_{i}_{k} * ({NAMES[k]} - m_{k})" for k in range(i + 1)) for i in range(len(NAMES))]
+    return rows.withColumn("distance", F.expr(" + ".join(f"power({z}, 2)" for z in parts)))
 
 
 def _factored(moments: DataFrame, scale: float) -> DataFrame:
-    """Centre and Cholesky factor of scale * covariance + squared least scales, one row per group."""
+    """Centre and inverse Cholesky factor of scale * covariance + squared least scales, one row per group."""
     p = len(NAMES)
-    out = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(p)})
+    floor = [FEATURES[c][1] ** 2 for c in NAMES]
+    out = moments.selectExpr("group", "was", *[f"s_{i} / n as m_{i}" for i in range(p)], *[
+        f"{scale} * greatest(s_{i}_{i} / n - power(s_{i} / n, 2), 0D) + {floor[i]} as c_{i}_{i}" if i == j else
+        f"{scale} * (s_{i}_{j} / n - s_{i} / n * s_{j} / n) as c_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    less = lambda i, j: "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
     for j in range(p):
-        for i in range(j, p):
-            value = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + FEATURES[NAMES[i]][1] ** 2
-            for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(FEATURES[NAMES[i]][1] ** 2 / 4)))
-                                 if i == j else value / F.col(f"l_{j}_{j}"))
-    half = sum((F.ln(f"l_{i}_{i}") for i in range(1, p)), F.ln("l_0_0"))
-    return out.select("group", (half * 2).alias("log_det"), *[f"m_{i}" for i in range(p)],
-                      *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+        out = out.selectExpr("*", f"sqrt(greatest(c_{j}_{j}{less(j, j)}, {floor[j] / 4})) as l_{j}_{j}")
+        if j + 1 < p:
+            out = out.selectExpr("*", *[f"(c_{i}_{j}{less(i, j)}) / l_{j}_{j} as l_{i}_{j}" for i in range(j + 1, p)])
+    out = out.selectExpr("*", *[f"1 / l_{i}_{i} as v_{i}_{i}" for i in range(p)])
+    for gap in range(1, p):
+        out = out.selectExpr("*", *[
+            "-(" + " + ".join(f"l_{i}_{k} * v_{k}_{i - gap}" for k in range(i - gap, i)) + f") / l_{i}_{i} as v_{i}_{i - gap}"
+            for i in range(gap, p)])
+    return out.selectExpr("group", "was", "2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(p)) + ") as log_det",
+                          *[f"m_{i}" for i in range(p)], *[f"v_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def robust_fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
@@ -155,48 +145,53 @@ def robust_fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> D
     Starts from medians and median deviations. Each concentration step takes the
     ``subset`` of the group with the smallest distances and computes its mean and
     covariance anew, which never raises the determinant, until no group's changes.
-    A step is two map-side combined aggregates over the rows; the state is one row
-    per group.
+    Counts and sums per group and level of distance, combined map-side, give both
+    the subset and its moments in one pass over the rows; the state is one row per
+    group.
     """
     p = len(NAMES)
+    triangle = [(i, j) for i in range(p) for j in range(i + 1)]
     units = {c: floor for c, (_, floor) in FEATURES.items()}
-    centre = sized(grid_quantile(rows, "group", units, 0.5).withColumnsRenamed({c: f"c_{c}" for c in NAMES}))
-    off = rows.join(centre, "group").select("group", *[F.abs(F.col(c) - F.col(f"c_{c}")).alias(c) for c in NAMES])
-    spread = grid_quantile(off, "group", units, 0.5).withColumnsRenamed({c: f"d_{c}" for c in NAMES})
-    start = centre.join(spread, "group")
-    state = start.select("group", F.lit(float("inf")).alias("log_det"), *[F.col(f"c_{c}").alias(f"m_{i}") for i, c in enumerate(NAMES)], *[
-        (F.greatest(F.col(f"d_{c}") * 1.4826, F.lit(FEATURES[c][1])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-        for i, c in enumerate(NAMES) for j in range(i + 1)])
-    state = sized(state)
+    centre = sized(grid_quantile(rows, "group", units, 0.5).withColumnsRenamed({c: f"m_{i}" for i, c in enumerate(NAMES)}))
+    off = rows.join(centre, "group").selectExpr("group", *[f"abs({c} - m_{i}) as {c}" for i, c in enumerate(NAMES)])
+    spread = grid_quantile(off, "group", units, 0.5)
+    state = sized(centre.join(spread, "group").selectExpr(
+        "group", "double('infinity') as log_det", *[f"m_{i}" for i in range(p)], *[
+            f"1 / greatest({NAMES[i]} * 1.4826D, {FEATURES[NAMES[i]][1]}) as v_{i}_{i}" if i == j else f"0D as v_{i}_{j}"
+            for i, j in triangle]))
     # consistency at the normal model of a covariance over the nearest share of the rows
     scale = subset / _chi2(_chi2_quantile(subset, p), p + 2)
+    sums = [f"s_{i}" for i in range(p)] + [f"s_{i}_{j}" for i, j in triangle]
+    before = None
     for _ in range(steps):
-        near = _distance(rows.join(state, "group")).withColumn("level", F.ln(F.col("distance") + 1e-6))
-        limit = sized(grid_quantile(near, "group", {"level": 0.5}, subset).withColumnRenamed("level", "limit"))
-        inside = near.select("group", "level", *NAMES).join(limit, "group").where(
-            F.round(F.col("level") / 0.5 * GRID) <= F.round(F.col("limit") / 0.5 * GRID))
-        moments = inside.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(NAMES)], *[
-            F.sum(F.col(c) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, c in enumerate(NAMES) for j in range(i + 1)])
-        after = sized(_factored(sized(moments), scale))
-        change = after.join(state.select("group", F.col("log_det").alias("was")), "group").agg(
-            F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        state = after
-        if change is None or change < 1e-3:
+        near = _distance(rows.join(state, "group")).selectExpr(
+            "group", "log_det", f"cast(round(ln(distance + 1e-6) * {LEVELS}) as long) as level", *NAMES)
+        levels = near.groupBy("group", "level").agg(
+            F.expr("count(1) as n"), F.expr("first(log_det) as was"), *[F.expr(f"sum({c}) as s_{i}") for i, c in enumerate(NAMES)],
+            *[F.expr(f"sum({NAMES[i]} * {NAMES[j]}) as s_{i}_{j}") for i, j in triangle])
+        nearer = "coalesce(sum(n) over (partition by group order by level rows between unbounded preceding and 1 preceding), 0)"
+        inside = levels.selectExpr("*", f"{nearer} < ceil(sum(n) over (partition by group) * {subset}) as inside").where("inside")
+        moments = sized(inside.groupBy("group").agg(F.expr("sum(n) as n"), F.expr("first(was) as was"),
+                                                    *[F.expr(f"sum({c}) as {c}") for c in sums]))
+        state = _factored(moments, scale)
+        now = {r["group"]: r["was"] for r in moments.select("group", "was").collect()}
+        if before and all(abs(now[g] - before[g]) < SETTLED for g in now):
             break
-    return state
+        before = now
+    return state.drop("was")
 
 
 def _features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.expr(e) for c, (e, _) in FEATURES.items()})
 
 
-BASE = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+BASE = "(n_words < 10 or 100 * n_repeat_words > 20 * n_words)"
 
 
 def fit(statistics: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
     """(group names, robust estimates) from statistics with lang and source; rows the base rules reject are left out."""
     scratch = Scratch(statistics.sparkSession)
-    sound = statistics.where(~BASE)
+    sound = statistics.where(f"not {BASE}")
     names = _group_names(sound, min_rows)
     rows = scratch.keep(_features(null_safe_join(sound, names, ["lang", "source"])).select("group", *NAMES), "features")
     return names, robust_fit(rows)
@@ -207,7 +202,8 @@ def judged(statistics: DataFrame, names: DataFrame, estimates: DataFrame, tail:
     limit = _chi2_quantile(1 - tail, len(NAMES))
     rows = null_safe_join(statistics, names, ["lang", "source"], "left")
     rows = _distance(_features(rows).join(estimates, "group", "left"))
-    return rows.withColumns({"base_failed": BASE, "kept": ~BASE & F.coalesce(F.col("distance") <= limit, F.lit(True))})
+    return rows.withColumns({"base_failed": F.expr(BASE),
+                             "kept": F.expr(f"not {BASE}") & F.coalesce(F.col("distance") <= limit, F.lit(True))})
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
@@ -232,10 +228,15 @@ def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", so
 
 
 def accepted(docs: DataFrame, text="text", lang="lang", source="source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts are not shuffled."""
+    """The rows of ``docs`` that are kept, with all their columns; texts are not shuffled.
+
+    The rows are written once with their statistics: the estimates need all of these
+    before the first verdict, and a verdict must not compute them again.
+    """
     scratch = Scratch(docs.sparkSession)
-    view = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).alias("text"),
+    view = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
                        F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    names, estimates = fit(scratch.keep(text_statistics(view.drop("row")).drop("text"), "statistics"))
-    kept = judged(text_statistics(view), names, estimates).where("kept")
+    rows = scratch.keep(text_statistics(view, f"row.{text}"), "statistics")
+    names, estimates = fit(rows)
+    kept = judged(rows, names, estimates).where("kept")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
