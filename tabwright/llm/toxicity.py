@@ -110,7 +110,8 @@ class ToxicityModel:
                 logits = np.fromiter((bias + sum(map(weights.__getitem__, features(t))) for t in batch["__text"]),
                                      np.float64, len(batch))
                 out = batch[names].copy()
-                out["score"] = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+                with np.errstate(over="ignore"):
+                    out["score"] = 1 / (1 + np.exp(-logits))
                 yield out
 
         return docs.select(*names, text_of(text).alias("__text")).mapInPandas(run, schema)
