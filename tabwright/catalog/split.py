@@ -30,7 +30,7 @@ def stratified_sql(tbl, key, y, frac, seed):
 
 @query("f3_stratified_split", stratified_sql("embeddings", "vec_id", "label", 0.2, 1))
 def _(spark, sf):
-    return S.stratified_split(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label", seed=1)
+    return S.stratified_split(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label", 0.2, seed=1)
 
 
 @query("f3_stratified_split_share", stratified_sql("labels", "doc_id", "quality", 0.33, 2))

@@ -9,7 +9,7 @@ from ..operators.fitted import Chain
 from ..plans.prepare import Dataset, map_columns, prepare
 from ..session import scratch_table
 from ..streaming.apply import apply_fitted, read_files
-from ..streaming.meters import RunningMeter, windowed_averages
+from ..streaming.meters import RunningMeter, WindowTable, windowed_averages
 from .base import query, table
 from .metrics import rounded
 
@@ -44,16 +44,14 @@ def _(spark, sf):
     return rounded(meter.values(spark, run.lastProgress["batchId"]), 6, ["avg", "global_avg"])
 
 
-@query("l2_windowed_averages", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events
-    WHERE strftime(ts, '%Y-%m-%d') < (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d') FROM events) GROUP BY 1, 2""")
+@query("l2_windowed_averages", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean
+    FROM events GROUP BY 1, 2""")
 def _(spark, sf):
-    out = scratch_table(spark, "windows")
-    stream = read_files(spark, *split_copy(spark, sf))
-    rows = windowed_averages(stream, "event_type", "ts", "value")
-    rows.writeStream.format("parquet").option("checkpointLocation", scratch_table(spark, "windows-state")).outputMode(
-        "append").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n",
-                                          F.round("mean", 6).alias("mean"))
+    windows = WindowTable(scratch_table(spark, "windows"), ["start", "event_type"])
+    stream = read_files(spark, *split_copy(spark, sf), files_per_trigger=1)   # days are spread over all files
+    windows.start(windowed_averages(stream, "event_type", "ts", "value"), scratch_table(spark, "windows-state")).awaitTermination()
+    return windows.rows(spark).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n",
+                                      F.round("mean", 6).alias("mean"))
 
 
 @query("m2_custom_transform", "SELECT event_id, round(sqrt(value), 6) AS root, round(value, 6) AS back FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -80,40 +81,49 @@ def map_classes(df: DataFrame, probs: str, index: Sequence[int], out: str | None
 
 # ---- distributions over member borders ----------------------------------------
 
+# fixed values of the border contract
+BAR_WIDTH = 1.0        # width of the outer bar that stands for a lost tail
+LEAST_WIDTH = 1e-6     # an upper end bar narrower than this is widened
+WIDEN_SHARE = 0.1      # ... by this share of its outer border
+
+
 def repair_borders(borders: Sequence[float]) -> tuple[list[float], list[bool], bool]:
     """Usable borders of a member after its target transform was undone.
 
-    Tails that are not finite or beyond +-1000 collapse onto the last good
-    border, one unit wide at the outside, and the bars touching them are masked.
-    Zero-width ends are widened; descending borders are turned round. Returns
-    borders, mask of dropped bars, whether they were turned.
+    A border is usable if it is finite and within +-1000. The unusable ones in front
+    of the first usable border and behind the last are replaced: the outermost lies
+    one unit outside, all others lie on the usable end, so that the number of bars
+    stays. A bar with an unusable border is masked. Descending borders are turned
+    round, and end bars without width get one. Returns borders, mask of dropped
+    bars, whether they were turned.
     """
-    b = np.array(borders, dtype=float)
-    broken = ~np.isfinite(b) | (np.abs(np.nan_to_num(b, nan=np.inf)) > BORDER_LIMIT)
-    mask = broken[1:] | broken[:-1]
-    good = np.flatnonzero(~broken)
-    if len(good) < 2:
+    usable = [math.isfinite(x) and abs(x) <= BORDER_LIMIT for x in borders]
+    if sum(usable) < 2:
         raise ValueError("fewer than two usable borders")
-    if broken[good[0]:good[-1] + 1].any():
+    low = usable.index(True)
+    high = len(usable) - 1 - usable[::-1].index(True)
+    if not all(usable[low:high + 1]):
         raise ValueError("broken borders between usable ones")
-    first, last = good[0], good[-1]
-    if first > 0:
-        b[:first] = b[first]
-        b[0] = b[1] - 1.0
-    if last < len(b) - 1:
-        b[last + 1:] = b[last]
-        b[-1] = b[-2] + 1.0
-    if b[0] > b[-1]:
-        return _widened(b[::-1].copy()).tolist(), mask[::-1].tolist(), True
-    return _widened(b).tolist(), mask.tolist(), False
-
-
-def _widened(b: np.ndarray) -> np.ndarray:
-    if b[-1] - b[-2] < 1e-6:
-        b[-1] += abs(b[-1]) * 0.1
-    if b[0] == b[1]:
-        b[0] -= abs(b[0]) * 0.1
-    return b
+    before, after = low, len(usable) - 1 - high
+    sound = [float(x) for x in borders[low:high + 1]]
+    repaired = [*([sound[0] - BAR_WIDTH] if before else []), *[sound[0]] * (before - 1), *sound,
+                *[sound[-1]] * (after - 1), *([sound[-1] + BAR_WIDTH] if after else [])]
+    mask = [not (x and y) for x, y in zip(usable, usable[1:])]
+    turned = repaired[0] > repaired[-1]
+    if turned:
+        repaired, mask = repaired[::-1], mask[::-1]
+    inner = repaired[1:-1]
+    lower, upper = repaired[0], repaired[-1]
+    if lower == repaired[1]:
+        lower -= _extra_width(lower)
+    if upper - repaired[-2] < LEAST_WIDTH:
+        upper += _extra_width(upper)
+    return [lower, *inner, upper], mask, turned
+
+
+def _extra_width(border: float) -> float:
+    """What an end bar without width gets; a border at 0 has no share to give, so its bar gets the least width."""
+    return max(abs(border) * WIDEN_SHARE, LEAST_WIDTH)
 
 
 def merge_distributions(df: DataFrame, key: str, member: str, logits: str, member_borders: Mapping[int, Sequence[float]],

@@ -363,11 +363,12 @@ def balanced_assign(df: DataFrame, scores: str, temperature: float, iters: int =
     return base.withColumn(out, V.let(scaled, V.normalise_sum)).drop("_e")
 
 
+# fixed values: 45 penalties, evenly spaced powers of ten
 PROBE_CS = tuple(float(10 ** e) for e in np.linspace(-6, 5, 45))
 
 
 def probe_sweep(train: DataFrame, valid: DataFrame, vec: str, label: str, cs: Sequence[float] = PROBE_CS,
-                max_iter: int = 100, parallelism: int = 4):
+                max_iter: int = 1_000, parallelism: int = 4):
     """L2 logistic regression for every C, scored on ``valid``, best one refitted on both.
 
     Returns (table of c, top_1, top_5, best) and the refitted model.

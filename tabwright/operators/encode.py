@@ -16,6 +16,14 @@ VOCABULARY_LIMIT = 100_000  # values kept on the driver over all columns; more g
 INLINE_LIMIT = 64           # codes looked up in an expression instead of a join
 
 
+def cell_text(df: DataFrame, c: str):
+    """A cell as category text: null for NaN, and one text per number whatever its type."""
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        whole = (F.abs(F.col(c)) < 2.0**53) & (F.col(c) == F.floor(c))
+        return F.when(~F.isnan(c), F.when(whole, F.col(c).cast("long").cast("string")).otherwise(F.col(c).cast("string")))
+    return F.col(c).cast("string")
+
+
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(c, text, num): every categorical cell as a row, ready for one combined aggregate."""
     kinds = {f.name: f.dataType for f in df.schema}
@@ -23,7 +31,7 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     def num(c):
         return F.col(c).cast("double") if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")
     return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("text"), num(c).alias("num"))
+        F.struct(F.lit(c).alias("c"), cell_text(df, c).alias("text"), num(c).alias("num"))
         for c in cols])).alias("s")).select("s.*")
 
 
@@ -60,7 +68,7 @@ class Codes(Fitted):
         return F.when(text.isNull(), F.lit(None)).when(code.isNotNull(), code.cast("double")).otherwise(missing)
 
     def _encode(self, df: DataFrame, c: str) -> DataFrame:
-        text, out = F.col(c).cast("string"), c + self.suffix
+        text, out = cell_text(df, c), c + self.suffix
         vocabulary = self.values.get(c)
         if vocabulary is not None and len(vocabulary) <= INLINE_LIMIT:
             if not vocabulary:
@@ -162,7 +170,8 @@ class OneHot(Fitted):
 
     @staticmethod
     def _name(c: str, v) -> str:
-        return f"{c}={'' if v is None else v}".replace(".", "_")  # a dot would read as a field access
+        # a dot would read as a field access; escaped so that no two values share a name
+        return f"{c}={'' if v is None else v}".replace("%", "%25").replace(".", "%2E")
 
     def _flags(self, c: str) -> list:
         v = self.values[c]
@@ -171,7 +180,7 @@ class OneHot(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         out = {}
         for c in self.values:
-            text = F.col(c).cast("string")
+            text = cell_text(df, c)
             for v in self._flags(c):
                 hit = text.isNull() if v is None else text.eqNullSafe(F.lit(v))
                 out[self._name(c, v)] = hit.cast("int")

@@ -124,15 +124,18 @@ def _pearson(y, p, w):
 
 
 def true_class_rank(y: Column, probs: Column) -> Column:
-    """1 + classes with a larger probability; equal ones count if their id is smaller."""
+    """1 + classes with a larger probability; equal ones count if their id is smaller.
+
+    Null, and so never a hit, for a label that is no class or has no probability.
+    """
     y = y.cast("int")
     mine = F.get(probs, y)
     above = F.filter(probs, lambda v, j: (v > mine) | ((v == mine) & (j < y)))
-    return F.size(above) + 1
+    return F.when(mine.isNotNull() & ~F.isnan(mine), F.size(above) + 1)
 
 
 def top_k_hit(y: Column, probs: Column, k: int) -> Column:
-    return (true_class_rank(y, probs) <= k).cast("double")
+    return F.coalesce((true_class_rank(y, probs) <= k).cast("double"), F.lit(0.0))
 
 
 def any_label_hit(labels: Column, probs: Column, k: int) -> Column:

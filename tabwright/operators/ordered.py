@@ -51,7 +51,7 @@ def with_buckets(df: DataFrame, cuts: dict[str, list[float]], prefix: str = "_b_
 
 
 def order_statistics(df: DataFrame, wanted) -> dict[str, tuple[int, dict[int, float]]]:
-    """Exact values at 0-based ranks among the non-null values of numeric columns.
+    """Exact values at 0-based ranks among the finite values of numeric columns.
 
     ``wanted`` maps a column to a list of ranks or to a function of the count
     that gives one. Returns per column the count and rank -> value. Three passes
@@ -62,7 +62,7 @@ def order_statistics(df: DataFrame, wanted) -> dict[str, tuple[int, dict[int, fl
     marked = with_buckets(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cuts)
     long = marked.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"_b_{c}").alias("b"), F.col(c).alias("v"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*").where("v is not null")
+        for i, c in enumerate(cols)])).alias("s")).select("s.*").where("abs(v) < double('infinity')")
     hist: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(cols))}
     for r in long.groupBy("c", "b").count().collect():  # columns x buckets rows
         hist[r["c"]].append((r["b"], r["count"]))

@@ -54,11 +54,6 @@ def tuning_holdout(df: DataFrame, key: str, seed: int = 0, out: str = "split") -
     return split(df, key, {"tune": lambda n: n // 10}, "train", seed, out)
 
 
-def default_fraction(n: int) -> float:
-    """Validation share by table size (fixed values)."""
-    return 0.2 if n < 500_000 else 0.1 if n < 1_000_000 else 0.05
-
-
 def class_quotas(df: DataFrame, y: str, take: int, n: int) -> DataFrame:
     """(y, rank): how many rows each class gives to ``take`` of the ``n`` rows, by largest remainder."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
@@ -70,11 +65,11 @@ def class_quotas(df: DataFrame, y: str, take: int, n: int) -> DataFrame:
         y, (F.col("_floor") + F.when(F.col("_place") <= left, 1).otherwise(0)).cast("long").alias("rank"))
 
 
-def stratified_split(df: DataFrame, key: str, y: str, frac: float | None = None, seed: int = 0,
+def stratified_split(df: DataFrame, key: str, y: str, frac: float, seed: int = 0,
                      names: tuple[str, str] = ("train", "test"), out: str = "split") -> DataFrame:
     """Two-way split with class shares kept; ceil(frac * n) rows get ``names[1]``."""
     n = df.count()
-    take = math.ceil(round((frac if frac is not None else default_fraction(n)) * n, 9))
+    take = math.ceil(round(frac * n, 9))
     marked = df.withColumn("_h", seeded_hash(seed, key))
     flagged = take_first(marked, "_h", class_quotas(df, y, take, n), [y], "_test", prefix_digits(n))
     return flagged.withColumn(out, F.when(F.col("_test"), names[1]).otherwise(names[0])).drop("_h", "_test")

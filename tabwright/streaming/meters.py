@@ -73,10 +73,38 @@ class RunningMeter:
         return meter_values(spark.read.parquet(self.version(batch_id)), self.series)
 
 
-def windowed_averages(stream: DataFrame, series: str, ts: str, value: str, window: str = "1 day",
-                      watermark: str = "1 hour") -> DataFrame:
-    """(window start, series, n, total) per tumbling window; partial sums are combined before the shuffle."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+def windowed_averages(stream: DataFrame, series: str, ts: str, value: str, window: str = "1 day") -> DataFrame:
+    """(window start, series, n, mean) per tumbling window; partial sums are combined before the shuffle.
+
+    There is no watermark: a late row changes its window, and the state is one row per
+    window and series. Write it with :class:`WindowTable`.
+    """
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
     return timed.groupBy(F.window("_ts", window).alias("_w"), series).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean")).select(
             F.col("_w.start").alias("start"), series, "n", "mean")
+
+
+class WindowTable:
+    """Keyed table of a windowed stream: every micro-batch writes the windows it changed, the latest of a key counts.
+
+    A repeated batch overwrites its own part, so retries change nothing.
+    """
+
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path.rstrip("/"), keys
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def start(self, windows: DataFrame, checkpoint: str, available_now: bool = True):
+        writer = windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(self.update)
+        if available_now:
+            writer = writer.trigger(availableNow=True)
+        return writer.start()
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        parts = spark.read.parquet(self.path)
+        values = [c for c in parts.columns if c not in (*self.keys, "batch")]
+        latest = parts.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("_s"))
+        return latest.select(*self.keys, "_s.*")

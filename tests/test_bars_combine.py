@@ -101,6 +101,8 @@ def test_repair_of_broken_borders():
     assert b == [0.0, 1.0, 3.0] and turned
     b, _, _ = C.repair_borders([1.0, 1.0, 2.0, 2.0])
     assert b[0] == 0.9 and math.isclose(b[-1], 2.2)
+    b, _, _ = C.repair_borders([0.0, 0.0, 1.0])
+    assert b[0] < b[1]
     with pytest.raises(ValueError):
         C.repair_borders([math.nan, math.nan, 1.0])
 

@@ -127,3 +127,29 @@ def test_groups_may_have_any_name(spark):
         out = M.evaluate(df.withColumnRenamed("s", name), ["roc_auc", "accuracy", "log_loss"], by=[name], problem=M.BINARY)
         got = {(r[name], r["metric"]): r["score"] for r in out.collect()}
         assert got[("x", "roc_auc")] == 1.0 and got[("y", "accuracy")] == 0.0
+
+
+def test_labels_that_are_no_class_are_no_hits(spark):
+    from tabwright.operators.metrics import top_k_hit
+    rows = [(0, [0.7, 0.3]), (1, [0.8, 0.2]), (5, [0.5, 0.5]), (-1, [0.5, 0.5]), (None, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "y int, p array<double>")
+    got = [r[0] for r in df.select(top_k_hit(F.col("y"), F.col("p"), 1)).collect()]
+    assert got == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_not_finite_values_are_not_ranked(spark):
+    from tabwright.operators.ordered import quantiles
+    rows = [(float(i),) if i % 3 else (float("nan"),) for i in range(100)] + [(float("inf"),), (None,)]
+    finite = sorted(float(i) for i in range(100) if i % 3)
+    df = spark.createDataFrame(rows, "x double")
+    assert quantiles(df, ["x"], [0.0, 1.0])["x"] == [finite[0], finite[-1]]
+
+
+def test_one_code_per_number_whatever_its_type(spark):
+    from tabwright.operators.encode import fit_codes, fit_onehot
+    ints = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    doubles = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.5,)], "x double")
+    codes = fit_codes(ints, ["x"], unknown=-1)
+    assert [r[0] for r in codes.transform(doubles).collect()] == [0.0, 1.0, None, -1.0]
+    names = fit_onehot(spark.createDataFrame([("a.b",), ("a_b",), ("c",)], "x string"), ["x"]).names()
+    assert len(set(names)) == 3
