@@ -122,7 +122,7 @@ def _(spark, sf):
     return S.read_table(spark, path, "series string, step int, n bigint, score double", "json")
 
 
-@query("a11_table_checksum", """WITH h AS (SELECT ('0x' || substr(md5(o_custkey || '|' || o_orderkey || '|' || o_orderpriority || '|' || o_orderstatus), 1, 15))::BIGINT AS h FROM orders)
+@query("a11_table_checksum", """WITH h AS (SELECT ('0x' || substr(md5(len(o_custkey::VARCHAR) || ':' || o_custkey || len(o_orderkey::VARCHAR) || ':' || o_orderkey || len(o_orderpriority) || ':' || o_orderpriority || len(o_orderstatus) || ':' || o_orderstatus), 1, 15))::BIGINT AS h FROM orders)
     SELECT count(*) AS n_rows, bit_xor(h) AS digest_xor, sum(h % 1000003)::BIGINT AS digest_sum FROM h""")
 def _(spark, sf):
     return S.table_checksum(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))

@@ -383,20 +383,26 @@ def _pac(df: DataFrame, by: Sequence[str], problem: str) -> DataFrame:
 
 # ---- evaluate -----------------------------------------------------------------
 
+def _needed(col: Column, what: str) -> Column:
+    """The column; a null in it is an error, the same for every metric."""
+    return F.when(col.isNull(), F.raise_error(F.lit(f"null {what}")).cast("double")).otherwise(col.cast("double"))
+
+
 def _prepare(df: DataFrame, by, y_true, y_pred, probs, score, weight) -> DataFrame:
-    """Rename the contract columns; classes follow from probabilities when absent."""
-    cols = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)] + [F.col(y_true).cast("double").alias("_y"),
-                                     (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")]
+    """Rename the contract columns; classes follow from probabilities when absent. Null values are errors."""
+    cols = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)] + [
+        _needed(F.col(y_true), "true value").alias("_y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")]
     if probs in df.columns:
         cols.append(V.as_double(probs).alias("_probs"))
     if score in df.columns:
-        cols.append(F.col(score).cast("double").alias("_s"))
+        cols.append(_needed(F.col(score), "score").alias("_s"))
     if y_pred in df.columns:
-        cols.append(F.col(y_pred).cast("double").alias("_p"))
+        cols.append(_needed(F.col(y_pred), "prediction").alias("_p"))
     elif probs in df.columns:
-        cols.append(V.argmax(V.as_double(probs)).cast("double").alias("_p"))
+        cols.append(_needed(V.argmax(V.as_double(probs)), "probabilities").alias("_p"))
     elif score in df.columns:
-        cols.append((F.col(score) > 0.5).cast("double").alias("_p"))
+        cols.append((_needed(F.col(score), "score") > 0.5).cast("double").alias("_p"))
     return df.select(*cols)
 
 

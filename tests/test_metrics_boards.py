@@ -153,3 +153,17 @@ def test_one_code_per_number_whatever_its_type(spark):
     assert [r[0] for r in codes.transform(doubles).collect()] == [0.0, 1.0, None, -1.0]
     names = fit_onehot(spark.createDataFrame([("a.b",), ("a_b",), ("c",)], "x string"), ["x"]).names()
     assert len(set(names)) == 3
+
+
+def test_null_predictions_are_errors(spark):
+    from tabwright.operators.metrics import evaluate
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 2.0)], "y double, p double")
+    with pytest.raises(Exception, match="null prediction"):
+        evaluate(df, ["r2"], y_true="y", y_pred="p").collect()
+
+
+def test_checksums_tell_shifted_and_null_values_apart(spark):
+    from tabwright.sources.tables import table_checksum
+    sums = {tuple(table_checksum(spark.createDataFrame([r], "a string, b string")).first())
+            for r in [("a|", "b"), ("a", "|b"), ("", "x"), (None, "x"), ("1:a", ""), ("", "1:a")]}
+    assert len(sums) == 6
