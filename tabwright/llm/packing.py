@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -15,62 +19,84 @@ from .common import Scratch, text_of
 CAPACITY = 2048
 END = 0                  # id after each document
 BLOCK_PIECES = 100_000   # pieces that are packed together
-CACHED_WORDS = 1_000_000
-MARK, MARK_BYTES = "\x01", b"\x01"
-ENDINGS = b".,;:!?$%&#*"   # marks that are cut off the end of a word
+CACHED_STEMS = 1_000_000
+ROWS = 4_000             # texts that are split and looked up at a time
+MARK = "\x01"
+ENDINGS = ".,;:!?$%&#*"   # marks that are cut off the end of a word
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "serial"]
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long, serial long"
 PLACED = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers, word by word with a cache.
+    """Token ids of texts as little-endian 32-bit numbers, word by word.
 
     The tokenizer never joins anything across ASCII white space, so the ids of a text
     are those of its words one after the other. It drops case and begins a new piece
     where a letter or digit meets punctuation; so a word is looked up in lower case and
-    apart from the marks that end it. New words are encoded many at a time with the
+    apart from the marks that end it. Each distinct word of a batch is looked up once, and
+    stems not seen before are encoded many at a time with the
     control character U+0001 between them, whose id no other text gives.
     """
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.cache, self.stems = tokenizer, {}, {}
+        self.tokenizer, self.stems = tokenizer, {}
         (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def alone(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_stems(self, stems: list[bytes]) -> None:
+    def encode_stems(self, stems: list[str]) -> None:
         for at in range(0, len(stems), 20_000):
             some = stems[at:at + 20_000]
-            joined = f" {MARK} ".encode().join(some).decode()
+            joined = f" {MARK} ".join(some)
             found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             marks = (4 * np.flatnonzero(found == self.mark)).tolist()
             ids = found.tobytes()
             self.stems.update(zip(some, map(ids.__getitem__, map(slice, [0, *(m + 4 for m in marks)], [*marks, len(ids)]))))
 
-    def learn(self, words) -> None:
-        parts = []
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        parts, alone = [], {}
         for word in words:
-            if MARK_BYTES in word or b"<|" in word:   # special tokens are found before anything else
-                self.cache[word] = self.alone(word)
+            if MARK in word or "<|" in word:   # special tokens are found before anything else
+                alone[word] = self.alone(word)
+                parts.append((word, ""))
                 continue
-            lower = word.lower()
+            lower = word.lower() if word.isascii() else word
             stem = lower.rstrip(ENDINGS)
-            parts.append((word, stem, lower[len(stem):]) if stem[-1:].isalnum() else (word, lower, b""))
-        self.encode_stems(list({stem for _, stem, _ in parts}.difference(self.stems)))
-        for ending in {ending for _, _, ending in parts}.difference(self.stems):
+            last = stem[-1:]
+            parts.append((stem, lower[len(stem):]) if last.isascii() and last.isalnum() else (lower, ""))
+        stems = {stem for stem, _ in parts}.difference(self.stems, alone)
+        if len(self.stems) + len(stems) > CACHED_STEMS:
+            self.stems, stems = {}, {stem for stem, _ in parts}.difference(alone)
+        self.encode_stems(list(stems))
+        for ending in {ending for _, ending in parts}.difference(self.stems):
             self.stems[ending] = self.alone(ending)
-        self.cache.update((word, self.stems[stem] + self.stems[ending]) for word, stem, ending in parts)
-
-    def __call__(self, texts) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        words = set().union(*split)
-        missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHED_WORDS:
-            self.cache, self.stems, missing = {}, {}, words
-        self.learn(missing)
-        near = dict(zip(words, map(self.cache.__getitem__, words)))   # small enough to stay in the CPU's cache
-        return [b"".join(map(near.__getitem__, row)) for row in split]
+        known = self.stems | alone if alone else self.stems
+        return [known[stem] + known[ending] if ending else known[stem] for stem, ending in parts]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = self.words(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        word = coded.indices.to_numpy()
+        sizes = size[word]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(first[word] - upto[:-1], sizes) + np.arange(upto[-1])
+        data, ends = ids[at].tobytes(), 4 * upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _encoder(model: str) -> Encoder:
+    """The worker process's encoder, which its later tasks find with the stems it has seen."""
+    kept = sys.modules.setdefault("_tabwright_worker", types.ModuleType("_tabwright_worker")).__dict__
+    if kept.get("model") != model:
+        kept.update(model=model, encoder=Encoder(Tokenizer.from_str(model)))
+    return kept["encoder"]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text", capacity: int = CAPACITY,
@@ -87,23 +113,24 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text"
     width = 4 * capacity
 
     def run(batches):
-        encode, serial = Encoder(Tokenizer.from_str(model.value)), 0
+        encode, serial = _encoder(model.value), 0
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                some = batch.iloc[low:low + 500]
-                found = []
-                for row, ids in zip(some["doc_id"], encode(some["text"])):
+            for low in range(0, len(batch), ROWS):
+                some = batch.slice(low, ROWS)
+                found, row = [], []
+                for i, ids in enumerate(encode(some.column("text"))):
                     ids += last
                     for k, at in enumerate(range(0, len(ids), width)):
                         part = ids[at:at + width]
-                        found.append((row, k, at // 4, len(part) // 4, zlib.crc32(part), serial))
+                        row.append(i)
+                        found.append((k, at // 4, len(part) // 4, zlib.crc32(part), serial))
                         serial += 1
-                out = pd.DataFrame(found, columns=["doc_id", "piece", "start", "length", "ids_crc32", "serial"])
-                yield out.astype({"doc_id": some["doc_id"].dtype})
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.int32()] + [pa.int64()] * 4)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row)), *columns], names=NAMES)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInPandas(run, PIECE.format(id=kind))
+    return rows.mapInArrow(run, PIECE.format(id=kind))
 
 
 def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
