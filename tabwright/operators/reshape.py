@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import seeded_hash
 from ..functions.normal import probit
 from ..functions.vectors import literal_array
+from ..session import written
 from .clean import TRANSFORMS, finite_col
 from .encode import unique_counts
 from .features import Scale, fit_range
 from .fitted import Chain, Fitted
-from .ordered import hash_thresholds, order_statistics, quantile_table, quantiles, with_buckets
+from .ordered import BUCKET_ROWS, average_ranks, hash_thresholds, order_statistics, quantile_table, quantiles, with_buckets
 
 ROW_CONTRACT = 10_000      # the knot rules are stated for tables up to this size; larger ones keep its resolution
 PROBIT_CLIP = 5.19933758270342   # fixed value: probit(1 - 1e-7)
@@ -478,22 +479,37 @@ def median_skew(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     return {c: 3 * (s["mean"] - medians[c][0]) / s["pop"] if s["pop"] else 0.0 for c, s in stats(df, cols).items()}
 
 
-def _normality(values: list[float]) -> float:
-    """Shapiro-Francia W': squared correlation of sorted values with normal scores."""
-    from statistics import NormalDist
-    x = np.sort(np.array(values, dtype=float))
-    if len(x) < 3 or x[0] == x[-1]:
-        return 0.0
-    inv = NormalDist().inv_cdf
-    scores = np.array([inv((i - 0.375) / (len(x) + 0.25)) for i in range(1, len(x) + 1)])
-    return float(np.corrcoef(x, scores)[0, 1] ** 2)
+def _normality(df: DataFrame, cols: Sequence[str], piece: int = 1_000) -> dict[str, float]:
+    """Shapiro-Francia W' per column: squared correlation of all finite values with normal scores.
+
+    Distinct values with counts are ranked in buckets; runs of equal values are
+    cut into pieces of ranks, so one frequent value is spread over tasks too.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), finite_col(F.col(c).cast("double")).alias("x"))
+                                         for i, c in enumerate(cols)])).alias("s")).select("s.*").where("x is not null")
+    ranked = written(average_ranks(long, ["c"], "x", "mid"), "value-ranks")
+    sizes = {r["c"]: r["n"] for r in ranked.groupBy("c").agg(F.sum("_n").alias("n")).collect()}
+    out = dict.fromkeys(cols, 0.0)
+    if not sizes:
+        return out
+    last = (F.col("mid") + (F.col("_n") - 1) / 2).cast("long")
+    runs = ranked.select("c", "x", last.alias("last"), F.explode(F.sequence(last - F.col("_n") + 1, last, F.lit(piece))).alias("first"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(sizes.values()) / BUCKET_ROWS))
+    rows = runs.repartition(parts, "c", "first").select("c", "x", F.explode(F.sequence(
+        F.col("first"), F.least(F.col("last"), F.col("first") + (piece - 1)))).alias("i"))
+    n = F.get(literal_array([float(sizes.get(i, 0)) for i in range(len(cols))]), F.col("c"))
+    scores = rows.withColumn("score", probit((F.col("i") - 0.375) / (n + 0.25)))
+    for r in scores.groupBy("c").agg(F.corr("x", "score").alias("r")).collect():  # one row per column
+        if sizes[r["c"]] >= 3 and r["r"] is not None and math.isfinite(r["r"]):
+            out[cols[r["c"]]] = r["r"] ** 2
+    return out
 
 
-def column_shape(df: DataFrame, cols: Sequence[str], key: str, sample: int = 3000, seed: int = 0) -> dict[str, str]:
+def column_shape(df: DataFrame, cols: Sequence[str], key: str | None = None) -> dict[str, str]:
     """ordinal, skewed_pos_1_0, skewed_pos, skewed, normal or other, tested in that order.
 
-    The normality test looks at ``sample`` rows in seeded key order (a sampling
-    feature of the method); everything else at all rows.
+    Every test looks at all rows, so no ``key`` is needed to choose some; it is
+    accepted for callers that have one.
     """
     cols = list(cols)
     _, uniques = unique_counts(df, cols, 10)
@@ -502,8 +518,6 @@ def column_shape(df: DataFrame, cols: Sequence[str], key: str, sample: int = 300
     if not rest:
         return out
     skews, st = median_skew(df, rest), stats(df, rest)
-    rows = df.select(*rest).orderBy(seeded_hash(seed, key)).limit(sample).collect() if key in rest else \
-        df.select(*rest, key).orderBy(seeded_hash(seed, key)).limit(sample).collect()
     for c in rest:
         lo, hi = st[c]["min"], st[c]["max"]
         if skews[c] > 1.1 and lo >= 0 and hi <= 1:
@@ -512,9 +526,10 @@ def column_shape(df: DataFrame, cols: Sequence[str], key: str, sample: int = 300
             out[c] = "skewed_pos"
         elif skews[c] > 1.1:
             out[c] = "skewed"
-        else:
-            values = [r[c] for r in rows if r[c] is not None]
-            out[c] = "normal" if _normality(values) > 0.95 else "other"
+    even = [c for c in rest if out[c] == "ordinal"]
+    if even:
+        for c, w in _normality(df, even).items():
+            out[c] = "normal" if w > 0.95 else "other"
     return out
 
 

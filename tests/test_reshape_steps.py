@@ -144,6 +144,22 @@ def test_adaptive_applies_by_class(data):
     assert np.allclose(column(out, "normal"), column(data, "normal"))
 
 
+def test_column_shape_reads_all_rows(spark):
+    from statistics import NormalDist
+    n, inv = 20_000, NormalDist().inv_cdf
+    scores = np.array([inv((i + 1 - 0.375) / (n + 0.25)) for i in range(n)])
+    # two far values that a sample of 3,000 rows misses, and one value held by a third of the rows
+    far = [(-1.0) ** i * 40 if i in (1, 2) else float(scores[i]) for i in range(n)]
+    tied = [0.0 if i % 3 == 0 else float(scores[i]) for i in range(n)]
+    df = spark.createDataFrame([(i, far[i], tied[i], None) for i in range(n)], "key long, far double, tied double, empty double")
+    got = R._normality(df, ["empty", "far", "tied"])
+    assert got["empty"] == 0.0
+    for c, x in {"far": far, "tied": tied}.items():
+        assert math.isclose(got[c], np.corrcoef(np.sort(x), scores)[0, 1] ** 2, rel_tol=1e-6)
+    assert got["far"] < 0.95
+    assert R.column_shape(df, ["far"], "key") == {"far": "other"}
+
+
 def test_steps_append_svd_and_shuffled_order(data):
     cfg = S.PrepConfig("quantile_uni_coarse", "ordinal_very_common_categories_shuffled", True, -1, "svd")
     fitted = S.fit_features(data, ["skewed", "hot", "cat"], ["cat"], cfg, S.StepOptions(shift=1), key="key")
