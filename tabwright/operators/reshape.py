@@ -254,26 +254,67 @@ def _power_profile(df: DataFrame, cols: Sequence[str], grids: dict[str, list[flo
     return out
 
 
+def _best_exponents(df: DataFrame, cols: Sequence[str], method: str) -> dict[str, tuple]:
+    """Column -> (exponent of maximum likelihood to 0.01, its profile entry).
+
+    The grid starts as -2..2 by 0.1. While the last exponent tried on a side is
+    as good as any, ever wider grids (steps 1, 10, ..) are appended there; then
+    the step around the best is cut to a tenth until it is 0.01. Widening ends
+    where results are not finite, or where doubles no longer hold 0.01.
+    """
+    def top(p):
+        return max(p, key=lambda k: (round(p[k][0], 6), -k))
+
+    grids, step = {c: _coarse() for c in cols}, dict.fromkeys(cols, 0.1)
+    ends = {c: [-2.0, 2.0] for c in cols}
+    seen: dict = {c: {} for c in cols}
+    near: dict = {}
+    while grids:
+        found, todo = _power_profile(df, list(grids), grids, method), {}
+        for c, p in found.items():
+            seen[c].update(p)
+            if not seen[c]:
+                continue
+            at = top(seen[c])
+            sides = [k for k, end in enumerate(ends[c])
+                     if end in seen[c] and round(seen[c][end][0], 6) == round(seen[c][at][0], 6)]
+            if not sides or step[c] > 1e10:
+                near[c] = at
+                continue
+            step[c] = 1.0 if step[c] < 1 else step[c] * 10
+            todo[c] = []
+            for k in sides:
+                todo[c] += [round(ends[c][k] + (2 * k - 1) * i * step[c], 2) for i in range(1, 41)]
+                ends[c][k] = todo[c][-1]
+        grids = todo
+    out: dict = {}
+    while near:
+        grids = {}
+        for c, at in near.items():
+            step[c] /= 10
+            grids[c] = [round(at + step[c] * i, 2) for i in range(-10, 11)]
+        found, near = _power_profile(df, list(grids), grids, method), {}
+        for c, p in found.items():
+            if p:
+                at = top(p)
+                out[c] = (at, p[at])
+                if step[c] > 0.015:
+                    near[c] = at
+    return out
+
+
 def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson", safe: bool = False) -> Power:
-    """Exponent of maximum likelihood on a grid (-2..2 by 0.1, then by 0.01), then unit variance.
+    """Exponent of maximum likelihood to 0.01, without bounds, then unit variance.
 
     ``safe`` leaves a column untransformed if its result would not have unit
     variance or would exceed 100 deviations.
     """
     cols = list(cols)
-    coarse = _power_profile(df, cols, {c: _coarse() for c in cols}, method)
-    best = {c: max(p, key=lambda k: (round(p[k][0], 6), -k)) for c, p in coarse.items() if p}
     params = {c: [None, 0.0, 1.0] for c in cols}
-    if best:
-        fine_grids = {c: [round(b - 0.1 + 0.01 * i, 2) for i in range(21)] for c, b in best.items()}
-        for c, p in _power_profile(df, list(best), fine_grids, method).items():
-            if not p:
-                continue
-            lam = max(p, key=lambda k: (round(p[k][0], 6), -k))
-            _, mean, sd, top = p[lam]
-            if safe and (not math.isfinite(top) or (top - mean) / sd > 100):
-                continue
-            params[c] = [lam, mean, sd]
+    for c, (lam, (_, mean, sd, top)) in _best_exponents(df, cols, method).items():
+        if safe and (not math.isfinite(top) or (top - mean) / sd > 100):
+            continue
+        params[c] = [lam, mean, sd]
     return Power(params, method)
 
 

@@ -73,6 +73,23 @@ def test_safe_power_leaves_a_constant_column(spark):
     assert R.fit_power(df, ["c"], safe=True).params["c"] == [None, 0.0, 1.0]
 
 
+def test_power_exponents_have_no_bounds(spark):
+    from statistics import NormalDist
+    z = np.array([3 + 0.3 * NormalDist().inv_cdf((i + 0.5) / 500) for i in range(500)])
+    # the exponents 5, -4 and 30 bring the bell back
+    data = {"five": z ** (1 / 5) - 1, "minus": (z / 10) ** (-1 / 4) - 1, "thirty": z ** (1 / 30) - 1}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values())], list(data))
+    params = R.fit_power(df, list(data)).params
+    for c, x in data.items():
+        grid = [k / 100 for k in range(-5000, 5001) if k]
+        ll = [-len(x) / 2 * math.log(((x + 1) ** k / k).var()) + (k - 1) * np.log1p(x).sum() for k in grid]
+        best = grid[int(np.argmax(ll))]
+        assert abs(best) > 2.1 and math.isclose(params[c][0], best, abs_tol=0.011), (c, params[c], best)
+    # Box-Cox after min-max: a column pressed against its maximum
+    steep = spark.createDataFrame([(float(((i + 0.5) / 500) ** 0.1),) for i in range(500)], "x double")
+    assert R.fit_box_cox(steep, ["x"]).steps[1].params["x"][0] > 2.2
+
+
 def test_svd_matches_numpy(data):
     cols = ["skewed", "normal", "hot", "cat"]
     fitted = R.fit_svd(data, cols)
