@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -48,6 +50,9 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_kept: list[str] = []     # scratch tables written and not dropped yet, in the order they were written
+
+
 class Scratch:
     """Written tables below the shared folder, each of which can be dropped once it has been used."""
 
@@ -56,6 +61,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_table(self.spark, f"llm-{name}")
+        _kept.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
@@ -63,7 +69,27 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            remove(self.spark, self.paths.pop(name))
+            path = self.paths.pop(name)
+            remove(self.spark, path)
+            _kept.remove(path)
+
+
+@contextmanager
+def kept_tables():
+    """A list that on leaving the block holds the scratch tables written inside and not dropped."""
+    before, out = set(_kept), []
+    yield out
+    out += [p for p in _kept if p not in before]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Drop scratch tables that no result reads any more; have Spark drop the shuffle files of plans that are gone."""
+    for path in paths:
+        if path in _kept:
+            remove(spark, path)
+            _kept.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def key_bits(rows: int, target: int = BUCKET_ROWS) -> int:

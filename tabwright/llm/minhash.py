@@ -17,9 +17,9 @@ from .sketches import band_keys, batches_by_words, set_digests, shingle_sets, sk
 
 SHINGLE = 5
 SIMILARITY = 80      # percent
-COORDINATES = 128
-ROWS = 4             # coordinates per band: 32 bands miss a pair of similarity 0.8 once in 20 million
-MISS = 1e-7          # chance that a pair at the threshold agrees in fewer coordinates than are asked for
+COORDINATES = 128    # of the sketch that is cut into bands
+LONG = 1_024         # of the sketch that decides which pairs of a bucket are verified
+MISS = 1e-7          # chance that a pair at the threshold shares no band, and that it agrees in too few coordinates
 BLOCK = 4_096        # members of a bucket that one task compares with as many others
 
 
@@ -34,8 +34,19 @@ def least_agreement(size: int = COORDINATES, similarity: float = SIMILARITY / 10
     return size
 
 
-def with_sketches(docs: DataFrame, keys, text: str, shingle: int = SHINGLE, size: int = COORDINATES,
-                  rows: int = ROWS) -> DataFrame:
+def band_rows(size: int = COORDINATES, similarity: float = SIMILARITY / 100, miss: float = MISS) -> int:
+    """Most coordinates a band can have so that a pair at the threshold shares one: 4 at a similarity of 0.8."""
+    return max([r for r in range(1, size + 1) if (1 - similarity ** r) ** (size // r) <= miss], default=1)
+
+
+def _low_bytes(sketches: np.ndarray) -> pa.Array:
+    """The lowest 8 bits of every coordinate, one binary value per sketch."""
+    low = np.ascontiguousarray((sketches & np.uint64(0xFF)).astype(np.uint8))
+    ends = np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+
+
+def with_sketches(docs: DataFrame, keys, text: str, shingle: int = SHINGLE, rows: int = 4, size: int = COORDINATES) -> DataFrame:
     """The key columns plus n (set size), a and b (128 bits of the set), bands (keys) and bytes (8 bits a coordinate)."""
     keys = list(keys)
     schema = StructType([docs.schema[k] for k in keys] + [StructField(c, LongType()) for c in "nab"] + [
@@ -48,21 +59,19 @@ def with_sketches(docs: DataFrame, keys, text: str, shingle: int = SHINGLE, size
                 values, starts = shingle_sets(texts.slice(at, to - at).to_pylist(), shingle)
                 sketches = sketch(values, starts, size)
                 digests, bands = set_digests(values, starts), band_keys(sketches, rows)
-                low = np.ascontiguousarray((sketches & np.uint64(0xFF)).astype(np.uint8))
                 offsets = np.arange(to - at + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(k).slice(at, to - at) for k in keys], pa.array(np.diff(starts)),
                     pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                     pa.ListArray.from_arrays(pa.array(offsets * bands.shape[1]), pa.array(bands.ravel())),
-                    pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets * size), pa.py_buffer(low)]),
-                ], names=schema.names)
+                    _low_bytes(sketches)], names=schema.names)
 
     return docs.select(*keys, text_of(text).alias("text")).mapInArrow(run, schema)
 
 
 def with_sets(rows: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and ``members``, the full shingle set as an array of longs."""
-    schema = StructType([rows.schema[key], StructField("members", ArrayType(LongType()))])
+    """``key``, ``members``, the full shingle set as an array of longs, and ``long``, 8 bits a coordinate of a longer sketch."""
+    schema = StructType([rows.schema[key], StructField("members", ArrayType(LongType())), StructField("long", BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -71,8 +80,8 @@ def with_sets(rows: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> D
                 values, starts = shingle_sets(texts.slice(at, to - at).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(key).slice(at, to - at),
-                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))],
-                    names=schema.names)
+                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64))),
+                    _low_bytes(sketch(values, starts, LONG))], names=schema.names)
 
     return rows.select(key, text_of(text).alias("text")).mapInArrow(run, schema)
 
@@ -87,47 +96,51 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
     return both.where(100 * F.col("i") >= similarity * (F.col("s") - F.col("i"))).select("x", "y")
 
 
-def open_pairs(members: DataFrame, agreement: int, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Pairs (x, y) of unlike components in a bucket whose sketches agree well enough.
+def open_pairs(members: DataFrame, agreement: int, rows: int, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Pairs (x, y) of unlike components in a bucket whose long sketches agree in ``agreement`` coordinates.
 
-    ``members`` has key (bucket), id, component, n and bytes. Every member outside a
-    bucket's largest component meets every member of the bucket; members inside it
-    need not meet each other. Both sides are dealt into blocks, a task compares one
-    block with one other, and only pairs that pass leave it, so a bucket of any size
-    is linear in rows shuffled.
+    ``members`` has key (bucket), band, id, component, n, bytes and long. Every member
+    outside a bucket's largest component meets every member of the bucket; members
+    inside it need not meet each other. Both sides are dealt into blocks, a task
+    compares one block with one other, and only pairs that pass leave it, each from the
+    first band that it shares; so a bucket of any size is linear in rows shuffled.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("_m", "component")).alias("main"),
                                     F.sum("_m").alias("m"), (F.sum("_m") - F.max("_m")).alias("o"), F.count(F.lit(1)).alias("_c"))
     main = main.where("_c > 1").drop("_c")
-    rows = members.join(main, "key")
+    found = members.join(main, "key").withColumn("outer", F.col("component") != F.col("main"))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     deal = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    copies = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    columns = ["key", "band", "id", "component", "outer", "n", "bytes", "long"]
     # a side's own block, and a copy for every block of the other side
-    inside = rows.select("key", "id", "component", "n", "bytes", deal("m").alias("j"),
-                         F.explode(F.sequence(F.lit(0), blocks("o") - 1)).alias("i"))
-    outside = rows.where("component <> main").select("key", "id", "component", "n", "bytes", deal("o").alias("i"),
-                                                     F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"))
+    inside = found.select(*columns, deal("m").alias("j"), copies("o").alias("i"))
+    outside = found.where("outer").select(*columns, deal("o").alias("i"), copies("m").alias("j"))
+
+    def sketches_of(side: pa.Table, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(side.column(column).to_pylist()), np.uint8).reshape(side.num_rows, -1)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        xs, ys = [], []
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
-            a, b = (np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (left, right))
-            ids = [t.column("id").to_numpy() for t in (left, right)]
-            parts = [t.column("component").to_numpy() for t in (left, right)]
-            sizes = [t.column("n").to_numpy() for t in (left, right)]
-            for r in range(len(a)):
+            band = left.column("band")[0].as_py()
+            short = [sketches_of(t, "bytes")[:, :(band + 1) * rows].reshape(t.num_rows, band + 1, rows) for t in (left, right)]
+            long = [sketches_of(t, "long") for t in (left, right)]
+            ids, parts, sizes, outer = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "component", "n", "outer"))
+            for r in range(left.num_rows):
                 small, large = np.minimum(sizes[0][r], sizes[1]), np.maximum(sizes[0][r], sizes[1])
-                hit = np.flatnonzero((parts[0][r] != parts[1]) & (100 * small >= similarity * large))
-                hit = hit[(a[r] == b[hit]).sum(axis=1) >= agreement]
+                hit = np.flatnonzero((parts[0][r] != parts[1]) & (100 * small >= similarity * large)
+                                     & (~outer[1] | (ids[0][r] < ids[1])))
+                hit = hit[(short[0][r] == short[1][hit]).all(axis=2).argmax(axis=1) == band]
+                hit = hit[(long[0][r] == long[1][hit]).sum(axis=1) >= agreement]
                 xs.append(np.minimum(ids[0][r], ids[1][hit]))
                 ys.append(np.maximum(ids[0][r], ids[1][hit]))
-        join = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
-        return pa.table({"x": join(xs), "y": join(ys)})
+        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
-    keys, columns = ["key", "i", "j"], ["key", "i", "j", "id", "component", "n", "bytes"]
-    outside, inside = (side.select(*[F.col(c).alias(c) for c in columns]) for side in (outside, inside))  # names of their own
-    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(compare, "x long, y long").distinct()
+    keys = ["key", "i", "j"]
+    outside, inside = (side.select(*[F.col(c).alias(c) for c in [*keys, *columns[1:]]]) for side in (outside, inside))  # names of their own
+    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(compare, "x long, y long")
 
 
 def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -143,21 +156,23 @@ def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
     gives an empty result. Other columns of the input are not read.
 
     Rows with one set are one class, and only classes are compared. The first member
-    of a band's bucket is compared with all others; what is not in one component then
-    meets in blocks (:func:`open_pairs`). Every pair that is linked shares a band but
-    for a chance below 1e-7, and every link is confirmed on full sets.
+    of a band's bucket is verified with all others; what is not in one component then
+    meets in blocks (:func:`open_pairs`). A linked pair shares a band, and agrees in
+    enough coordinates of a longer sketch, but for a chance below 1e-7 each; every
+    link is confirmed on full sets.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # texts are found again by id and hash; two texts of one id and hash would have to collide in 64 bits
     rows = rows.withColumn("h", F.xxhash64(text_of("text")))
-    prints = scratch.keep(with_sketches(rows, ["doc_id", "h"], "text", shingle), "prints")
+    per_band = band_rows(similarity=similarity / 100)
+    prints = scratch.keep(with_sketches(rows, ["doc_id", "h"], "text", shingle, per_band), "prints")
     filled = prints.where("n > 0").groupBy("n", "a", "b").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("row"),
         F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     classes = scratch.keep(filled.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    entries = classes.select("id", F.explode("bands").alias("key"))
+    entries = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = scratch.keep(entries.join(shared.drop("_n"), "key"), "shared")
     wanted = shared.select("id").distinct().join(classes.select("id", "row.doc_id", "row.h"), "id")
@@ -171,8 +186,9 @@ def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
 
     named = classes.select("id", "n", "bytes").join(near, F.col("id") == F.col("node"), "left").select(
         "id", "n", "bytes", F.coalesce("component", "id").alias("component"))
-    members = shared.select("key", "id").join(named, "id")
-    more = verified(open_pairs(members, least_agreement(COORDINATES, similarity / 100), similarity), sets, similarity)
+    members = shared.select("key", "band", "id").join(named.join(sets.select("id", "long"), "id"), "id")
+    agreement = least_agreement(LONG, similarity / 100)
+    more = verified(open_pairs(members, agreement, per_band, similarity), sets, similarity)
     part = lambda c, out: near.select(F.col("node").alias(c), F.col("component").alias(out))
     more = (more.join(part("x", "cx"), "x", "left").join(part("y", "cy"), "y", "left")
             .select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")))

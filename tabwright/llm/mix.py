@@ -114,7 +114,8 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     scratch = Scratch(docs.sparkSession)
     sizes = scratch.keep(docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
                                      row_key(seed, doc_id, text).alias("key")), "sizes")
-    cuts = plan(sizes, weights, most)
+    # written before its source is dropped: above 10,000 sources the plan is not held as a broadcast
+    cuts = sized(scratch.keep(plan(sizes, weights, most), "cuts"))
     scratch.drop("sizes")
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(source).cast("string").alias("source"),
                        word_count(text).alias("size"), row_key(seed, doc_id, text).alias("key"))

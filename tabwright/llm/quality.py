@@ -228,15 +228,15 @@ def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", so
 
 
 def accepted(docs: DataFrame, text="text", lang="lang", source="source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts are not shuffled.
+    """The rows of ``docs`` that are kept, with all their columns; texts are neither shuffled nor written.
 
-    The rows are written once with their statistics: the estimates need all of these
-    before the first verdict, and a verdict must not compute them again.
+    The statistics are computed twice: once for the estimates, which need those of all
+    rows and are written without texts, and once beside the rows for their verdicts.
     """
     scratch = Scratch(docs.sparkSession)
     view = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
                        F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    rows = scratch.keep(text_statistics(view, f"row.{text}"), "statistics")
-    names, estimates = fit(rows)
+    rows = text_statistics(view, f"row.{text}")
+    names, estimates = fit(scratch.keep(rows.drop("row"), "statistics"))
     kept = judged(rows, names, estimates).where("kept")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

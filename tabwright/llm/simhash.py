@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.ordered import sized
 from .common import Scratch, fresh, text_of
 from .components import components
 
@@ -110,11 +111,14 @@ def simhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGLE, distance: int = DISTANCE,
+                most: int = 100_000) -> DataFrame:
     """The rows of ``docs`` of which one document per group stays, the one with the smallest id.
 
     Rows with one id and one text are one document. A group without ids keeps the
-    document with the smallest text digest. All columns of the input come back.
+    document with the smallest text digest. All columns of the input come back. What
+    goes is found in a table of keys; texts meet it in a broadcast up to ``most`` keys
+    and are shuffled once beyond that.
     """
     scratch = Scratch(docs.sparkSession)
     key, digest = fresh(docs, "_row"), F.md5(text_of(text))
@@ -123,6 +127,13 @@ def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SH
                                           shingle=shingle), "fingerprints")
     prints = scratch.keep(rows.groupBy("fingerprint").agg(F.min("row").alias("row")), "distinct")
     found = classes(prints.select("fingerprint"), distance).join(prints, "fingerprint")
-    stay = scratch.keep(found.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row").alias(key)), "stay")
-    kept = docs.withColumn(key, ident).join(stay, key, "left_semi")
-    return kept.dropDuplicates([key]).drop(key)
+    stay = found.groupBy("component").agg(F.min("row").alias(key)).select(key, F.lit(True).alias("stays"))
+    keys = rows.groupBy(F.col("row").alias(key)).agg(F.count(F.lit(1)).alias("n")).join(stay, key, "left")
+    keys = scratch.keep(keys.where("stays is null or n > 1"), "keys")
+    kept = docs.withColumn(key, ident).join(sized(keys.where("stays is null").select(key), most), key, "left_anti")
+    repeated = keys.where("stays").select(key)
+    if not repeated.isEmpty():
+        repeated = sized(repeated, most)
+        once, again = kept.join(repeated, key, "left_anti"), kept.join(repeated, key, "left_semi").dropDuplicates([key])
+        kept = once.unionByName(again)
+    return kept.drop(key)
