@@ -99,8 +99,7 @@ def _(spark, sf):
       round(max(s), 8) AS high, arg_min(a, (-s, a, b)) AS high_a, arg_min(b, (-s, a, b)) AS high_b FROM p""")
 def _(spark, sf):
     df = emb(spark, sf)
-    profile = E.pair_profile(df, df, "vec_id", "embedding", "cosine", upper=True)
-    return rounded_profile(E.similarity_summary(profile, "vec_id"))
+    return rounded_profile(E.pair_summary(df, "vec_id", "embedding", "cosine"))
 
 
 @query("i6_energy_distance", f"""WITH {UNIT}, d AS (SELECT a.vec_id % 2 AS x, b.vec_id % 2 AS y, avg(list_distance(a.v, b.v)) AS m FROM U a, U b GROUP BY 1, 2)

@@ -1,9 +1,9 @@
 """Embedding analytics: neighbours, similarity statistics, assignment, linear probe.
 
-Work on all pairs of two sets never becomes rows: both sets are cut into even
-stripes by a hash of their key, each stripe of one meets each stripe of the
-other in one task as a matrix product, and only top-k rows or partial
-statistics per left row leave the task.
+Work on all pairs of two sets never becomes rows. Nearest and farthest rows come
+from a cell index (``neighbours``), sums of similarities from sum vectors and Gram
+matrices (``moments``). Only sums of distances need all pairs: tiles or stripes meet
+in one task, and only sums leave it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from . import moments, neighbours
 from .metrics import top_k_hit
 from .split import per_class_sample
 
@@ -24,28 +25,15 @@ CHUNK_ROWS = 512
 
 
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
-    """A list column as a float64 matrix."""
-    values = table.column(column).combine_chunks()
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 0))
+    return neighbours.matrix(table.column(column))
 
 
-def _prepared(x: np.ndarray, measure: str) -> np.ndarray:
-    if measure == "pearson" and x.size:
-        x = x - x.mean(axis=1, keepdims=True)
-    if measure in ("cosine", "pearson") and x.size:
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x
-
-
-def _pair_values(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
-    """Values of every row of ``a`` with every row of ``b``; 12 digits, so equal vectors tie."""
-    if measure == "euclidean":
-        out = np.empty((len(a), len(b)))
-        for start in range(0, len(b), 64):  # differences, not the expanded square: exact for copies
-            out[:, start:start + 64] = np.linalg.norm(a[:, None, :] - b[None, start:start + 64, :], axis=2)
-        return out
-    return np.round(a @ b.T, 12)
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of every row of ``a`` with every row of ``b``, by differences: exact for copies."""
+    out = np.empty((len(a), len(b)))
+    for start in range(0, len(b), 64):
+        out[:, start:start + 64] = np.linalg.norm(a[:, None, :] - b[None, start:start + 64, :], axis=2)
+    return out
 
 
 def _stripes(rows: int, stripe_rows: int) -> int:
@@ -90,62 +78,73 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, mea
             groups: Sequence | None = None, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     """(key, [by,] rank, neighbour, sim, distance[, carry]): exact top k per query row, ties by smaller key.
 
-    ``distance`` is the Euclidean distance of the prepared (unit) vectors. Keys
-    are integers. Each task keeps k rows per query; the second stage merges k x
-    stripes rows per query.
+    ``distance`` is the Euclidean distance of the prepared (unit) vectors. Keys are
+    integers; rows without key or vector take no part. The base rows are indexed by
+    cells, and queries only meet cells that can hold one of their k nearest.
+    ``stripe_rows`` is the most rows of either side that a task holds.
     """
-    extra = f", {carry} long" if carry else ""
-    group = f", {by} long" if by else ""
-    schema = f"{key} long{group}, neighbour long, sim double, distance double{extra}"
-
-    def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_a = left.column(key).to_numpy()
-        ids_b = right.column(key).to_numpy()
-        order = np.argsort(ids_b, kind="stable")
-        ids_b = ids_b[order]
-        a, b = _prepared(_matrix(left, vec), measure), _prepared(_matrix(right, vec), measure)
-        b = b[order]
-        tags = right.column(carry).to_numpy()[order] if carry else None
-        rows, cols, sims = [], [], []
-        for start in range(0, len(ids_a), CHUNK_ROWS):
-            s = _pair_values(a[start:start + CHUNK_ROWS], b, "dot")
-            if exclude_self:
-                s[ids_a[start:start + CHUNK_ROWS, None] == ids_b[None, :]] = -np.inf
-            m = min(k, s.shape[1])
-            limit = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero((s >= limit[:, None]) & np.isfinite(s))
-            v = s[r, c]
-            place = np.lexsort((c, -v, r))  # columns are in key order
-            r, c, v = r[place], c[place], v[place]
-            first = np.searchsorted(r, np.arange(s.shape[0]))
-            keep = np.arange(len(r)) - first[r] < m
-            rows.append(r[keep] + start)
-            cols.append(c[keep])
-            sims.append(v[keep])
-        r, c = np.concatenate(rows), np.concatenate(cols)
-        data = {key: ids_a[r].astype(np.int64)}
-        if by:
-            data[by] = np.full(len(r), left.column(by)[0].as_py(), dtype=np.int64)
-        data["neighbour"], data["sim"] = ids_b[c].astype(np.int64), np.concatenate(sims)
-        data["distance"] = np.linalg.norm(a[r] - b[c], axis=1)
-        if carry:
-            data[carry] = tags[c].astype(np.int64)
-        return pa.table(data)
-
-    cols = [key, vec]
-    right = base.select(*cols, *([carry] if carry else []), *([by] if by else []))
-    parts = stripe_pairs(queries.select(*cols), right, key, top, schema, stripe_rows, by, groups)
-    w = W.partitionBy(key, *([by] if by else [])).orderBy(F.desc("sim"), "neighbour")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    index = neighbours.build(base, key, vec, measure, by, carry, shard_rows=4 * stripe_rows)
+    names = [key, *([by] if by else []), "rank", "neighbour", "sim", "distance", *([carry] if carry else [])]
+    if index is None:
+        types = {"rank": "int", "sim": "double", "distance": "double"}
+        return queries.sparkSession.createDataFrame([], ", ".join(f"`{c}` {types.get(c, 'long')}" for c in names))
+    found = neighbours.search(index, queries, key, vec, k, measure, exclude_self=exclude_self, groups=groups if by else (0,),
+                              query_rows=stripe_rows)
+    source = {key: "key", **({by: "by"} if by else {}), **({carry: "tag"} if carry else {})}
+    return found.select(*[F.col(source.get(c, c)).alias(c) for c in names])
 
 
 def pair_profile(left: DataFrame, right: DataFrame, key: str, vec: str, measure: str = "cosine",
                  upper: bool = False, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     """(key, n, total, squares, low, low_key, high, high_key) per left row over all right rows.
 
-    ``upper`` only counts right rows with a larger key. Measures: cosine,
-    pearson, dot, euclidean. Partial statistics per stripe pair are merged by key.
+    ``upper`` only counts right rows with a larger key; left and right must then be one
+    set. Measures: cosine, pearson, dot, euclidean. Sums of inner products come from
+    sums over the right set, extremes from searches in its cells. Sums of distances
+    have no such form: for euclidean all pairs are formed, stripe by stripe.
+    """
+    if measure == "euclidean":
+        return distance_profile(left, right, key, vec, upper, stripe_rows)
+    index = neighbours.build(right, key, vec, measure, shard_rows=4 * stripe_rows)
+    if index is None:
+        return left.sparkSession.createDataFrame(
+            [], f"`{key}` long, n long, total double, squares double, low double, low_key long, high double, high_key long")
+    if upper:
+        sums = moments.later_moments(index.rows, index.rows.count(), min(stripe_rows, moments.BLOCK_ROWS)).withColumnRenamed("key", key)
+    else:
+        sums = moments.row_moments(left, key, vec, measure, moments.gram_matrix(index.rows))
+    for name, largest in (("low", False), ("high", True)):
+        found = neighbours.search(index, left, key, vec, 1, measure, largest, after=upper, query_rows=stripe_rows)
+        sums = sums.join(found.select(F.col("key").alias(key), F.col("sim").alias(name), F.col("neighbour").alias(f"{name}_key")), key)
+    return sums
+
+
+def pair_summary(df: DataFrame, key: str, vec: str, measure: str = "cosine", stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """One row over all unordered pairs: number, mean, deviation, worst and best pair (first keys on ties).
+
+    Mean and deviation follow from one Gram matrix; the extremes are the best of every
+    row's farthest and nearest other row.
     """
+    index = neighbours.build(df, key, vec, measure, shard_rows=4 * stripe_rows)
+    names = "n_pairs long, mean double, std double, low double, low_a long, low_b long, high double, high_a long, high_b long"
+    if index is None:
+        return df.sparkSession.createDataFrame([(0, *[None] * 8)], names)
+    n, total, squares = moments.pair_sums(moments.gram_matrix(index.rows))
+    mean = float(total / n) if n else None
+    std = math.sqrt(max(squares / n - mean * mean, 0.0)) if n else None
+    ends = []
+    for name, largest in (("low", False), ("high", True)):
+        found = neighbours.search(index, df, key, vec, 1, measure, largest, exclude_self=True, query_rows=stripe_rows)
+        pair = F.struct((F.col("sim") if not largest else -F.col("sim")).alias("s"), F.least("key", "neighbour").alias("a"),
+                        F.greatest("key", "neighbour").alias("b"))
+        ends.append(found.agg(F.min(pair).alias("p"), (F.min(F.col("sim")) if not largest else F.max("sim")).alias("sim")).select(
+            F.col("sim").alias(name), F.col("p.a").alias(f"{name}_a"), F.col("p.b").alias(f"{name}_b")).first())
+    return df.sparkSession.createDataFrame([(n, mean, std, *ends[0], *ends[1])], names)
+
+
+def distance_profile(left: DataFrame, right: DataFrame, key: str, vec: str, upper: bool = False,
+                     stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """:func:`pair_profile` of Euclidean distances, by matrix products of stripes; partial statistics are merged by key."""
     schema = (f"{key} long, n long, total double, squares double, low double, low_key long, high double, high_key long")
 
     def profile(a_rows: pa.Table, b_rows: pa.Table) -> pa.Table:
@@ -153,11 +152,10 @@ def pair_profile(left: DataFrame, right: DataFrame, key: str, vec: str, measure:
         out = {c: [] for c in ("id", "n", "total", "squares", "low", "low_key", "high", "high_key")}
         order = np.argsort(ids_b, kind="stable")
         ids_b = ids_b[order]
-        a = _prepared(_matrix(a_rows, vec), measure)
-        b = _prepared(_matrix(b_rows, vec), measure)[order]
+        a, b = _matrix(a_rows, vec), _matrix(b_rows, vec)[order]
         for start in range(0, len(ids_a), CHUNK_ROWS):
             ids = ids_a[start:start + CHUNK_ROWS]
-            s = _pair_values(a[start:start + CHUNK_ROWS], b, measure)
+            s = _distances(a[start:start + CHUNK_ROWS], b)
             use = ids[:, None] < ids_b[None, :] if upper else np.ones(s.shape, dtype=bool)
             n = use.sum(axis=1)
             hit = n > 0
@@ -203,14 +201,42 @@ def similarity_summary(profile: DataFrame, key: str) -> DataFrame:
                       (-F.col("_b.a")).alias("high_a"), (-F.col("_b.b")).alias("high_b"))
 
 
-def energy_distance(a: DataFrame, b: DataFrame, key: str, vec: str) -> DataFrame:
-    """2 E|x - y| - E|x - x'| - E|y - y'|, self pairs included: one row."""
-    def mean(x, y):
-        return pair_profile(x, y, key, vec, "euclidean").agg((F.sum("total") / F.sum("n")).alias("m"))
-    cross, within_a, within_b = mean(a, b), mean(a, a), mean(b, b)
-    both = cross.withColumn("part", F.lit(2.0)).unionByName(within_a.withColumn("part", F.lit(-1.0))).unionByName(
-        within_b.withColumn("part", F.lit(-1.0)))
-    return both.agg(F.sum(F.col("part") * F.col("m")).alias("energy_distance"))
+def energy_distance(a: DataFrame, b: DataFrame, key: str, vec: str, tile_rows: int = STRIPE_ROWS // 4) -> DataFrame:
+    """2 E|x - y| - E|x - x'| - E|y - y'|, self pairs included: one row, null if a set is empty.
+
+    The union of both sets is cut into tiles by a hash; a task takes two tiles i <= j
+    and returns three sums of distances, so every unordered pair is formed once, in one
+    job. It stays quadratic: a sum of distances has no form in sums over the sets.
+    """
+    sides = [s.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(
+        F.lit(i).alias("side"), F.xxhash64(F.lit(i), key).alias("h"), F.col(vec).cast("array<double>").alias("v"))
+        for i, s in enumerate((a, b))]
+    sizes = [s.count() for s in sides]
+    cores = a.sparkSession.sparkContext.defaultParallelism
+    tiles = max(math.ceil(sum(sizes) / tile_rows), math.ceil(math.sqrt(2 * cores)) if sum(sizes) > 64 else 1)
+    rows = sides[0].unionByName(sides[1]).withColumn("tile", F.pmod("h", F.lit(tiles)).cast("int"))
+    least, most = F.least("tile", "other"), F.greatest("tile", "other")
+    copies = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+        "side", "v", "tile", least.alias("i"), most.alias("j"))
+
+    def sums(part: pa.Table) -> pa.Table:
+        x, side, tile = _matrix(part, "v"), part.column("side").to_numpy(), part.column("tile").to_numpy()
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        total = np.zeros(3)
+        for start in range(0, len(left), CHUNK_ROWS):
+            own = left[start:start + CHUNK_ROWS]
+            d = _distances(x[own], x[right])
+            first, second = side[own] == 0, side[right] == 0
+            total += [d[first][:, second].sum(), d[first][:, ~second].sum() + d[~first][:, second].sum(), d[~first][:, ~second].sum()]
+        # both orders of a pair: the tiles of i < j give one of them, a tile with itself gives both
+        total *= 1 if i == j else 2
+        return pa.table({"aa": total[:1], "ab": total[1:2], "bb": total[2:]})
+
+    found = copies.groupBy("i", "j").applyInArrow(sums, "aa double, ab double, bb double")
+    na, nb = (F.lit(float(n)) for n in sizes)
+    distance = F.sum("ab") / (na * nb) - F.sum("aa") / (na * na) - F.sum("bb") / (nb * nb)
+    return found.agg((distance if all(sizes) else F.lit(None).cast("double")).alias("energy_distance"))
 
 
 # ---- groups of vectors --------------------------------------------------------
@@ -238,7 +264,7 @@ def group_similarity(df: DataFrame, group: str, vec: str, how: str = "mean_cosin
 
     def matrix(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-        s = _pair_values(_prepared(_matrix(left, "vector"), measure), _prepared(_matrix(right, "vector"), measure), measure)
+        s = np.round(neighbours.prepared(_matrix(left, "vector"), measure) @ neighbours.prepared(_matrix(right, "vector"), measure).T, 12)
         return pa.table({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "similarity": s.ravel()})
     return stripe_pairs(means, means, "id", matrix, "a long, b long, similarity double")
 
