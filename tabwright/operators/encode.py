@@ -18,6 +18,8 @@ INLINE_LIMIT = 64           # codes looked up in an expression instead of a join
 
 def cell_text(df: DataFrame, c: str):
     """A cell as category text: null for NaN, and one text per number whatever its type."""
+    if isinstance(df.schema[c].dataType, T.DecimalType):
+        return F.regexp_replace(F.col(c).cast("string"), r"\.0+$|(\.\d*[1-9])0+$", "$1")
     if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
         whole = (F.abs(F.col(c)) < 2.0**53) & (F.col(c) == F.floor(c))
         return F.when(~F.isnan(c), F.when(whole, F.col(c).cast("long").cast("string")).otherwise(F.col(c).cast("string")))
@@ -28,8 +30,8 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(c, text, num): every categorical cell as a row, ready for one combined aggregate."""
     kinds = {f.name: f.dataType for f in df.schema}
 
-    def num(c):
-        return F.col(c).cast("double") if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")
+    def num(c):  # null and NaN are one missing value
+        return F.nanvl(F.col(c).cast("double"), F.lit(None)) if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")
     return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), cell_text(df, c).alias("text"), num(c).alias("num"))
         for c in cols])).alias("s")).select("s.*")
@@ -212,8 +214,7 @@ def fit_onehot(df: DataFrame, cols: Sequence[str], max_cells: int | None = None,
 def onehot_long(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Sparse one-hot: (key, feature) for every non-null cell, of any vocabulary size."""
     return df.select(key, F.explode(F.array(*[
-        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in cols])).alias(
-            "feature")).where(F.col("feature").isNotNull())
+        F.concat(F.lit(f"{c}="), cell_text(df, c)) for c in cols])).alias("feature")).where(F.col("feature").isNotNull())
 
 
 def least_common_count(df: DataFrame, c: str) -> DataFrame:
@@ -221,13 +222,13 @@ def least_common_count(df: DataFrame, c: str) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, cols: Sequence[str], upto: int) -> tuple[int, dict[str, int]]:
-    """Row count and distinct counts (null is one value), exact wherever they are near ``upto`` or less.
+    """Row count and distinct counts (null and NaN are one value), exact wherever they are near ``upto`` or less.
 
     A sketch over all columns picks those worth an exact count, so columns full
     of distinct values are never shuffled.
     """
     row = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.approx_count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0null"))).alias(f"_{i}")
+        F.approx_count_distinct(F.coalesce(cell_text(df, c), F.lit("\0null"))).alias(f"_{i}")
         for i, c in enumerate(cols)]).first()
     out = {c: row[f"_{i}"] for i, c in enumerate(cols)}
     near = [c for c in cols if out[c] <= 4 * upto + 100]

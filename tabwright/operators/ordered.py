@@ -21,12 +21,12 @@ BUCKET_ROWS = 2_000_000   # more buckets are cut once they would hold more rows
 OFFSET_ROWS = 200_000     # tables of bucket offsets up to this size are broadcast
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], n: int = BUCKETS, most: int = 50_000) -> dict[str, list[float]]:
+def cut_points(df: DataFrame, cols: Sequence[str], n: int = BUCKETS, most: int | None = None) -> dict[str, list[float]]:
     """About equally filled split points per numeric column.
 
     One aggregate, and a second one with more points if the table is so large
     that ``n`` buckets would be too full. The points only balance the buckets;
-    no result depends on where they fall.
+    no result depends on where they fall, nor on ``most``, a limit of their number.
     """
     def cut(n):
         probs = [i / n for i in range(1, n)]
@@ -35,7 +35,8 @@ def cut_points(df: DataFrame, cols: Sequence[str], n: int = BUCKETS, most: int =
         return row["rows"], {c: sorted(set(row[f"_{i}"] or [])) for i, c in enumerate(cols)}
 
     rows, cuts = cut(n)
-    wanted = min(most, math.ceil(rows / BUCKET_ROWS))
+    wanted = math.ceil(rows / BUCKET_ROWS)
+    wanted = wanted if most is None else min(most, wanted)
     return cut(wanted)[1] if wanted > n else cuts
 
 
@@ -50,50 +51,108 @@ def with_buckets(df: DataFrame, cuts: dict[str, list[float]], prefix: str = "_b_
     return out.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}").cast("int") for c in cols}).drop(*tmp)
 
 
-def order_statistics(df: DataFrame, wanted) -> dict[str, tuple[int, dict[int, float]]]:
+def order_statistics(df: DataFrame, wanted, bucket_rows: int = BUCKET_ROWS) -> dict[str, tuple[int, dict[int, float]]]:
     """Exact values at 0-based ranks among the finite values of numeric columns.
 
     ``wanted`` maps a column to a list of ranks or to a function of the count
     that gives one. Returns per column the count and rank -> value. Three passes
-    over the columns; only buckets holding a wanted rank are ordered.
+    over the columns; only buckets holding a wanted rank are ordered. Such a bucket
+    is cut again while it has more than ``bucket_rows`` rows of different values, so
+    the number of buckets of one pass does not grow with the table.
     """
     cols = list(wanted)
-    cuts = cut_points(df, cols, most=2_000)
+    cuts = cut_points(df, cols, most=BUCKETS)
     marked = with_buckets(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cuts)
     long = marked.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(f"_b_{c}").alias("b"), F.col(c).alias("v"))
+        F.struct(F.lit(i).alias("c"), F.col(f"_b_{c}").cast("long").alias("g"), F.col(c).alias("v"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*").where("abs(v) < double('infinity')")
-    hist: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(cols))}
-    for r in long.groupBy("c", "b").count().collect():  # columns x buckets rows
-        hist[r["c"]].append((r["b"], r["count"]))
-    totals, need = {}, []
+    parts: dict[int, list] = {i: [] for i in range(len(cols))}
+    for r in long.groupBy("c", "g").agg(*_extent()).collect():  # columns x buckets rows
+        parts[r["c"]].append((r["g"], r["n"], r["low"], r["high"]))
+    totals, found = {}, {c: {} for c in cols}
+    need = []          # (column, bucket, rows, [(rank, place in the bucket)])
     for i, c in enumerate(cols):
-        n = sum(x for _, x in hist[i])
-        totals[c] = n
+        n = totals[c] = sum(p[1] for p in parts[i])
         ranks = wanted[c](n) if callable(wanted[c]) else wanted[c]
-        ranks = sorted({int(r) for r in ranks if 0 <= r < n})
-        before, k = 0, 0
-        for b, size in sorted(hist[i]):
-            while k < len(ranks) and ranks[k] < before + size:
-                need.append((i, b, ranks[k], ranks[k] - before))
-                k += 1
-            before += size
-    found: dict[str, dict[int, float]] = {c: {} for c in cols}
-    if need:
-        spark = df.sparkSession
-        targets = spark.createDataFrame(need, "c int, b int, rank long, local long")
-        keys = targets.select("c", "b").distinct()
-        part = (long.join(F.broadcast(keys), ["c", "b"], "left_semi")
-                .groupBy("c", "b", "v").agg(F.count(F.lit(1)).alias("n")))
-        w = W.partitionBy("c", "b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        runs = part.withColumn("upto", F.sum("n").over(w))
-        hits = (runs.join(F.broadcast(targets), ["c", "b"])
-                .where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n"))))
-        for r in hits.select("c", "rank", "v").collect():  # one row per wanted rank
-            found[cols[r["c"]]][r["rank"]] = r["v"]
+        inside, known = _located(parts[i], [(int(r), int(r)) for r in ranks if 0 <= r < n])
+        found[c].update(known)
+        need += [(i, *b) for b in inside]
+    while need:
+        small = [b for b in need if b[2] <= bucket_rows]
+        need = [b for b in need if b[2] > bucket_rows]
+        for c, rank, v in _places(long, small):
+            found[cols[c]][rank] = v
+        if need:
+            long, need, known = _refined(long, need)
+            for c, rank, v in known:
+                found[cols[c]][rank] = v
     return {c: (totals[c], found[c]) for c in cols}
 
 
+def _extent():
+    return F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+
+
+def _located(parts, ranks):
+    """Which of the (bucket, rows, low, high) hold the (rank, place): buckets to look into, and ranks known already."""
+    inside, known, before, k = [], {}, 0, 0
+    ranks = sorted(set(ranks), key=lambda r: r[1])
+    for bucket, n, low, high in sorted(parts):
+        mine = []
+        while k < len(ranks) and ranks[k][1] < before + n:
+            mine.append((ranks[k][0], ranks[k][1] - before))
+            k += 1
+        if mine and low == high:
+            known.update((rank, low) for rank, _ in mine)
+        elif mine:
+            inside.append((bucket, n, mine))
+        before += n
+    return inside, known
+
+
+def _places(long: DataFrame, buckets) -> list:
+    """(column, rank, value) of places in buckets (column, bucket, rows, places), from running counts of distinct values."""
+    if not buckets:
+        return []
+    rows = [(c, g, rank, place) for c, g, _, places in buckets for rank, place in places]
+    targets = long.sparkSession.createDataFrame(rows, "c int, g long, rank long, local long")
+    part = (long.join(F.broadcast(targets.select("c", "g").distinct()), ["c", "g"], "left_semi")
+            .groupBy("c", "g", "v").agg(F.count(F.lit(1)).alias("n")))
+    w = W.partitionBy("c", "g").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = (part.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(targets), ["c", "g"])
+            .where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n"))))
+    return [(r["c"], r["rank"], r["v"]) for r in hits.select("c", "rank", "v").collect()]  # one row per wanted rank
+
+
+def _refined(long: DataFrame, buckets, n: int = BUCKETS):
+    """Buckets (column, bucket, rows, places) cut again: the rows of the parts with a place, these parts, and places known.
+
+    A value that is a cut point is a part of its own, so a frequent value is found
+    at once and every other part is smaller than the bucket.
+    """
+    spark = long.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(c, g) for c, g, _, _ in buckets], "c int, g long"))
+    rows = long.join(keys, ["c", "g"], "left_semi")
+    cuts = rows.groupBy("c", "g").agg(F.array_distinct(F.percentile_approx("v", [i / n for i in range(1, n)], 8 * n)).alias("_cuts"))
+    cuts = F.broadcast(spark.createDataFrame(cuts.collect(), "c int, g long, _cuts array<double>"))     # n numbers a bucket
+    below = lambda v: F.size(F.filter("_cuts", lambda q: q < v)) + F.size(F.filter("_cuts", lambda q: q <= v))
+    rows = rows.join(cuts, ["c", "g"]).select("c", "g", "v", below(F.col("v")).alias("s"))
+    parts: dict[tuple, list] = {}
+    for r in rows.groupBy("c", "g", "s").agg(*_extent()).collect():
+        parts.setdefault((r["c"], r["g"]), []).append((r["s"], r["n"], r["low"], r["high"]))
+    names, need, found = [], [], []
+    for c, g, _, places in buckets:
+        inside, known = _located(parts[c, g], places)
+        found += [(c, rank, v) for rank, v in known.items()]
+        for s, size, mine in inside:
+            need.append((c, len(names), size, mine))
+            names.append((c, g, s, len(names)))
+    if not need:
+        return long, need, found
+    names = F.broadcast(spark.createDataFrame(names, "c int, g long, s int, _new long"))
+    return rows.join(names, ["c", "g", "s"]).select("c", F.col("_new").alias("g"), "v"), need, found
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs) -> dict[str, tuple[list[float], list[float]]]:
     """Per column the levels and the exact linearly interpolated quantiles at them.
 
@@ -225,16 +284,33 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, count:
 # ---- order by a uniform hash -------------------------------------------------
 
 def prefix_digits(n_rows: int, target: int = 50_000) -> int:
-    """Hex digits so that one prefix holds about ``target`` rows, at most a million prefixes."""
-    return min(5, max(1, math.ceil(math.log(max(n_rows / target, 1), 16))))
+    """Hex digits so that one prefix holds about ``target`` rows."""
+    return max(1, math.ceil(math.log(max(n_rows / target, 1), 16)))
+
+
+FIRST_DIGITS = 4   # prefixes that are ordered together; longer ones are ordered below these
 
 
 def hash_offsets(df: DataFrame, hash_col: str, by: Sequence[str], digits: int) -> DataFrame:
-    """(by, _p, _count, _before) per hash prefix; hashes are uniform so prefixes are even."""
+    """(by, _p, _count, _before) per hash prefix; hashes are uniform so prefixes are even.
+
+    Long prefixes are counted in two levels: before the first digits, and inside them.
+    """
+    by = list(by)
     counts = (df.groupBy(*by, F.substring(hash_col, 1, digits).alias("_p"))
               .agg(F.count(F.lit(1)).alias("_count")))
-    w = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_count").over(w), F.lit(0)))
+
+    def earlier(value, group, order):
+        w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(w), F.lit(0))
+    if digits <= FIRST_DIGITS:
+        return counts.withColumn("_before", earlier("_count", by, "_p"))
+    counts = counts.withColumn("_first", F.substring("_p", 1, FIRST_DIGITS))
+    first = counts.groupBy(*by, "_first").agg(F.sum("_count").alias("_n"))
+    first = first.select(*by, "_first", earlier("_n", by, "_first").alias("_offset"))
+    inner = counts.withColumn("_inner", earlier("_count", [*by, "_first"], "_p"))
+    joined = null_safe_join(inner, first, [*by, "_first"])
+    return joined.select(*by, "_p", "_count", (F.col("_offset") + F.col("_inner")).alias("_before"))
 
 
 def hash_rank(df: DataFrame, hash_col: str, out: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
@@ -275,10 +351,20 @@ def hash_thresholds(df: DataFrame, hash_col: str, wanted: DataFrame, by: Sequenc
                                digits).drop("_all")
     digits = digits or prefix_digits(df.count())
     wanted = sized(wanted.select(*by, "rank"))
-    offsets = hash_offsets(df, hash_col, by, digits)
+    step = min(digits, FIRST_DIGITS)
+    offsets = hash_offsets(df, hash_col, by, step)
     inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_count"))
     located = null_safe_join(offsets, wanted, by).where(inside)
     located = sized(located.select(*by, "rank", "_p", "_before"))
+    while step < digits:   # look into the prefixes found, by more digits
+        prefix, step = F.substring(hash_col, 1, step), min(digits, step + FIRST_DIGITS - 1)
+        rows = df.select(*by, prefix.alias("_p"), F.substring(hash_col, 1, step).alias("_q"))
+        rows = null_safe_join(rows, located.select(*by, "_p").distinct(), [*by, "_p"], "left_semi")
+        inner = rows.groupBy(*by, "_p", "_q").agg(F.count(F.lit(1)).alias("_count"))
+        w = W.partitionBy(*by, "_p").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+        inner = inner.withColumn("_inner", F.coalesce(F.sum("_count").over(w), F.lit(0)))
+        located = null_safe_join(inner, located, [*by, "_p"]).withColumn("_before", F.col("_before") + F.col("_inner"))
+        located = sized(located.where(inside).select(*by, "rank", F.col("_q").alias("_p"), "_before"))
     rows = df.select(*by, F.col(hash_col).alias("threshold"), F.substring(hash_col, 1, digits).alias("_p"))
     rows = null_safe_join(rows, located.select(*by, "_p").distinct(), [*by, "_p"], "left_semi")
     rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_p").orderBy("threshold")))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,10 +71,6 @@ def test_stratified_split_keeps_shares_with_a_hot_class(skewed):
     assert all(abs(r["s"] - 0.2) <= 1 / r["n"] for r in shares)
 
 
-def test_default_validation_share():
-    assert [S.default_fraction(n) for n in (100, 499_999, 500_000, 999_999, 1_000_000)] == [0.2, 0.2, 0.1, 0.1, 0.05]
-
-
 def test_folds_are_disjoint_complete_and_equal(spark):
     df = spark.range(103).withColumn("y", F.col("id") % 4)
     folds = S.kfold(df, "id", 5, "y", repeats=2)
@@ -143,3 +141,43 @@ def test_running_centre_blocks(spark):
         c = c * 0.9 + (i % 13) * 0.1
         expect.append(c)
     assert np.allclose(got, expect)
+
+
+def test_order_statistics_cut_buckets_again(spark):
+    """Buckets above the limit are cut in further levels; frequent values, ties and values that are not finite included."""
+    values = [float((i * 7919) % 5000) for i in range(6000)] + [17.5] * 3000 + [-1e300, 1e300, float("nan"), float("inf"), None] * 3
+    df = spark.createDataFrame([(v, None if v is None else -v) for v in values], "a double, b double").repartition(5)
+    finite = sorted(v for v in values if v is not None and math.isfinite(v))
+    ranks = [0, 1, 2, 3, 4, 77, 2500, 4000, 8999, 9003, len(finite) - 1, len(finite)]
+    expected = {r: finite[r] for r in ranks if r < len(finite)}
+    calls = []
+    for limit in (1, 40, 10**6):
+        got = O.order_statistics(df, {"a": ranks, "b": lambda n: [n - 1 - r for r in ranks if r < n]}, bucket_rows=limit)
+        assert got["a"] == (len(finite), expected)
+        assert got["b"] == (len(finite), {len(finite) - 1 - r: -v for r, v in expected.items()})
+    refined = O._refined
+
+    def counted(*args):
+        calls.append(args)
+        return refined(*args)
+    O._refined = counted
+    try:
+        one = spark.range(200_000).select((F.col("id") * F.col("id")).cast("double").alias("v"))
+        assert O.order_statistics(one, {"v": [0, 123_456, 199_999]}, bucket_rows=3)["v"][1] == {r: float(r * r) for r in (0, 123_456, 199_999)}
+    finally:
+        O._refined = refined
+    assert len(calls) >= 2
+
+
+def test_long_hash_prefixes_are_counted_in_levels(spark):
+    df = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") % 3).alias("g"))
+    order = sorted((r["h"], r["id"]) for r in df.collect())
+    place = {i: k + 1 for k, (_, i) in enumerate(order)}
+    for digits in (2, 4, 5, 9):
+        assert {r["id"]: r["r"] for r in O.hash_rank(df, "h", "r", digits=digits).collect()} == place
+        wanted = spark.createDataFrame([(0,), (1,), (1500,), (3000,)], "rank long")
+        got = {r["rank"]: r["threshold"] for r in O.hash_thresholds(df, "h", wanted, digits=digits).collect()}
+        assert got == {0: "", 1: order[0][0], 1500: order[1499][0], 3000: order[-1][0]}
+        by = spark.createDataFrame([(g, 1000) for g in range(3)], "g long, rank long")
+        got = {r["g"]: r["threshold"] for r in O.hash_thresholds(df, "h", by, ["g"], digits=digits).collect()}
+        assert got == {g: max(h for h, i in order if i % 3 == g) for g in range(3)}
