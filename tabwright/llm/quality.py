@@ -238,5 +238,8 @@ def accepted(docs: DataFrame, text="text", lang="lang", source="source") -> Data
                        F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
     rows = text_statistics(view, f"row.{text}")
     names, estimates = fit(scratch.keep(rows.drop("row"), "statistics"))
+    # behind a generator: a filter on the statistics that is pushed down would compute them anew for each use
+    counts = F.struct(*[F.col(c) for c in COUNTS])
+    rows = rows.select("row", "lang", "source", F.explode_outer(F.array(counts)).alias("s")).select("row", "lang", "source", "s.*")
     kept = judged(rows, names, estimates).where("kept")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
