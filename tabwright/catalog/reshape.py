@@ -115,6 +115,38 @@ def _(spark, sf):
     return out(R.fit_quantile(df, ["l_quantity"], M, "normal").transform(df), ["l_quantity"], 5)
 
 
+def ranked_quantile_sql(cols, knots):
+    """The transform with any number of knots: knot i of m lies at position i (n - 1) / (m - 1) of the n sorted values."""
+    parts, joins = [], []
+    for c in cols:
+        parts.append(f"""s_{c} AS (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS r FROM lineitem),
+          m_{c} AS (SELECT n - 1 AS l, greatest({knots}, 2) - 1 AS k FROM (SELECT count(*) AS n FROM lineitem)),
+          p_{c} AS (SELECT i, i * l // k AS a, (i * l + k - 1) // k AS b, (i * l % k)::DOUBLE / k AS part, k FROM m_{c}, range((SELECT k + 1 FROM m_{c})) t(i)),
+          q_{c} AS (SELECT v, min(i)::DOUBLE / any_value(k) AS lo, max(i)::DOUBLE / any_value(k) AS hi FROM (
+            SELECT i, k, a.x + (b.x - a.x) * part AS v FROM p_{c} JOIN s_{c} a ON a.r = p_{c}.a JOIN s_{c} b ON b.r = p_{c}.b) GROUP BY v),
+          k_{c} AS (SELECT v, lo, hi, lead(v) OVER (ORDER BY v) AS v2, lead(lo) OVER (ORDER BY v) AS lo2 FROM q_{c}),
+          r_{c} AS (SELECT x, CASE WHEN x <= (SELECT min(v) FROM q_{c}) THEN 0 WHEN x >= (SELECT max(v) FROM q_{c}) THEN 1
+              WHEN x = v THEN (lo + hi) / 2 ELSE hi + (lo2 - hi) * (x - v) / (v2 - v) END AS y
+            FROM (SELECT DISTINCT {c} AS x FROM lineitem) d ASOF LEFT JOIN k_{c} ON d.x >= k_{c}.v)""")
+        joins.append(f"JOIN r_{c} ON r_{c}.x = {c}")
+    return "WITH " + ", ".join(parts) + f" SELECT {K}, " + ", ".join(
+        f"round(r_{c}.y::DOUBLE, 5) AS {c}" for c in cols) + " FROM lineitem " + " ".join(joins)
+
+
+@query("e6_quantile_uni", ranked_quantile_sql(["l_extendedprice", "l_quantity"], "n // 5"))
+def _(spark, sf):
+    df = lines(spark, sf)
+    cols = ["l_extendedprice", "l_quantity"]
+    return out(R.fit_named(df, cols, "quantile_uni").transform(df), cols, 5)
+
+
+@query("e6_quantile_uni_fine", ranked_quantile_sql(["l_extendedprice", "l_tax"], "n"))
+def _(spark, sf):
+    df = lines(spark, sf)
+    cols = ["l_extendedprice", "l_tax"]
+    return out(R.fit_named(df, cols, "quantile_uni_fine").transform(df), cols, 5)
+
+
 def psi_sql(x, lam, method):
     if method == "box-cox":
         return f"CASE WHEN abs({lam}) < 1e-9 THEN ln({x}) ELSE (pow({x}, {lam}) - 1) / {lam} END"
@@ -262,8 +294,7 @@ def shaped(spark, sf):
 @query("e21_column_shape", f"""WITH d AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS row, {', '.join(f'({x})::DOUBLE AS {c}' for c, x in SHAPES.items())} FROM lineitem),
       l AS (UNPIVOT d ON {', '.join(SHAPES)} INTO NAME c VALUE x),
       s AS (SELECT c, count(DISTINCT x) AS u, 3 * (avg(x) - quantile_cont(x, 0.5)) / stddev_pop(x) AS skew, min(x) AS a, max(x) AS b FROM l GROUP BY c),
-      t AS (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY x) AS i, count(*) OVER (PARTITION BY c) AS n FROM l
-        WHERE row IN (SELECT row FROM d ORDER BY md5('0|' || row) LIMIT 3000)),
+      t AS (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY x) AS i, count(*) OVER (PARTITION BY c) AS n FROM l),
       w AS (SELECT c, pow(corr(x, {probit_sql('((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE))')}), 2) AS w FROM t GROUP BY c)
     SELECT c AS "column", CASE WHEN u < 10 THEN 'ordinal' WHEN skew > 1.1 AND a >= 0 AND b <= 1 THEN 'skewed_pos_1_0' WHEN skew > 1.1 AND a > 0 THEN 'skewed_pos'
       WHEN skew > 1.1 THEN 'skewed' WHEN w > 0.95 THEN 'normal' ELSE 'other' END AS shape FROM s JOIN w USING (c)""")

@@ -18,6 +18,11 @@ class Fitted:
         super().__init_subclass__(**kw)
         Fitted.kinds[cls.__name__] = cls
 
+    @property
+    def per_batch(self) -> bool:
+        """Whether a stream has to apply it batch by batch, since it looks at all rows it is given at once."""
+        return False
+
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
@@ -58,6 +63,10 @@ class Chain(Fitted):
 
     steps: list
 
+    @property
+    def per_batch(self) -> bool:
+        return any(step.per_batch for step in self.steps)
+
     def transform(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
             df = step.transform(df)

@@ -9,23 +9,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
 from ..functions.normal import probit
-from ..functions.vectors import literal_array
-from ..session import written
+from ..functions.vectors import let, literal_array
+from ..session import scratch_table, written
 from .clean import TRANSFORMS, finite_col
-from .encode import unique_counts
 from .features import Scale, fit_range
 from .fitted import Chain, Fitted
-from .ordered import BUCKET_ROWS, average_ranks, hash_thresholds, order_statistics, quantile_table, quantiles, with_buckets
+from .ordered import (OFFSET_ROWS, as_of, cut_points, hash_thresholds, order_statistics, quantile_table, quantiles, sized,
+                      with_buckets)
 
-ROW_CONTRACT = 10_000      # the knot rules are stated for tables up to this size; larger ones keep its resolution
+INLINE_KNOTS = 2_000       # knots of a column held as literals; more are a written table
 PROBIT_CLIP = 5.19933758270342   # fixed value: probit(1 - 1e-7)
 IQR_NORMAL = 1.3489795003921634  # fixed value: probit(.75) - probit(.25)
 # fixed values: bandwidth factors offered by name
@@ -100,14 +101,20 @@ class KnotMap(Fitted):
     """Piecewise linear map through distinct knots, optionally followed by the probit.
 
     A knot has a level on its left and right (they differ for tied quantiles);
-    a value on a knot takes the middle, outer values take 0 or 1.
+    a value on a knot takes the middle, outer values take 0 or 1. Many knots are a
+    written table, which the distinct values of a column meet in an as-of join.
     """
 
     knots: dict   # column -> [knots, left levels, right levels]
     normal: bool = False
+    tables: dict = field(default_factory=dict)   # column -> [path, number of the column in it, first knot, last knot]
+
+    @property
+    def per_batch(self) -> bool:
+        return bool(self.tables)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        df = with_buckets(df, {c: k for c, (k, _, _) in self.knots.items()}, "_at_")
+        df = with_buckets(df, {c: k for c, (k, _, _) in self.knots.items()}, "_at_") if self.knots else df
         out = {}
         for c, (knots, left, right) in self.knots.items():
             x = F.col(c).cast("double")
@@ -118,26 +125,46 @@ class KnotMap(Fitted):
             y = (F.when(x <= knots[0], 0.0).when(x >= knots[-1], 1.0)
                  .when(x == k0, (F.get(lo, i) + F.get(hi, i)) / 2).otherwise(inner))
             out[c] = F.when(x.isNotNull(), y)
-        df = df.withColumns(out).drop(*[f"_at_{c}" for c in self.knots])
+        df = (df.withColumns(out) if out else df).drop(*[f"_at_{c}" for c in self.knots])
+        for c in self.tables:
+            df = self._joined(df, c)
         if self.normal:  # a projection of its own, so the level is computed once per value
             df = df.withColumns({c: F.when(F.col(c) <= 1e-7, -PROBIT_CLIP).when(
-                F.col(c) >= 1 - 1e-7, PROBIT_CLIP).otherwise(probit(F.col(c))) for c in self.knots})
+                F.col(c) >= 1 - 1e-7, PROBIT_CLIP).otherwise(probit(F.col(c))) for c in [*self.knots, *self.tables]})
         return df
 
+    def _joined(self, df: DataFrame, c: str) -> DataFrame:
+        path, number, first, last = self.tables[c]
+        table = df.sparkSession.read.parquet(path).where(F.col("c") == number).select("v", "lo", "hi")
+        x = F.col(c).cast("double")
+        inside = df.select(x.alias("_x")).where((F.col("_x") > first) & (F.col("_x") < last)).distinct()
+        found = as_of(inside, "_x", table, "v")
+        between = (F.col("_x") - F.col("prev.v")) / (F.col("next.v") - F.col("prev.v"))
+        level = F.when(F.col("_x") == F.col("prev.v"), (F.col("prev.lo") + F.col("prev.hi")) / 2).otherwise(
+            F.col("prev.hi") + (F.col("next.lo") - F.col("prev.hi")) * between)
+        joined = df.join(found.select("_x", level.alias("_level")), x == F.col("_x"), "left")
+        y = F.when(x <= first, 0.0).when(x >= last, 1.0).otherwise(F.col("_level"))
+        return joined.withColumn(c, F.when(x.isNotNull(), y)).drop("_x", "_level")
+
 
 def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles=None, output: str = "uniform") -> KnotMap:
     """Quantile transform with exact knots over all rows.
 
-    ``n_quantiles`` is a number or a function of the row count (default n // 5),
-    where the count is taken as at most ``ROW_CONTRACT``.
+    ``n_quantiles`` is a number or a function of the column's count (default n // 5).
+    A few knots are read at their ranks; more than INLINE_KNOTS follow from the ranks
+    of all distinct values and are written as a table.
     """
-    def levels(n):
-        size = min(n, ROW_CONTRACT)
-        m = n_quantiles(size) if callable(n_quantiles) else n_quantiles or max(size // 5, 2)
-        return np.linspace(0, 1, max(2, min(m, size))).tolist()
+    def size(n):
+        m = n_quantiles(n) if callable(n_quantiles) else n_quantiles or max(n // 5, 2)
+        return max(2, min(m, n))
 
+    cols = list(cols)
+    row = df.agg(*[F.count(finite_col(F.col(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: row[f"_{i}"] for i, c in enumerate(cols)}
+    many = {c: n for c, n in counts.items() if size(n) > INLINE_KNOTS}
+    few = [c for c in cols if c not in many]
     knots = {}
-    for c, (r, values) in quantile_table(df, cols, levels).items():
+    for c, (r, values) in quantile_table(df, few, lambda n: np.linspace(0, 1, size(n)).tolist()).items() if few else ():
         if not values:
             knots[c] = [[0.0], [0.0], [0.0]]
             continue
@@ -150,7 +177,53 @@ def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles=None, output: s
                 left.append(level)
                 right.append(level)
         knots[c] = [distinct, left, right]
-    return KnotMap(knots, output == "normal")
+    return KnotMap(knots, output == "normal", _knot_tables(df, {c: (n, size(n)) for c, n in many.items()}) if many else {})
+
+
+def _ranked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(c, x, _n, before, after), written: distinct finite values per column number, rows before, next larger value."""
+    finite = df.select(*[finite_col(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    names = [f"x{i}" for i in range(len(cols))]
+    marked = with_buckets(finite, cut_points(finite, names))
+    long = marked.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_b_x{i}").alias("b"), F.col(f"x{i}").alias("x"))
+                                             for i in range(len(cols))])).alias("s")).select("s.*").where("x is not null")
+    counts = written(long.groupBy("c", "b", "x").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    buckets = counts.groupBy("c", "b").agg(F.sum("_n").alias("rows"), F.min("x").alias("first"))
+    order = W.partitionBy("c").orderBy("b")      # one row per bucket
+    buckets = buckets.select("c", "b", F.coalesce(F.sum("rows").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"),
+                             F.lead("first").over(order).alias("then"))
+    inside = W.partitionBy("c", "b").orderBy("x")
+    earlier = F.coalesce(F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.join(sized(buckets, OFFSET_ROWS), ["c", "b"])
+    ranked = ranked.select("c", "x", "_n", (F.col("o") + earlier).alias("before"), F.coalesce(F.lead("x").over(inside), F.col("then")).alias("after"))
+    return written(ranked, "value-ranks")
+
+
+def _knot_tables(df: DataFrame, sizes: dict[str, tuple[int, int]]) -> dict:
+    """column -> [path, number, first, last] of written knots (c, v, lo, hi), for columns with (count, knots).
+
+    Knot i of m lies at position i (n - 1) / (m - 1) of the n sorted values. A distinct
+    value takes all knots on its positions as one row; the knots between it and the
+    next value, at most one since m <= n, are interpolated.
+    """
+    cols = list(sizes)
+    ranked = _ranked_values(df, cols)
+    pick = lambda k: F.get(F.array(*[F.lit(sizes[c][k] - 1).cast("decimal(38,0)") for c in cols]), F.col("c"))
+    rows = ranked.select("c", "x", "after", pick(0).alias("l"), pick(1).alias("k"), F.col("before").cast("decimal(19,0)").alias("first"),
+                         (F.col("before") + F.col("_n") - 1).cast("decimal(19,0)").alias("last"))
+    rows = rows.selectExpr("c", "x", "after", "l", "k", "last", "(first * k + l - 1) div l as i0", "(last * k) div l as i1")
+    rows = rows.selectExpr("c", "x", "after", "k", "i0", "i1", "i1 + 1 as i2",
+                           "cast((i1 + 1) * l - last * k as double) / cast(k as double) as part")
+    kd = F.col("k").cast("double")
+    on = F.when(F.col("i0") <= F.col("i1"), F.struct(F.col("x").alias("v"), (F.col("i0") / kd).alias("lo"), (F.col("i1") / kd).alias("hi")))
+    between = F.when((F.col("part") < 1) & (F.col("i2") <= F.col("k")) & F.col("after").isNotNull(), F.struct(
+        (F.col("x") + (F.col("after") - F.col("x")) * F.col("part")).alias("v"), (F.col("i2") / kd).alias("lo"), (F.col("i2") / kd).alias("hi")))
+    knots = rows.select("c", F.explode(F.array_compact(F.array(on, between))).alias("s")).groupBy("c", "s.v").agg(
+        F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi"))
+    path = scratch_table(df.sparkSession, "knots")
+    knots.write.parquet(path)
+    ends = df.sparkSession.read.parquet(path).groupBy("c").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
+    return {cols[r["c"]]: [path, r["c"], r["first"], r["last"]] for r in ends}
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -520,57 +593,105 @@ def median_skew(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     return {c: 3 * (s["mean"] - medians[c][0]) / s["pop"] if s["pop"] else 0.0 for c, s in stats(df, cols).items()}
 
 
-def _normality(df: DataFrame, cols: Sequence[str], piece: int = 1_000) -> dict[str, float]:
-    """Shapiro-Francia W' per column: squared correlation of all finite values with normal scores.
+TAIL_RANKS = 8    # ranks at either end whose normal scores are summed one by one
+
 
-    Distinct values with counts are ranked in buckets; runs of equal values are
-    cut into pieces of ranks, so one frequent value is spread over tasks too.
+def _score_sum(first: Column, last: Column, n: Column) -> Column:
+    """Sum of the normal scores of the ranks first..last of n, probit((i - 0.375) / (n + 0.25)).
+
+    A long run is the integral of the scores, minus the density's difference, with the
+    first Euler-Maclaurin term; the steep ends are summed one by one.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), finite_col(F.col(c).cast("double")).alias("x"))
-                                         for i, c in enumerate(cols)])).alias("s")).select("s.*").where("x is not null")
-    ranked = written(average_ranks(long, ["c"], "x", "mid"), "value-ranks")
-    sizes = {r["c"]: r["n"] for r in ranked.groupBy("c").agg(F.sum("_n").alias("n")).collect()}
-    out = dict.fromkeys(cols, 0.0)
-    if not sizes:
-        return out
-    last = (F.col("mid") + (F.col("_n") - 1) / 2).cast("long")
-    runs = ranked.select("c", "x", last.alias("last"), F.explode(F.sequence(last - F.col("_n") + 1, last, F.lit(piece))).alias("first"))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(sizes.values()) / BUCKET_ROWS))
-    rows = runs.repartition(parts, "c", "first").select("c", "x", F.explode(F.sequence(
-        F.col("first"), F.least(F.col("last"), F.col("first") + (piece - 1)))).alias("i"))
-    n = F.get(literal_array([float(sizes.get(i, 0)) for i in range(len(cols))]), F.col("c"))
-    scores = rows.withColumn("score", probit((F.col("i") - 0.375) / (n + 0.25)))
-    for r in scores.groupBy("c").agg(F.corr("x", "score").alias("r")).collect():  # one row per column
-        if sizes[r["c"]] >= 3 and r["r"] is not None and math.isfinite(r["r"]):
-            out[cols[r["c"]]] = r["r"] ** 2
-    return out
+    at = lambda t: probit((t - 0.375) / (n + 0.25))
+    each = lambda a, b: F.when(a <= b, F.aggregate(F.transform(F.sequence(a, b), at), F.lit(0.0), lambda s, z: s + z)).otherwise(0.0)
+    density = lambda z: F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    a, b = F.greatest(first, F.lit(TAIL_RANKS + 1).cast("long")), F.least(last, n - TAIL_RANKS)
+    ends = F.transform(F.array(a - 0.5, b + 0.5), lambda t: density(at(t)))
+    long = let(ends, lambda d: (n + 0.25) * (d[0] - d[1]) - (1 / d[1] - 1 / d[0]) / (n + 0.25) / 24)
+    split = (each(first, F.least(last, F.lit(TAIL_RANKS).cast("long"))) + F.when(a <= b, long).otherwise(0.0)
+             + each(F.greatest(first, n - TAIL_RANKS + 1), last))
+    return F.when(first == last, at(first)).when(last - first < 2 * TAIL_RANKS, each(first, last)).otherwise(split)
+
+
+def _score_squares(n: int, ends: int = 2_000) -> float:
+    """Sum of the squared normal scores of the ranks 1..n; the middle of a long table by its integral."""
+    normal = NormalDist()
+    at = lambda t: normal.inv_cdf((t - 0.375) / (n + 0.25))
+    if n <= 2 * ends:
+        return sum(at(i) ** 2 for i in range(1, n + 1))
+    z = [at(ends + 0.5), at(n - ends + 0.5)]
+    middle = [normal.cdf(v) - v * normal.pdf(v) for v in z]
+    return 2 * sum(at(i) ** 2 for i in range(1, ends + 1)) + (n + 0.25) * (middle[1] - middle[0])
+
+
+def _normality(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Shapiro-Francia W' per column: squared correlation of all finite values with normal scores; 0 if undefined."""
+    ranked = _ranked_values(df, cols)
+    first = _value_moments(ranked)
+    found = _normal_likeness(ranked, first, len(cols), list(first))
+    return {c: found.get(i, 0.0) for i, c in enumerate(cols)}
+
+
+def _value_moments(ranked: DataFrame) -> dict:
+    """Per column number of written value ranks: distinct values u, rows n, mean, low, high."""
+    return {r["c"]: r for r in ranked.groupBy("c").agg(
+        F.count(F.lit(1)).alias("u"), F.sum("_n").alias("n"), (F.sum(F.col("x") * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+
+
+def _per_column(first: dict, name: str, width: int) -> Column:
+    """One number per column, looked up by the column's number."""
+    return F.get(literal_array([float(first[i][name]) if i in first else 0.0 for i in range(width)]), F.col("c"))
+
+
+def _normal_likeness(ranked: DataFrame, first: dict, width: int, some: list[int]) -> dict[int, float]:
+    """W' of some columns of at least three rows and two values, one sum per run of equal values."""
+    n, d = _per_column(first, "n", width).cast("long"), F.col("x") - _per_column(first, "mean", width)
+    scores = _score_sum(F.col("before") + 1, F.col("before") + F.col("_n"), n)
+    rows = ranked.where(F.col("c").isin(some)).select("c", d.alias("d"), "_n", scores.alias("s"))
+    found = rows.groupBy("c").agg(F.sum(F.col("d") * F.col("s")).alias("p"), F.sum(F.col("d") * F.col("d") * F.col("_n")).alias("q"))
+    return {r["c"]: r["p"] ** 2 / (r["q"] * _score_squares(first[r["c"]]["n"])) for r in found.collect()  # one row per column
+            if first[r["c"]]["n"] >= 3 and r["q"] and math.isfinite(r["q"])}
 
 
 def column_shape(df: DataFrame, cols: Sequence[str], key: str | None = None) -> dict[str, str]:
     """ordinal, skewed_pos_1_0, skewed_pos, skewed, normal or other, tested in that order.
 
     Every test looks at all rows, so no ``key`` is needed to choose some; it is
-    accepted for callers that have one.
+    accepted for callers that have one. All of them read one written table of distinct
+    values with their ranks. Normality is the Shapiro-Francia W', the squared
+    correlation of the finite values with normal scores, summed per run of equal values.
     """
     cols = list(cols)
-    _, uniques = unique_counts(df, cols, 10)
-    rest = [c for c in cols if uniques[c] >= 10]
     out = {c: "ordinal" for c in cols}
+    if not cols:
+        return out
+    ranked = _ranked_values(df, cols)
+    odd = lambda c: [F.max(F.when(t, 1).otherwise(0)) for t in (
+        F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.col(c).cast("double") == math.inf, F.col(c).cast("double") == -math.inf)]
+    extra = df.agg(*[sum(odd(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    first = _value_moments(ranked)
+    rest = [i for i in first if first[i]["u"] + (extra[f"_{i}"] or 0) >= 10]
     if not rest:
         return out
-    skews, st = median_skew(df, rest), stats(df, rest)
-    for c in rest:
-        lo, hi = st[c]["min"], st[c]["max"]
-        if skews[c] > 1.1 and lo >= 0 and hi <= 1:
-            out[c] = "skewed_pos_1_0"
-        elif skews[c] > 1.1 and lo > 0:
-            out[c] = "skewed_pos"
-        elif skews[c] > 1.1:
-            out[c] = "skewed"
-    even = [c for c in rest if out[c] == "ordinal"]
-    if even:
-        for c, w in _normality(df, even).items():
-            out[c] = "normal" if w > 0.95 else "other"
+    middle = (_per_column(first, "n", len(cols)).cast("long") - 1) / 2
+    upto = F.col("before") + F.col("_n")
+    second = {r["c"]: r for r in ranked.where(F.col("c").isin(rest)).groupBy("c").agg(
+        F.sum(F.col("_n") * F.pow(F.col("x") - _per_column(first, "mean", len(cols)), 2)).alias("squares"),
+        F.min(F.when(upto > F.floor(middle), F.col("x"))).alias("a"), F.min(F.when(upto > F.ceil(middle), F.col("x"))).alias("b")).collect()}
+    even = []
+    for i in rest:
+        lo, hi, pop = first[i]["low"], first[i]["high"], math.sqrt(second[i]["squares"] / first[i]["n"])
+        skew = 3 * (first[i]["mean"] - (second[i]["a"] + second[i]["b"]) / 2) / pop if pop else 0.0
+        if skew > 1.1:
+            out[cols[i]] = "skewed_pos_1_0" if lo >= 0 and hi <= 1 else "skewed_pos" if lo > 0 else "skewed"
+        else:
+            even.append(i)
+    for i, w in (_normal_likeness(ranked, first, len(cols), even) if even else {}).items():
+        out[cols[i]] = "normal" if w > 0.95 else "other"
+    for i in even:
+        if out[cols[i]] == "ordinal":     # no likeness: constant but for values that are not finite
+            out[cols[i]] = "other"
     return out
 
 

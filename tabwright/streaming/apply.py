@@ -23,8 +23,16 @@ def apply_fitted(stream: DataFrame, fitted: Fitted, out_path: str, checkpoint: s
     """Start a query that appends transformed rows to Parquet files.
 
     Transforms are row-wise expressions and joins with small fixed tables, so
-    the query keeps no state.
+    the query keeps no state. One that looks at all rows it is given at once
+    (``per_batch``) is applied to each batch, whose rows replace what an earlier
+    try wrote to the folder ``batch=<number>``.
     """
+    if fitted.per_batch:
+        def write(batch: DataFrame, number: int) -> None:
+            rows = fitted.transform(batch)
+            (rows.select(*columns) if columns else rows).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
     rows = fitted.transform(stream)
     if columns:
         rows = rows.select(*columns)

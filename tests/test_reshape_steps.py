@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import reshape as R
-from tabwright.operators.fitted import Fitted
+from tabwright.operators.fitted import Chain, Fitted
 from tabwright.plans import ensemble as G, steps as S
 
 
@@ -234,3 +234,87 @@ def test_regression_targets_are_transformed(data):
     stats = {r["member"]: (r["m"], r["s"]) for r in out.groupBy("member").agg(
         F.avg("target").alias("m"), F.stddev_pop("target").alias("s")).collect()}
     assert sum(abs(m) < 1e-6 and abs(s - 1) < 1e-6 for m, s in stats.values()) == 2
+
+
+# ---- many knots, normality by runs ---------------------------------------------
+
+def test_as_of_join(spark):
+    from tabwright.operators import ordered as O
+    rng = np.random.default_rng(3)
+    values = np.unique(np.round(rng.normal(size=700), 2))
+    keys = np.unique(np.concatenate([np.round(rng.normal(size=300) * 2, 3), values[:50], [-99.0, 99.0]]))
+    table = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, place int").repartition(4)
+    found = O.as_of(spark.createDataFrame([(float(k),) for k in keys], "k double"), "k", table, "v").collect()
+    assert len(found) == len(keys)
+    for r in found:
+        at = int(np.searchsorted(values, r["k"], "right"))
+        assert (r["prev"] and r["prev"]["place"]) == (at - 1 if at else None)
+        assert (r["next"] and r["next"]["place"]) == (at if at < len(values) else None)
+    assert O.as_of(spark.createDataFrame([(1.0,)], "k double"), "k", table.where("false"), "v").first()["prev"] is None
+
+
+def plain_quantile_map(train, x, m):
+    """Both-sided interpolation between exact quantiles."""
+    train = np.sort(train)
+    at = np.arange(m) * (len(train) - 1) / (m - 1)
+    knots, levels = np.interp(at, np.arange(len(train)), train), np.linspace(0, 1, m)
+    out = (np.interp(x, knots, levels) - np.interp(-x, -knots[::-1], -levels[::-1])) / 2
+    return np.where(x <= knots[0], 0, np.where(x >= knots[-1], 1, out))
+
+
+@pytest.mark.parametrize("share", [1, 2, 5])
+def test_written_knots_are_those_of_plain_quantiles(spark, monkeypatch, share):
+    monkeypatch.setattr(R, "INLINE_KNOTS", 10)
+    rng = np.random.default_rng(share)
+    a = np.round(rng.normal(size=900), 1)
+    a[::3] = 0.5                                        # a third of all rows have one value
+    b = np.exp(rng.normal(size=900))
+    rows = [(float(x), float(y), 7.0) for x, y in zip(a, b)] + [(None, float("nan"), 7.0), (float("inf"), None, 7.0)]
+    train = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    fitted = R.fit_quantile(train, ["a", "b", "c"], lambda n: max(n // share, 2))
+    assert set(fitted.tables) == {"a", "b", "c"} and fitted.per_batch and Chain([fitted]).per_batch
+    again = Fitted.from_json(fitted.to_json())
+    asked = np.concatenate([a, rng.normal(size=50), [-100, 100]])
+    other = np.resize(np.concatenate([b, rng.normal(size=50)]), len(asked))
+    df = spark.createDataFrame([(i, float(x), float(y), 7.0) for i, (x, y) in enumerate(zip(asked, other))], "i int, a double, b double, c double")
+    got = again.transform(df).orderBy("i").collect()
+    assert np.allclose([r["a"] for r in got], plain_quantile_map(a, asked, max(len(a) // share, 2)), atol=1e-9)
+    assert np.allclose([r["b"] for r in got], plain_quantile_map(b, other, max(len(b) // share, 2)), atol=1e-9)
+    assert {r["c"] for r in got} == {0.0}
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("-inf"),)], "a double")
+    one = R.KnotMap({}, False, {"a": fitted.tables["a"]})
+    assert [r["a"] for r in one.transform(odd).collect()] == [None, 1.0, 0.0]
+
+
+def test_written_knots_on_a_stream(spark, monkeypatch, tmp_path):
+    from tabwright.streaming import apply as A
+    monkeypatch.setattr(R, "INLINE_KNOTS", 3)
+    rows = spark.range(40).select("id", (F.col("id") * F.col("id")).cast("double").alias("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    fitted = R.fit_quantile(rows, ["x"], lambda n: n)
+    stream = A.read_files(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
+    A.apply_fitted(stream, fitted, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = sorted((r["id"], round(r["x"], 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(i, round(i / 39, 9)) for i in range(40)]
+
+
+def test_sums_of_normal_scores(spark):
+    from statistics import NormalDist
+    for n in (5, 40, 3000):
+        score = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        runs = [(a, b) for a in (1, 2, 5, 9, 30, n // 2, n - 3, n) for b in (1, 4, 8, 9, 20, n // 2 + 1, n - 9, n - 1, n) if 1 <= a <= b <= n]
+        df = spark.createDataFrame(runs, "a long, b long").withColumn("s", R._score_sum(F.col("a"), F.col("b"), F.lit(n).cast("long")))
+        for r in df.collect():
+            assert abs(r["s"] - sum(score[r["a"] - 1:r["b"]])) < 2e-4
+        assert abs(R._score_squares(n, 500) - sum(z * z for z in score)) < 1e-3
+
+
+def test_shapes_follow_all_rows(spark):
+    """Rare far values decide the shape of a column whose bulk is normal; ties are runs."""
+    from statistics import NormalDist
+    n = 4000
+    bell = [round(NormalDist().inv_cdf((i + 0.5) / n), 1) for i in range(n)]
+    tails = [v * (2000 if i % 997 == 0 else 1) * (-1) ** (i // 997) for i, v in enumerate(bell)]
+    df = spark.createDataFrame([(a, b, float(i % 7), float("nan") if i % 2 else None) for i, (a, b) in enumerate(zip(bell, tails))],
+                               "bell double, tails double, few double, none double")
+    assert R.column_shape(df, ["bell", "tails", "few", "none"]) == {"bell": "normal", "tails": "other", "few": "ordinal", "none": "ordinal"}
