@@ -50,6 +50,20 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = 16 << 20):
+    """Smaller Arrow batches while a plan runs: texts are held several times over between the JVM and Python."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 _kept: list[str] = []     # scratch tables written and not dropped yet, in the order they were written
 
 
@@ -62,7 +76,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_table(self.spark, f"llm-{name}")
         _kept.append(path)
-        df.write.parquet(path)
+        with arrow_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
         return out

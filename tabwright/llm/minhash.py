@@ -18,19 +18,24 @@ from .sketches import band_keys, batches_by_words, set_digests, shingle_sets, sk
 SHINGLE = 5
 SIMILARITY = 80      # percent
 COORDINATES = 128    # of the sketch that is cut into bands
-LONG = 1_024         # of the sketch that decides which pairs of a bucket are verified
+LONG = 2_048         # of the sketch that decides which pairs of a bucket are verified, 4 bits each
 MISS = 1e-7          # chance that a pair at the threshold shares no band, and that it agrees in too few coordinates
 BLOCK = 4_096        # members of a bucket that one task compares with as many others
 
 
-def least_agreement(size: int = COORDINATES, similarity: float = SIMILARITY / 100, miss: float = MISS) -> int:
-    """Coordinates that sketches of a pair at the threshold have in common, but for a chance of ``miss``."""
-    total, k = 0.0, 0
-    while k <= size:
-        total += math.comb(size, k) * similarity ** k * (1 - similarity) ** (size - k)
+def least_agreement(size: int = LONG, similarity: float = SIMILARITY / 100, bits: int = 4, miss: float = MISS) -> int:
+    """Coordinates that sketches of a pair at the threshold have in common, but for a chance of ``miss``.
+
+    Of a coordinate only some bits are compared, so unlike ones agree once in 2 ** bits.
+    """
+    p, total = similarity + (1 - similarity) / 2 ** bits, 0.0
+    if p >= 1:
+        return size
+    for k in range(size + 1):
+        total += math.exp(math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1)
+                          + k * math.log(p) + (size - k) * math.log(1 - p))
         if total > miss:
             return k
-        k += 1
     return size
 
 
@@ -39,9 +44,14 @@ def band_rows(size: int = COORDINATES, similarity: float = SIMILARITY / 100, mis
     return max([r for r in range(1, size + 1) if (1 - similarity ** r) ** (size // r) <= miss], default=1)
 
 
-def _low_bytes(sketches: np.ndarray) -> pa.Array:
-    """The lowest 8 bits of every coordinate, one binary value per sketch."""
-    low = np.ascontiguousarray((sketches & np.uint64(0xFF)).astype(np.uint8))
+#: Of every byte the number of its halves that are zero: coordinates that agree, if the byte is a difference.
+HALVES = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
+
+
+def _low_bytes(sketches: np.ndarray, bits: int = 8) -> pa.Array:
+    """The lowest 8 or 4 bits of every coordinate, one binary value per sketch."""
+    low = (sketches & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    low = np.ascontiguousarray(low if bits == 8 else low[:, ::2] | (low[:, 1::2] << 4))
     ends = np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(ends), pa.py_buffer(low)])
 
@@ -70,7 +80,7 @@ def with_sketches(docs: DataFrame, keys, text: str, shingle: int = SHINGLE, rows
 
 
 def with_sets(rows: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """``key``, ``members``, the full shingle set as an array of longs, and ``long``, 8 bits a coordinate of a longer sketch."""
+    """``key``, ``members``, the full shingle set as an array of longs, and ``long``, 4 bits a coordinate of a longer sketch."""
     schema = StructType([rows.schema[key], StructField("members", ArrayType(LongType())), StructField("long", BinaryType())])
 
     def run(batches):
@@ -81,7 +91,7 @@ def with_sets(rows: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> D
                 yield pa.RecordBatch.from_arrays([
                     batch.column(key).slice(at, to - at),
                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64))),
-                    _low_bytes(sketch(values, starts, LONG))], names=schema.names)
+                    _low_bytes(sketch(values, starts, LONG), 4)], names=schema.names)
 
     return rows.select(key, text_of(text).alias("text")).mapInArrow(run, schema)
 
@@ -96,14 +106,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
     return both.where(100 * F.col("i") >= similarity * (F.col("s") - F.col("i"))).select("x", "y")
 
 
-def open_pairs(members: DataFrame, agreement: int, rows: int, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def open_pairs(members: DataFrame, prints: DataFrame, agreement: int, rows: int, similarity: int = SIMILARITY,
+               block: int = BLOCK) -> DataFrame:
     """Pairs (x, y) of unlike components in a bucket whose long sketches agree in ``agreement`` coordinates.
 
-    ``members`` has key (bucket), band, id, component, n, bytes and long. Every member
-    outside a bucket's largest component meets every member of the bucket; members
-    inside it need not meet each other. Both sides are dealt into blocks, a task
-    compares one block with one other, and only pairs that pass leave it, each from the
-    first band that it shares; so a bucket of any size is linear in rows shuffled.
+    ``members`` has key (bucket), band, id and component, ``prints`` id, n, bytes and
+    long. Every member outside a bucket's largest component meets every member of the
+    bucket; members inside it need not meet each other. Both sides are dealt into
+    blocks, a task compares one block with one other, and only pairs that pass leave it,
+    each from the first band that it shares; so a bucket of any size is linear in rows
+    shuffled. Sketches are joined only to members of buckets with several components.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("_m", "component")).alias("main"),
@@ -113,16 +125,18 @@ def open_pairs(members: DataFrame, agreement: int, rows: int, similarity: int =
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     deal = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
     copies = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    columns = ["key", "band", "id", "component", "outer", "n", "bytes", "long"]
+    columns = ["key", "band", "id", "component", "outer"]
     # a side's own block, and a copy for every block of the other side
-    inside = found.select(*columns, deal("m").alias("j"), copies("o").alias("i"))
-    outside = found.where("outer").select(*columns, deal("o").alias("i"), copies("m").alias("j"))
+    inside = found.select(*columns, deal("m").alias("j"), copies("o").alias("i"), F.lit(False).alias("left"))
+    outside = found.where("outer").select(*columns, deal("o").alias("i"), copies("m").alias("j"), F.lit(True).alias("left"))
+    dealt = outside.unionByName(inside).join(prints.select("id", "n", "bytes", "long"), "id")
 
     def sketches_of(side: pa.Table, column: str) -> np.ndarray:
         return np.frombuffer(b"".join(side.column(column).to_pylist()), np.uint8).reshape(side.num_rows, -1)
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(both: pa.Table) -> pa.Table:
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right = (both.filter(pc.equal(both.column("left"), side)) for side in (True, False))
         if left.num_rows and right.num_rows:
             band = left.column("band")[0].as_py()
             short = [sketches_of(t, "bytes")[:, :(band + 1) * rows].reshape(t.num_rows, band + 1, rows) for t in (left, right)]
@@ -133,14 +147,12 @@ def open_pairs(members: DataFrame, agreement: int, rows: int, similarity: int =
                 hit = np.flatnonzero((parts[0][r] != parts[1]) & (100 * small >= similarity * large)
                                      & (~outer[1] | (ids[0][r] < ids[1])))
                 hit = hit[(short[0][r] == short[1][hit]).all(axis=2).argmax(axis=1) == band]
-                hit = hit[(long[0][r] == long[1][hit]).sum(axis=1) >= agreement]
+                hit = hit[HALVES[long[0][r] ^ long[1][hit]].sum(axis=1) >= agreement]
                 xs.append(np.minimum(ids[0][r], ids[1][hit]))
                 ys.append(np.maximum(ids[0][r], ids[1][hit]))
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
-    keys = ["key", "i", "j"]
-    outside, inside = (side.select(*[F.col(c).alias(c) for c in [*keys, *columns[1:]]]) for side in (outside, inside))  # names of their own
-    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(compare, "x long, y long")
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "x long, y long")
 
 
 def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -166,8 +178,8 @@ def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
     # texts are found again by id and hash; two texts of one id and hash would have to collide in 64 bits
     rows = rows.withColumn("h", F.xxhash64(text_of("text")))
     per_band = band_rows(similarity=similarity / 100)
-    prints = scratch.keep(with_sketches(rows, ["doc_id", "h"], "text", shingle, per_band), "prints")
-    filled = prints.where("n > 0").groupBy("n", "a", "b").agg(
+    marks = scratch.keep(with_sketches(rows, ["doc_id", "h"], "text", shingle, per_band), "marks")
+    filled = marks.where("n > 0").groupBy("n", "a", "b").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("row"),
         F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     classes = scratch.keep(filled.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -184,11 +196,11 @@ def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
     edges = scratch.keep(verified(firsts, sets, similarity), "firsts")
     near = scratch.keep(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "near")
 
-    named = classes.select("id", "n", "bytes").join(near, F.col("id") == F.col("node"), "left").select(
-        "id", "n", "bytes", F.coalesce("component", "id").alias("component"))
-    members = shared.select("key", "band", "id").join(named.join(sets.select("id", "long"), "id"), "id")
-    agreement = least_agreement(LONG, similarity / 100)
-    more = verified(open_pairs(members, agreement, per_band, similarity), sets, similarity)
+    members = shared.select("key", "band", "id").join(near, F.col("id") == F.col("node"), "left").select(
+        "key", "band", "id", F.coalesce("component", "id").alias("component"))
+    prints = classes.select("id", "n", "bytes").join(sets.select("id", "long"), "id")
+    agreement = least_agreement(similarity=similarity / 100)
+    more = verified(open_pairs(members, prints, agreement, per_band, similarity), sets, similarity)
     part = lambda c, out: near.select(F.col("node").alias(c), F.col("component").alias(out))
     more = (more.join(part("x", "cx"), "x", "left").join(part("y", "cy"), "y", "left")
             .select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")))
@@ -202,7 +214,7 @@ def minhash(docs: DataFrame, doc_id="doc_id", text="text", shingle: int = SHINGL
     named = named.select("n", "a", "b", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.keep(named.join(least, "component").select("n", "a", "b", "component_id", F.lit(True).alias("_known")), "named")
-    out = prints.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    out = marks.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"),
                      F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     scratch.drop("shared", "sets", "firsts", "near", "more", "classes")
