@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.llm import mix, packing, quality, simhash, suffixes
-from tabwright.llm.common import Scratch, kept_tables, release
+from tabwright.llm.common import BATCH_BYTES, Scratch, kept_tables, release
 
 TOKENIZER = "word_bpe_49k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,6 +31,7 @@ def stage(fn):
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _before)
+        spark.conf.set(BATCH_BYTES, str(16 << 20))     # for the stage's result, which is written after this call
         with kept_tables() as left:
             out = fn(spark, docs, sf_dir)
         _before[:] = left
