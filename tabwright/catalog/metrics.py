@@ -253,3 +253,18 @@ def _(spark, sf):
     if "bias" not in M.REGISTRY:
         M.register_metric("bias", lambda y, p, w: F.abs(M.wmean(p - y, w)), 0.0, False, problems=[M.REGRESSION])
     return rounded(M.evaluate(regression(spark, sf), ["bias"], by=["status"], problem=M.REGRESSION), 6)
+
+
+LEVELS = (0.1, 0.5, 0.9)
+
+
+@query("m1_quantile_metric", f"""WITH d AS (SELECT l_linestatus AS status, l_extendedprice AS y, [l_quantity * 1000, l_quantity * 1500, l_quantity * 2000] AS q FROM lineitem),
+      e AS (SELECT status, ({' + '.join(f'greatest({a}::DOUBLE * (y - q[{i + 1}]), ({a}::DOUBLE - 1) * (y - q[{i + 1}]))' for i, a in enumerate(LEVELS))}) / {len(LEVELS)} AS loss FROM d)
+    SELECT status, 'pinball' AS metric, round(-avg(loss), 6) AS score, round(avg(loss), 6) AS error FROM e GROUP BY status""")
+def _(spark, sf):
+    if "pinball" not in M.REGISTRY:
+        M.register_metric("pinball", M.pinball_loss, 0.0, False, "quantile", problems=[M.REGRESSION])
+    x = F.col("l_quantity")
+    df = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("y_true"),
+                                             F.array(x * 1000, x * 1500, x * 2000).alias("quantiles"))
+    return rounded(M.evaluate(df, ["pinball"], by=["status"], problem=M.REGRESSION, quantile_levels=LEVELS), 6)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import scratch_table
+from ..session import scratch_table, written
 from .features import seeded_order
 from .fitted import Fitted
 from .ordered import running, sized, with_buckets
@@ -346,14 +349,95 @@ class NgramCounts(Fitted):
         return model.transform(grams).withColumn(self.out, vector_to_array("_counts")).drop("_tokens", "_grams", "_counts")
 
 
+MOST_WORDS = 200_000   # words that longer n-grams are searched with; with more, all n-grams are counted at once
+
+
 def ngram_vocabulary(df: DataFrame, text: str, lo: int = 1, hi: int = 3, min_df: int = 30,
                      top: int = 300) -> DataFrame:
     """(gram, df, tf): the most frequent n-grams that occur in at least ``min_df`` texts.
 
+    Level by level: an n-gram is in no more texts, and occurs no more often, than any of
+    its parts. So level n only looks at n-grams both of whose parts of n - 1 words are in
+    ``min_df`` texts and occur at least as often as the last of the ``top`` found so far;
+    all other words are masked in place. A task adds up its batches' counts, and only
+    distinct n-grams are shuffled. Very many words (``MOST_WORDS``) that pass are not
+    sent to the tasks; then every n-gram is counted.
+    """
+    tokens = df.where(F.col(text).isNotNull()).select(words(text).alias("w"))
+    found, passed, least = [], None, 0
+    for n in range(1, hi + 1):
+        level = _gram_level(tokens, n, passed).groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        level = level.where(F.col("df") >= min_df)
+        if n < hi:
+            level = written(level, f"grams-{n}")
+        if n >= lo:
+            found.append(level)
+            best = _all_rows(found).orderBy(F.desc("tf"), "gram").limit(top)
+            if n < hi:
+                first = best.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
+                least = first["least"] if first["n"] == top else 0
+        if n < hi:
+            rows = level.where(F.col("tf") >= least).select("gram").limit(MOST_WORDS + 1).collect()
+            if len(rows) > MOST_WORDS:
+                return all_ngrams(tokens, lo, hi, min_df, top)
+            passed = sorted(r["gram"] for r in rows)
+    return best
+
+
+def _all_rows(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _gram_level(tokens: DataFrame, n: int, passed: list[str] | None) -> DataFrame:
+    """(gram, df, tf) per batch of texts: n-grams both of whose parts of n - 1 words are in ``passed`` (None: all words)."""
+    known = pa.array(passed or [], pa.string())
+    vocabulary = pa.array(sorted({w for g in passed or [] for w in g.split(" ")}), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("w")
+            flat = lists.flatten()
+            doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            coded = flat.dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            if passed is None:
+                names, at = coded.dictionary, np.arange(len(codes))
+                part = codes
+            else:
+                # words that no part has are masked; runs of n unmasked words of one text are candidates
+                seen = pc.index_in(coded.dictionary, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                word = seen[codes] if len(codes) else codes
+                size = len(codes) - n + 1
+                at = np.arange(max(size, 0))
+                for k in range(n):
+                    at = at[(word[at + k] >= 0) & (doc[at + k] == doc[at])]
+                columns = [vocabulary.take(pa.array(word[at + k])) for k in range(n)]
+                grams = pc.binary_join_element_wise(*columns, " ") if len(at) else pa.array([], pa.string())
+                if n > 2 and len(at):
+                    left, right = (pc.binary_join_element_wise(*columns[k:k + n - 1], " ") for k in (0, 1))
+                    both = pc.and_(pc.is_in(left, known), pc.is_in(right, known))
+                    at, grams = at[both.to_numpy(zero_copy_only=False)], grams.filter(both)
+                coded = grams.dictionary_encode()
+                names, part = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            if not len(at):
+                continue
+            pairs = np.unique(doc[at].astype(np.int64) * len(names) + part) % len(names)
+            yield pa.RecordBatch.from_arrays([
+                names, pa.array(np.bincount(pairs, minlength=len(names))), pa.array(np.bincount(part, minlength=len(names)))],
+                names=["gram", "df", "tf"])
+
+    return tokens.mapInArrow(run, "gram string, df long, tf long")
+
+
+def all_ngrams(tokens: DataFrame, lo: int, hi: int, min_df: int, top: int) -> DataFrame:
+    """The same from all n-grams of every text.
+
     Each text is reduced to (gram, count) inside its own row before the explode,
     so one aggregate with map-side combine gives both frequencies.
     """
-    tokens = df.where(F.col(text).isNotNull()).select(words(text).alias("w"))  # a step of its own: used many times
     firsts = (tokens.select(F.sort_array(ngrams("w", lo, hi)).alias("g"))
               .select(F.explode_outer(F.transform("g", lambda x, i: F.struct(
                   x.alias("gram"),

@@ -33,7 +33,7 @@ class Scorer:
     problems: tuple
     optimum: float = 1.0
     greater_is_better: bool = True
-    needs: str = "pred"          # pred, class, proba or threshold
+    needs: str = "pred"          # pred, class, proba, threshold or quantile
     aliases: tuple = ()
     fn: Callable | None = field(default=None, compare=False)
 
@@ -65,9 +65,11 @@ def register_metric(name: str, column_fn: Callable, optimum: float = 1.0, greate
                     aliases: Sequence[str] = ()) -> Scorer:
     """Add a metric given as an aggregate Column: ``column_fn(y, p, w)``.
 
-    ``p`` is the prediction, class, probability array or score, as ``needs`` says.
+    ``p`` is the prediction, class, probability array or score, as ``needs`` says. For
+    'quantile' it is the array of predicted quantiles, and the function takes a fourth
+    argument, the array of their levels.
     """
-    if needs not in ("pred", "class", "proba", "threshold"):
+    if needs not in ("pred", "class", "proba", "threshold", "quantile"):
         raise ValueError(f"unknown input kind {needs}")
     return add_scorer(Scorer(name, "custom", tuple(problems), optimum, greater_is_better, needs,
                              tuple(aliases), column_fn))
@@ -103,6 +105,12 @@ def _r2(y, p, w):
     return F.when(total > 0, 1 - left / total).otherwise(F.when(left == 0, 1.0).otherwise(0.0))
 
 
+def pinball_loss(y: Column, q: Column, w: Column, levels: Column) -> Column:
+    """Mean quantile loss over the levels, for :func:`register_metric` with ``needs='quantile'``."""
+    each = F.zip_with(q, levels, lambda v, a: F.greatest(a * (y - v), (a - 1) * (y - v)))
+    return wmean(V.vsum(each) / F.size(q), w)
+
+
 def _clip(p: Column, eps: float) -> Column:
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
 
@@ -292,32 +300,56 @@ def curve_areas(df: DataFrame, by: Sequence[str], score: str, pos: str, neg: str
         F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
 
 
-def _curve_rows(df: DataFrame, by: Sequence[str], wanted: set[str]) -> DataFrame:
-    """Rows (by..., kind, a, b, s, pos, neg) feeding all wanted curves at once."""
-    w, y = F.col("_w"), F.col("_y").cast("int")
+def class_areas(df: DataFrame, by: Sequence[str], micro: bool = True) -> DataFrame:
+    """(by..., kind, a, b, auc, pos, neg) of all one-vs-rest, pair and micro curves of class probabilities.
 
-    def row(kind, a, b, s, hit):
-        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"),
-                        s.cast("double").alias("s"), F.when(hit, w).otherwise(0.0).alias("pos"),
-                        F.when(hit, 0.0).otherwise(w).alias("neg"))
-    none = F.lit(-1)
-    parts = []
-    if wanted & {"roc_auc", "average_precision"}:
-        parts.append(F.array(row("binary", none, none, F.col("_s"), F.col("_y") == 1)))
-    if wanted & {"roc_auc_ovr", "roc_auc_ovr_weighted"}:
-        parts.append(F.transform("_probs", lambda p, j: row("ovr", j, none, p, j == y)))
-    if "roc_auc_ovr_micro" in wanted:
-        parts.append(F.transform("_probs", lambda p, j: row("micro", none, none, p, j == y)))
-    if wanted & {"roc_auc_ovo", "roc_auc_ovo_weighted"}:
-        others = F.filter(F.transform("_probs", lambda p, j: F.struct(p.alias("p"), j.alias("j"))), lambda s: s["j"] != y)
-        parts.append(F.transform(others, lambda s: row("ovo", y, s["j"], F.get(F.col("_probs"), y), F.lit(True))))
-        parts.append(F.transform(others, lambda s: row("ovo", s["j"], y, s["p"], F.lit(False))))
-    return df.select(*by, F.explode(F.concat(*parts)).alias("_it")).select(*by, "_it.*")
+    One row per prediction and class is reduced to weights per (class, score, true
+    class). Along the scores of class a, the weight of true a passed so far gives the
+    area against every other true class b at once: the pairs (a, b), and their sum is
+    one-vs-rest. The same weights, with the classes put together, give the micro curve.
+    """
+    by = list(by)
+    each = df.select(*by, F.col("_y").cast("int").alias("b"), "_w", F.posexplode("_probs").alias("a", "_p"))
+    cells = written(each.groupBy(*by, "a", (-F.col("_p")).alias("_s"), "b").agg(F.sum("_w").alias("_w")), "class-scores")
+    own = F.col("a") == F.col("b")
+    pos = F.coalesce(F.sum(F.when(own, F.col("_w"))), F.lit(0.0)).alias("_pos")
+    rest = F.collect_list(F.when(~own, F.struct("b", F.col("_w").alias("w")))).alias("_rest")   # at most one entry a class
+    run = running(cells.groupBy(*by, "a", "_s").agg(pos, rest), [*by, "a"], "_s", {"_before": "_pos"})
+    passed = run.select(*by, "a", (F.col("_before") + F.col("_pos") / 2).alias("_h"), F.explode("_rest").alias("_it"))
+    wins = passed.groupBy(*by, "a", F.col("_it.b").alias("b")).agg(F.sum(F.col("_h") * F.col("_it.w")).alias("_wins"))
+    sizes = cells.where("a = 0").groupBy(*by, F.col("b").alias("_c")).agg(F.sum("_w").alias("_n"))   # one row a class
+    of = lambda c, out: sizes.select(*by, F.col("_c").alias(c), F.col("_n").alias(out))
+    pairs = null_safe_join(null_safe_join(wins, of("a", "pos"), [*by, "a"]), of("b", "neg"), [*by, "b"])
+    area = lambda wins, p, n: F.try_divide(wins, p * n).alias("auc")
+    ovo = pairs.select(*by, F.lit("ovo").alias("kind"), "a", "b", area(F.col("_wins"), F.col("pos"), F.col("neg")), "pos", "neg")
+    ovr = pairs.groupBy(*by, "a").agg(F.sum("_wins").alias("_wins"), F.max("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ovr = ovr.select(*by, F.lit("ovr").alias("kind"), "a", F.lit(-1).alias("b"), area(F.col("_wins"), F.col("pos"), F.col("neg")), "pos", "neg")
+    out = ovo.unionByName(ovr)
+    if micro:
+        neg = F.coalesce(F.sum(F.when(~own, F.col("_w"))), F.lit(0.0)).alias("_neg")
+        steps = running(cells.groupBy(*by, "_s").agg(pos, neg), by, "_s", {"_before": "_pos"})
+        total = steps.groupBy(*by).agg(F.sum(F.col("_neg") * (F.col("_before") + F.col("_pos") / 2)).alias("_wins"),
+                                       F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
+        out = out.unionByName(total.select(*by, F.lit("micro").alias("kind"), F.lit(-1).alias("a"), F.lit(-1).alias("b"),
+                                           area(F.col("_wins"), F.col("pos"), F.col("neg")), "pos", "neg"))
+    return out
 
 
 def curve_scores(df: DataFrame, by: Sequence[str], wanted: set[str]) -> DataFrame:
     by = list(by)
-    areas = curve_areas(_curve_rows(df, by, wanted), [*by, "kind", "a", "b"], "s", "pos", "neg")
+    parts = []
+    if wanted & {"roc_auc", "average_precision"}:
+        hit = F.col("_y") == 1
+        rows = df.select(*by, F.col("_s").cast("double").alias("s"), F.when(hit, F.col("_w")).otherwise(0.0).alias("pos"),
+                         F.when(hit, 0.0).otherwise(F.col("_w")).alias("neg"))
+        parts.append(curve_areas(rows, by, "s", "pos", "neg").withColumn("kind", F.lit("binary")))
+    if wanted - {"roc_auc", "average_precision"}:
+        parts.append(class_areas(df, by, "roc_auc_ovr_micro" in wanted))
+    areas = parts[0]
+    for part in parts[1:]:
+        areas = areas.unionByName(part, allowMissingColumns=True)
+    if "ap" not in areas.columns:
+        areas = areas.withColumn("ap", F.lit(None).cast("double"))
 
     def pick(kind, x):
         return F.when(F.col("kind") == kind, x)
@@ -388,11 +420,15 @@ def _needed(col: Column, what: str) -> Column:
     return F.when(col.isNull(), F.raise_error(F.lit(f"null {what}")).cast("double")).otherwise(col.cast("double"))
 
 
-def _prepare(df: DataFrame, by, y_true, y_pred, probs, score, weight) -> DataFrame:
+def _prepare(df: DataFrame, by, y_true, y_pred, probs, score, weight, quantiles=None, levels=None) -> DataFrame:
     """Rename the contract columns; classes follow from probabilities when absent. Null values are errors."""
     cols = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)] + [
         _needed(F.col(y_true), "true value").alias("_y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")]
+    if levels is not None:
+        q = V.as_double(quantiles)
+        wrong = F.raise_error(F.lit(f"not one quantile for each of {len(levels)} levels")).cast("array<double>")
+        cols.append(F.when((F.size(q) != len(levels)) | q.isNull() | F.exists(q, lambda v: v.isNull()), wrong).otherwise(q).alias("_q"))
     if probs in df.columns:
         cols.append(V.as_double(probs).alias("_probs"))
     if score in df.columns:
@@ -415,10 +451,17 @@ def _long(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFra
 
 def evaluate(df: DataFrame, metrics: Sequence[str | Scorer], by: Sequence[str] = (), problem: str | None = None,
              y_true: str = "y_true", y_pred: str = "y_pred", probs: str = "probs", score: str = "score",
-             weight: str | None = None) -> DataFrame:
-    """Long table (by..., metric, score, error); larger scores are better, error 0 is perfect."""
+             weight: str | None = None, quantiles: str = "quantiles", quantile_levels: Sequence[float] | None = None) -> DataFrame:
+    """Long table (by..., metric, score, error); larger scores are better, error 0 is perfect.
+
+    Metrics of quantiles read the array column ``quantiles``, one value for each of
+    ``quantile_levels``.
+    """
     scorers = {s.name: s for s in (get_metric(m, problem) for m in metrics)}
-    data = _prepare(df, by, y_true, y_pred, probs, score, weight)
+    asked = any(s.needs == "quantile" for s in scorers.values())
+    if asked and not quantile_levels:
+        raise ValueError("quantile_levels is needed to score quantiles")
+    data = _prepare(df, by, y_true, y_pred, probs, score, weight, quantiles, quantile_levels if asked else None)
     groups = {f"_by{i}": c for i, c in enumerate(by)}  # own names, so groups may be called anything
     by = list(groups)
     kind = problem or (MULTICLASS if "_probs" in data.columns else BINARY)
@@ -427,7 +470,8 @@ def evaluate(df: DataFrame, metrics: Sequence[str | Scorer], by: Sequence[str] =
     need = {s: [m for m in scorers.values() if m.family == s] for s in {m.family for m in scorers.values()}}
     pieces = []
 
-    plain = {s.name: s.fn(y, F.col(source[s.needs]), w) for f in ("agg", "custom") for s in need.get(f, [])}
+    plain = {s.name: s.fn(y, F.col("_q"), w, V.literal_array(quantile_levels)) if s.needs == "quantile" else s.fn(y, F.col(source[s.needs]), w)
+             for f in ("agg", "custom") for s in need.get(f, [])}
     if weight is None:
         plain.update({n: fn(y, F.col("_p")) for n, fn in UNWEIGHTED.items() if n in plain})
     if "loss" in need:
