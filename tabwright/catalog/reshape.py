@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.normal import probit_sql
+from ..functions.normal import normal_cdf_sql, probit_sql
 from ..operators import reshape as R
 from .base import query, table
 from .clean import INJECTED, injected
@@ -188,6 +188,27 @@ def _(spark, sf):
     return out(R.fit_power(df, ["x", "same"], safe=True).transform(df), ["x", "same"], 5)
 
 
+def kernel_sql(cols, alpha):
+    """Exact kernel sums over the distinct values and their counts, rescaled to 0..1."""
+    parts, joins = [], []
+    for c in cols:
+        z = f"((a.x - b.x) / (s.d * {alpha}::DOUBLE))"
+        parts.append(f"""v_{c} AS (SELECT {c} AS x, count(*) AS n FROM lineitem GROUP BY 1),
+          s_{c} AS (SELECT stddev_samp({c}) AS d FROM lineitem),
+          f_{c} AS (SELECT a.x, sum(b.n * {normal_cdf_sql(z)}) / sum(b.n) AS f FROM v_{c} a, v_{c} b, s_{c} s GROUP BY a.x),
+          r_{c} AS (SELECT x, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS y FROM f_{c})""")
+        joins.append(f"JOIN r_{c} ON r_{c}.x = {c}")
+    return "WITH " + ", ".join(parts) + f" SELECT {K}, " + ", ".join(
+        f"round(r_{c}.y::DOUBLE, 6) AS {c}" for c in cols) + " FROM lineitem " + " ".join(joins)
+
+
+@query("e11_kdi_values", kernel_sql(["l_quantity", "l_discount", "l_tax"], 0.5))
+def _(spark, sf):
+    df = lines(spark, sf)
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    return out(R.fit_kdi(df, cols, 0.5, "uniform").transform(df), cols)
+
+
 @query("e11_kdi")
 def _(spark, sf):
     df = lines(spark, sf)

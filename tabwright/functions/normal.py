@@ -76,3 +76,19 @@ def probit_sql(p: str) -> str:
             f"{horner(PROBIT_C, lo)}/{horner(PROBIT_D, lo)} WHEN ({p})<=1-{PROBIT_LOW} THEN "
             f"{horner(PROBIT_A, r)}*{q}/{horner(PROBIT_B, r)} ELSE "
             f"-({horner(PROBIT_C, hi)})/{horner(PROBIT_D, hi)} END)")
+
+
+def normal_cdf_sql(x: str) -> str:
+    """:func:`normal_cdf` as SQL text."""
+    def horner(coefs, v):
+        out = f"{coefs[0]!r}::DOUBLE"
+        for c in coefs[1:]:
+            out = f"(({out})*({v})+({c!r})::DOUBLE)"
+        return out
+    a, e = f"abs({x})", f"exp(-pow({x},2)/2)"
+    frac = f"({a}+0.65::DOUBLE)"
+    for k in (4, 3, 2, 1):
+        frac = f"({a}+{k}/{frac})"
+    tail = (f"(CASE WHEN {a}>37 THEN 0 WHEN {a}<{CDF_TAIL!r}::DOUBLE THEN {e}*{horner(CDF_P, a)}/{horner(CDF_Q, a)} "
+            f"ELSE {e}/{frac}/2.506628274631::DOUBLE END)")
+    return f"(CASE WHEN ({x})>0 THEN 1-{tail} ELSE {tail} END)"

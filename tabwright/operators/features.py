@@ -8,6 +8,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_int, seeded_hash
@@ -145,18 +147,65 @@ def fit_drop_constant(df: DataFrame, cols: Sequence[str]) -> DropColumns:
     return DropColumns(drop)
 
 
-def correlations(df: DataFrame, cols: Sequence[str], per_job: int = 400) -> dict[tuple[str, str], float]:
-    """Pearson correlation of every column pair (columns, not rows), a few hundred per aggregate."""
-    pairs = list(itertools.combinations(cols, 2))
+BLOCK_COLUMNS = 1_024     # columns that meet as many others in one pass over the rows
+
+
+def correlations(df: DataFrame, cols: Sequence[str], block: int = BLOCK_COLUMNS) -> dict[tuple[str, str], float]:
+    """Pearson correlation of every column pair (columns, not rows); null for pairs without variance.
+
+    A row counts for the pairs in which both cells are there. The columns are cut into
+    blocks; two blocks meet in one pass, whose tasks add up outer products.
+    """
+    cols = list(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    mean = {c: means[f"_{i}"] or 0.0 for i, c in enumerate(cols)}
+    mean = {c: m if math.isfinite(m) else 0.0 for c, m in mean.items()}
+    blocks = [cols[at:at + block] for at in range(0, len(cols), block)]
     out = {}
-    for start in range(0, len(pairs), per_job):
-        chunk = pairs[start:start + per_job]
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-                       for i, (a, b) in enumerate(chunk)]).first()
-        out.update({p: row[i] for i, p in enumerate(chunk)})
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            r = _block_correlations(df, left, right, mean)
+            place = {c: j for j, c in enumerate(right)}
+            for a, first in enumerate(left):
+                for second in (left[a + 1:] if right is left else right):
+                    value = r[a, place[second]]
+                    out[first, second] = None if np.isnan(value) else float(value)
     return out
 
 
+def _block_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], mean: dict) -> np.ndarray:
+    """Correlations of every left with every right column, from sums of outer products of centred cells and their presence."""
+    both = list(dict.fromkeys([*left, *right]))
+    a, b = [both.index(c) for c in left], [both.index(c) for c in right]
+    shape = (len(left), len(right))
+
+    def partial(batches):
+        sums = np.zeros((6, *shape))
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("v")
+                x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(both))
+                there = values.flatten().is_valid().to_numpy(zero_copy_only=False).astype(np.float64).reshape(x.shape)
+                x = np.where(there > 0, x, 0.0)
+                p, q, m, w = x[:, a], x[:, b], there[:, a], there[:, b]
+                sums += np.stack([m.T @ w, p.T @ w, m.T @ q, (p * p).T @ w, m.T @ (q * q), p.T @ q])
+        yield pa.RecordBatch.from_pydict({"i": np.arange(shape[0], dtype=np.int32),
+                                          "row": list(sums.transpose(1, 0, 2).reshape(shape[0], -1))})
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    cells = F.array(*[F.col(f"`{c}`").cast("double") - F.lit(float(mean[c])) for c in both])
+    parts = df.select(cells.alias("v")).mapInArrow(partial, "i int, row array<double>")
+    rows = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).orderBy("i").collect()
+    if not rows:
+        return np.full(shape, np.nan)
+    n, x, y, xx, yy, xy = np.array([r["row"] for r in rows]).reshape(shape[0], 6, shape[1]).transpose(1, 0, 2)
+    with np.errstate(all="ignore"):
+        vx, vy = xx - x * x / n, yy - y * y / n
+        vx, vy = (np.where(v <= 1e-14 * s, 0.0, v) for v, s in ((vx, xx), (vy, yy)))   # constant where both cells are there
+        return np.where(vx * vy > 0, (xy - x * y / n) / np.sqrt(vx * vy), np.nan)
+
+
 def fit_drop_duplicate(df: DataFrame, cols: Sequence[str], threshold: float = 0.999) -> DropColumns:
     """Drop a column whose correlation with an earlier kept one exceeds the threshold."""
     corr = correlations(df, cols)

@@ -230,36 +230,78 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
 
 
-def fit_kdi(df: DataFrame, cols: Sequence[str], alpha: float = 1.0, output: str = "uniform",
-            bins: int = 1000) -> KnotMap:
+CELLS = 16            # data cells and least knot distance per kernel width
+RISE = 5e-4           # rise of the smoothed CDF between two knots that are further apart
+KERNEL = 8.5          # kernel widths beyond which a value counts as passed, or as not yet reached
+
+
+def _smoothed(at: np.ndarray, mean: np.ndarray, weight: np.ndarray, width: np.ndarray, reach: float) -> np.ndarray:
+    """Sum of the cells' weights times their kernels' CDF; only cells within ``reach`` are evaluated."""
+    passed = np.concatenate([[0.0], np.cumsum(weight)])
+    low, high = np.searchsorted(mean, at - reach), np.searchsorted(mean, at + reach)
+    return np.array([passed[i] + float(weight[i:j] @ _normal_cdf((x - mean[i:j]) / width[i:j])) for x, i, j in zip(at, low, high)])
+
+
+def _kernel_knots(mean: np.ndarray, weight: np.ndarray, width: np.ndarray, h: float, low: float, high: float, alone: np.ndarray):
+    """Knots and levels of the smoothed CDF, rescaled to 0..1 between ``low`` and ``high``.
+
+    Starts from quantiles of the cells and values that fill a cell alone. An interval
+    is halved until the CDF rises by less than RISE in it, which bounds the error of
+    any monotone curve, or until it is a CELLS-th of the kernel, where the curvature
+    bounds it to 0.242 / (8 CELLS ** 2).
+    """
+    share = np.cumsum(weight) / weight.sum()
+    grid = np.unique(np.concatenate([[low, high], mean[np.searchsorted(share, np.linspace(0, 1, 201)[1:-1])], alone]))
+    grid = grid[(grid >= low) & (grid <= high)]
+    level = _smoothed(grid, mean, weight, width, KERNEL * float(width.max()))
+    while True:
+        gap, rise = np.diff(grid), np.diff(level)
+        wide = np.flatnonzero((rise > RISE * (level[-1] - level[0])) & (gap > h / CELLS))
+        middle = (grid[wide] + grid[wide + 1]) / 2
+        middle = middle[(middle > grid[wide]) & (middle < grid[wide + 1])]
+        if not len(middle):
+            break
+        grid = np.concatenate([grid, middle])
+        level = np.concatenate([level, _smoothed(middle, mean, weight, width, KERNEL * float(width.max()))])
+        order = np.argsort(grid)
+        grid, level = grid[order], level[order]
+    level = np.maximum.accumulate((level - level[0]) / (level[-1] - level[0]))
+    return grid.tolist(), level.tolist()
+
+
+def fit_kdi(df: DataFrame, cols: Sequence[str], alpha: float = 1.0, output: str = "uniform") -> KnotMap:
     """Kernel-density-integral transform: normal kernel of width alpha * deviation.
 
-    The smoothed CDF is evaluated on a fixed grid from binned counts (one
-    combined aggregate, ``bins`` numbers per column) and rescaled to 0..1.
+    The finite values are counted in cells of a sixteenth of the kernel, one combined
+    aggregate; a cell stands for its values by their number, mean and variance. Only
+    cells with values exist: for n rows fewer than 32 K / alpha + n / K^2 of them for
+    every K, since at most n / K^2 rows lie beyond K deviations. The curve's knots
+    follow its rise (:func:`_kernel_knots`), so a far value costs no resolution; a value
+    that fills its cell alone is a knot, and its level is the exact kernel sum.
     """
+    cols = list(cols)
     st = stats(df, cols)
+    fits = [c for c in cols if st[c]["min"] is not None and st[c]["max"] > st[c]["min"] and st[c]["samp"]]
+    knots = {c: [[st[c]["min"] or 0.0], [0.0], [0.0]] for c in cols}
     cells = []
-    for i, c in enumerate(cols):
-        lo, hi = st[c]["min"], st[c]["max"]
-        width = (hi - lo) if lo is not None and hi > lo else 1.0
-        at = F.least(F.floor((finite_col(F.col(c)) - F.lit(lo or 0.0)) / F.lit(width) * bins), F.lit(bins - 1))
-        cells.append(F.struct(F.lit(i).alias("c"), at.cast("int").alias("b")))
-    counts = {(r["c"], r["b"]): r["count"] for r in df.select(F.explode(F.array(*cells)).alias("s")).select(
-        "s.*").where("b is not null").groupBy("c", "b").count().collect()}
-    knots = {}
-    for i, c in enumerate(cols):
-        s = st[c]
-        if s["min"] is None or s["max"] <= s["min"] or not s["samp"]:
-            knots[c] = [[s["min"] or 0.0], [0.0], [0.0]]
-            continue
-        weights = np.array([counts.get((i, b), 0) for b in range(bins)], dtype=float) / s["n"]
-        step = (s["max"] - s["min"]) / bins
-        offsets = (np.arange(-bins, bins) + 0.5) * step / (alpha * s["samp"])
-        cdf = np.convolve(weights, _normal_cdf(offsets))[bins - 1:2 * bins]
-        level = (cdf - cdf[0]) / (cdf[-1] - cdf[0])
-        grid = (s["min"] + step * np.arange(bins + 1)).tolist()
-        grid[-1] = s["max"]
-        knots[c] = [grid, level.tolist(), level.tolist()]
+    for i, c in enumerate(fits):
+        lo, step = st[c]["min"], alpha * st[c]["samp"] / CELLS
+        x = finite_col(F.col(c).cast("double"))
+        cell = F.floor((x - F.lit(lo)) / F.lit(step))
+        cells.append(F.struct(F.lit(i).alias("c"), cell.alias("b"), x.alias("x")))
+    if not fits:
+        return KnotMap(knots, output == "normal")
+    long = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("x is not null")
+    found = long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
+                                       F.min("x").alias("low"), F.max("x").alias("high")).toArrow().to_pandas()
+    for i, c in enumerate(fits):
+        mine, h = found[found["c"] == i].sort_values("mean"), alpha * st[c]["samp"]
+        single = (mine["low"] == mine["high"]).to_numpy()
+        mean = np.where(single, mine["low"], mine["mean"])
+        width = np.sqrt(h * h + np.where(single, 0.0, np.maximum(mine["var"], 0)))
+        alone = mean[single] if single.sum() <= INLINE_KNOTS else np.zeros(0)
+        grid, level = _kernel_knots(mean, mine["n"].to_numpy(float) / st[c]["n"], width, h, st[c]["min"], st[c]["max"], alone)
+        knots[c] = [grid, level, level]
     return KnotMap(knots, output == "normal")
 
 
@@ -441,6 +483,8 @@ class Combine(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         x = [F.coalesce(finite_col(F.col(c)), F.lit(f)) / F.lit(s) for c, s, f in zip(self.cols, self.scales, self.fills)]
+        if len(self.cols) * len(self.loadings) > PRODUCT_TERMS:
+            return self._product(df, x)
         out = {}
         for name, weights in zip(self.names(), self.loadings):
             total = F.lit(0.0)
@@ -449,6 +493,70 @@ class Combine(Fitted):
             out[name] = total
         return df.withColumns(out)
 
+    def _product(self, df: DataFrame, x: list[Column]) -> DataFrame:
+        """Many outputs of many columns: one matrix product per Arrow batch instead of an expression per term."""
+        weights = np.array(self.loadings).T
+
+        @F.pandas_udf("array<double>")
+        def project(v: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ weights) if len(v) else [], dtype=object)
+        scored = df.withColumn("_scores", project(F.array(*[xi.cast("double") for xi in x])))
+        return scored.withColumns({name: F.get("_scores", F.lit(j)) for j, name in enumerate(self.names())}).drop("_scores")
+
+
+PRODUCT_TERMS = 256    # terms of linear combinations that are written out as expressions
+GRAM_WIDTH = 1_024     # columns whose whole Gram matrix is formed; more are reduced to a range first
+EXTRA = 10             # directions of the range beyond those wanted
+PASSES = 30            # passes over the rows at most
+
+
+def range_vectors(df: DataFrame, vector: Column, width: int, k: int, seed: int = 0, settled: float = 1e-9) -> np.ndarray:
+    """The k leading right singular vectors, as columns, without a width x width matrix.
+
+    A randomized range of k + EXTRA directions is multiplied by the Gram matrix, one
+    pass over the rows each, and made orthogonal by a tall, thin QR on the driver
+    (width x (k + EXTRA) numbers), until the wanted directions stand still.
+    """
+    size = min(width, k + EXTRA)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    for _ in range(PASSES):
+        z = _gram_times(df, vector, q)
+        values, inner = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        top = q @ inner[:, np.argsort(values)[::-1][:k]]
+        after = np.linalg.qr(z)[0]
+        if np.linalg.norm(top - after @ (after.T @ top)) < settled:
+            break
+        q = after
+    return top
+
+
+def _gram_times(df: DataFrame, vector: Column, q: np.ndarray) -> np.ndarray:
+    """Sum over rows of v (v' q): per-task products, summed per matrix row by Spark."""
+    def partial(batches):
+        total = np.zeros(q.shape)
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64)
+                total += x.T @ (x @ q)
+        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    parts = df.select(vector.cast("array<double>").alias("v")).mapInPandas(partial, "i int, row array<double>")
+    rows = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()
+    out = np.zeros(q.shape)
+    for r in rows:  # width x directions numbers
+        out[r["i"]] = r["row"]
+    return out
+
+
+def leading_vectors(df: DataFrame, vector: Column, width: int, k: int) -> np.ndarray:
+    """The k leading right singular vectors with fixed signs, from the Gram matrix or, for wide tables, a range."""
+    if width > GRAM_WIDTH:
+        return _fixed_signs(range_vectors(df, vector, width, k))
+    values, vectors = np.linalg.eigh(gram(df, vector, width))
+    return _fixed_signs(vectors[:, np.argsort(values)[::-1][:k]])
+
 
 def fit_svd(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Combine | None:
     """Truncated SVD scores next to the originals; k = max(1, min(n // 10 + 1, f // 2)), none below two columns."""
@@ -461,9 +569,7 @@ def fit_svd(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Combine
     fills = [st[c]["mean"] or 0.0 for c in cols]
     scales = [((st[c]["pop"] or 0.0) * math.sqrt(st[c]["n"] / n) if n else 0.0) or 1.0 for c in cols]
     vector = F.array(*[F.coalesce(finite_col(F.col(c)), F.lit(f)) / F.lit(s) for c, f, s in zip(cols, fills, scales)])
-    values, vectors = np.linalg.eigh(gram(df, vector, len(cols)))
-    top = _fixed_signs(vectors[:, np.argsort(values)[::-1][:k]])
-    return Combine(cols, scales, top.T.tolist(), fills)
+    return Combine(cols, scales, leading_vectors(df, vector, len(cols), k).T.tolist(), fills)
 
 
 @dataclass(frozen=True)

@@ -144,3 +144,64 @@ def test_join_features_needs_unique_keys(spark):
     a = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k int, x double")
     with pytest.raises(ValueError, match="more than once"):
         J.join_features(a, a.withColumnRenamed("x", "y"), "k")
+
+
+def test_null_and_nan_are_one_category(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (1.0,)], "x double")
+    fitted = E.fit_onehot(df, ["x"])
+    assert fitted.values == {"x": ["1", None]} and fitted.names() == ["x="]
+    assert [r[0] for r in fitted.transform(df).collect()] == [0, 1, 1, 0]
+    assert E.unique_counts(df, ["x"], 5) == (4, {"x": 2})
+    assert sorted(r["feature"] for r in E.onehot_long(df.withColumn("k", F.lit(1)), "k", ["x"]).collect()) == ["x=1", "x=1"]
+
+
+def test_a_number_has_one_text_whatever_its_type(spark):
+    whole = spark.createDataFrame([(1,), (2,), (10,)], "x int")
+    codes = E.fit_codes(whole, ["x"], unknown=-1)
+    for kind in ("decimal(10,2)", "double", "bigint", "decimal(38,0)"):
+        same = whole.select(F.col("x").cast(kind))
+        assert [r["x"] for r in codes.transform(same).collect()] == [0.0, 1.0, 2.0]
+    parts = spark.createDataFrame([("1.50",), ("0.05",), ("100.00",), (None,)], "t string")
+    texts = [d.select(E.cell_text(d, "x").alias("s")) for d in (parts.select(F.col("t").cast(k).alias("x")) for k in ("decimal(10,4)", "double"))]
+    assert [[r["s"] for r in t.collect()] for t in texts] == [["1.5", "0.05", "100", None]] * 2
+
+
+def test_levels_of_ngrams_lose_none(spark):
+    """The same as counting every n-gram, for any top, least number of texts and range of lengths."""
+    import random
+    rnd = random.Random(4)
+    texts = [None, "", "a b c", "11 22"] + [" ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee", "Aa", "x", "é1"]) for _ in range(rnd.randrange(40)))
+                                            for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    tokens = df.where("t is not null").select(E.words("t").alias("w"))
+    for lo, hi, least, top in ((1, 3, 1, 10), (1, 3, 5, 300), (2, 3, 3, 12), (1, 1, 2, 4), (3, 3, 1, 1000), (1, 4, 2, 25)):
+        found = E.ngram_vocabulary(df, "t", lo, hi, least, top).collect()
+        assert found == E.all_ngrams(tokens, lo, hi, least, top).collect()
+
+
+def test_many_words_fall_back_to_all_ngrams(spark, monkeypatch):
+    df = spark.createDataFrame([("aa bb cc aa bb",), ("aa bb",)], "t string")
+    expected = E.ngram_vocabulary(df, "t", min_df=1).collect()
+    monkeypatch.setattr(E, "MOST_WORDS", 1)
+    assert E.ngram_vocabulary(df, "t", min_df=1).collect() == expected
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_correlations_by_blocks(spark, block):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 5)) + 1e4
+    x[:, 3] = x[:, 0] * 2 + 1e-4 * x[:, 1]
+    x[:, 4] = 7
+    rows = [tuple(None if (i + j) % 9 == 0 else float(v) for j, v in enumerate(r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = X.correlations(df, list("abcde"), block)
+    assert len(got) == 10
+    for (p, q), value in got.items():
+        both = [(r["abcde".index(p)], r["abcde".index(q)]) for r in rows]
+        both = np.array([v for v in both if None not in v])
+        if "e" in (p, q):
+            assert value is None
+        else:
+            assert abs(value - np.corrcoef(both.T)[0, 1]) < 1e-9
+    assert X.fit_drop_duplicate(df, list("abcd")).dropped == ["d"]

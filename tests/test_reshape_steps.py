@@ -318,3 +318,51 @@ def test_shapes_follow_all_rows(spark):
     df = spark.createDataFrame([(a, b, float(i % 7), float("nan") if i % 2 else None) for i, (a, b) in enumerate(zip(bell, tails))],
                                "bell double, tails double, few double, none double")
     assert R.column_shape(df, ["bell", "tails", "few", "none"]) == {"bell": "normal", "tails": "other", "few": "ordinal", "none": "ordinal"}
+
+
+# ---- kernel CDF with far values, wide tables ------------------------------------
+
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 2.0])
+def test_kernel_cdf_of_a_heavy_tail(spark, alpha):
+    """Within 1e-3 of the exact kernel sum everywhere, however far some values lie."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=1500), np.repeat(0.25, 700), [4e3, -2e4, 5e5], rng.standard_cauchy(300) * 10])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)], "x double")
+    h = alpha * x.std(ddof=1)
+    exact = lambda at: np.array([R._normal_cdf((v - x) / h).mean() for v in at])
+    ends = exact([x.min(), x.max()])
+    asked = np.unique(np.concatenate([x[:200], x[-305:], np.linspace(-3 * h, 3 * h, 200), rng.uniform(x.min(), x.max(), 100)]))
+    asked = asked[(asked > x.min()) & (asked < x.max())]
+    got = R.fit_kdi(df, ["x"], alpha).transform(spark.createDataFrame([(float(v), float(v)) for v in asked], "at double, x double"))
+    got = np.array([r["x"] for r in got.orderBy("at").collect()])
+    assert np.abs(got - (exact(asked) - ends[0]) / (ends[1] - ends[0])).max() < 1e-3
+
+
+def test_range_vectors_of_a_wide_table(spark, monkeypatch):
+    """1,000 columns without their Gram matrix or an expression per term."""
+    rng = np.random.default_rng(6)
+    n, f, k = 150, 1000, 4
+    x = rng.normal(size=(n, 6)) * [9, 7, 5, 3, 1, 0.5] @ rng.normal(size=(6, f)) + 0.01 * rng.normal(size=(n, f))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, v array<double>")
+    vectors = R.range_vectors(df, F.col("v"), f, k)
+    exact = np.linalg.svd(x, full_matrices=False)[2][:k]
+    assert np.allclose(np.abs(vectors.T @ exact.T), np.eye(k), atol=1e-6)
+    monkeypatch.setattr(R, "GRAM_WIDTH", 100)
+    wide = df.select("i", *[F.col("v")[j].alias(f"c{j}") for j in range(200)])
+    fitted = R.fit_svd(wide, [f"c{j}" for j in range(200)], 3)
+    assert len(fitted.cols) * len(fitted.loadings) > R.PRODUCT_TERMS
+    got = np.array([list(r)[1:] for r in fitted.transform(wide).select("i", *fitted.names()).orderBy("i").collect()])
+    a = x[:, :200]
+    a = a / np.sqrt(a.var(axis=0))
+    scores = a @ np.linalg.svd(a, full_matrices=False)[2][:3].T
+    assert np.allclose(np.abs(got), np.abs(scores), rtol=1e-5, atol=1e-5)
+
+
+def test_products_equal_expressions(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [tuple(float(v) for v in r) for r in rng.normal(size=(40, 5))] + [(None, float("nan"), 1.0, 2.0, float("inf"))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    fitted = R.fit_svd(df, list("abcde"), 2)
+    written_out = [tuple(r) for r in fitted.transform(df).select(*fitted.names()).collect()]
+    monkeypatch.setattr(R, "PRODUCT_TERMS", 0)
+    assert np.allclose([tuple(r) for r in fitted.transform(df).select(*fitted.names()).collect()], written_out)
