@@ -8,7 +8,7 @@ import importlib.util
 from .base import QUERIES, SQL
 
 FAMILIES = ("sources", "clean", "joins", "encode", "split", "metrics", "boards", "reshape",
-            "steps", "embed", "bars", "ensemble", "history", "stream", "flagship")
+            "steps", "embed", "bars", "ensemble", "predict", "history", "stream", "flagship")
 
 
 def load():

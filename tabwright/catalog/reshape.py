@@ -202,10 +202,10 @@ def kernel_sql(cols, alpha):
         f"round(r_{c}.y::DOUBLE, 6) AS {c}" for c in cols) + " FROM lineitem " + " ".join(joins)
 
 
-@query("e11_kdi_values", kernel_sql(["l_quantity", "l_discount", "l_tax"], 0.5))
+@query("e11_kdi_values", kernel_sql(["l_quantity", "l_tax"], 0.5))
 def _(spark, sf):
     df = lines(spark, sf)
-    cols = ["l_quantity", "l_discount", "l_tax"]
+    cols = ["l_quantity", "l_tax"]
     return out(R.fit_kdi(df, cols, 0.5, "uniform").transform(df), cols)
 
 

@@ -38,6 +38,10 @@ class Scale(Fitted):
             return x
         return df.withColumns({c + self.suffix: one(c, *p) for c, p in self.params.items()})
 
+    def inverse_values(self, column: str, values: list[float]) -> list[float]:
+        shift, factor, offset = self.params[column]
+        return [(v - offset) / factor + shift for v in values]
+
     def inverse(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (F.col(c + self.suffix) - F.lit(o)) / F.lit(f) + F.lit(s)
                                for c, (s, f, o) in self.params.items()})

@@ -26,6 +26,10 @@ class Fitted:
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def inverse_values(self, column: str, values: list[float]) -> list[float]:
+        """A few numbers of a transformed column, such as borders, back on its own scale; NaN where there is none."""
+        raise ValueError(f"{type(self).__name__} cannot be undone")
+
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.transform(df)
 
@@ -72,6 +76,11 @@ class Chain(Fitted):
             df = step.transform(df)
         return df
 
+    def inverse_values(self, column: str, values: list[float]) -> list[float]:
+        for step in reversed(self.steps):
+            values = step.inverse_values(column, values)
+        return values
+
 
 @dataclasses.dataclass(frozen=True)
 class Copy(Fitted):

@@ -330,6 +330,23 @@ def _power_of_log(x: Column, log: Column, lam: Column, method: str) -> Column:
     return F.when(x >= 0, y).otherwise(-y)
 
 
+def _inverse_power(y: float, lam: float, method: str) -> float:
+    """The x whose power transform is y; NaN where no x has it, infinity where it is too large for a number."""
+    def root(base: float, power: float) -> float:
+        try:
+            return base ** power if base > 0 else 0.0 if base == 0 and power > 0 else math.nan
+        except OverflowError:
+            return math.inf
+
+    def grown(v: float) -> float:
+        return math.exp(v) if v < 700 else math.inf
+    if method == "box-cox":
+        return grown(y) if abs(lam) < 1e-9 else root(lam * y + 1, 1 / lam)
+    if y >= 0:
+        return grown(y) - 1 if abs(lam) < 1e-9 else root(lam * y + 1, 1 / lam) - 1
+    return 1 - (grown(-y) if abs(lam - 2) < 1e-9 else root(1 - (2 - lam) * y, 1 / (2 - lam)))
+
+
 @dataclass(frozen=True)
 class Power(Fitted):
     """Power transform, then (y - mean) / deviation; a null exponent leaves the column standardised only."""
@@ -345,6 +362,10 @@ class Power(Fitted):
             out[c] = finite_col((y - F.lit(mean)) / F.lit(sd))
         return df.withColumns(out)
 
+    def inverse_values(self, column: str, values: list[float]) -> list[float]:
+        lam, mean, sd = self.params[column]
+        return [v * sd + mean if lam is None else _inverse_power(v * sd + mean, lam, self.method) for v in values]
+
 
 def _power_profile(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]], method: str):
     """(column, lambda) -> log-likelihood, mean, deviation, max; all in one combined aggregate."""
