@@ -31,6 +31,23 @@ def feature_sql(member: G.Member) -> list[str]:
     return [f"{'r' if member.config.name == 'robust' else 'l'}_{c}" for c in order]
 
 
+PLAN_MEMBERS = G.plan_members("classification", 8, 3, CONFIGS, OPTIONS, "shuffle", seed=3)
+
+
+# every planned member's features over all rows, weighted by their place, and its class order
+@query("g3_member_plan", f"WITH {BASE}" + " UNION ALL ".join(
+    f"""SELECT {m.member} AS member, '{m.config.name}' AS transform, {m.options.shift} AS shift, '{"".join(map(str, m.permutation))}' AS classes,
+      count(*) AS n, round(sum({" + ".join(f"{j + 1} * {c}" for j, c in enumerate(feature_sql(m)))}) / count(*), 6) AS mean FROM x"""
+    for m in PLAN_MEMBERS))
+def _(spark, sf):
+    df = lines(spark, sf)
+    fitted = G.fit_ensemble(df.where(TRAIN), "key", COLS, [], PLAN_MEMBERS)
+    weighted = F.aggregate(F.transform("features", lambda x, j: x * (j + 1)), F.lit(0.0), lambda s, x: s + x)
+    sums = fitted.features(df, "key").groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.avg(weighted).alias("mean"))
+    plan = G.members_table(spark, PLAN_MEMBERS).select("member", "transform", "shift", F.array_join("permutation", "").alias("classes"))
+    return plan.join(sums, "member").withColumn("mean", F.round("mean", 6))
+
+
 CLASS_SEED = 5
 CLASS_WEIGHTS = [[((7 * j + 3 * c) % 5 - 2) / 4 for c in range(3)] for j in range(3)]
 CLASS_MEMBERS = G.plan_members("classification", 4, 3, CONFIGS, OPTIONS, "rotate", seed=CLASS_SEED)

@@ -126,3 +126,11 @@ def _(spark, sf):
     SELECT count(*) AS n_rows, bit_xor(h) AS digest_xor, sum(h % 1000003)::BIGINT AS digest_sum FROM h""")
 def _(spark, sf):
     return S.table_checksum(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("a11_file_checksum", "SELECT page_id, sha1(html || chr(10)) AS sha1 FROM pages")
+def _(spark, sf):
+    path = scratch_table(spark, "assets")
+    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)   # a file per page
+    sums = S.file_checksum(S.read_assets(spark, path, "*.txt"))
+    return sums.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "sha1")

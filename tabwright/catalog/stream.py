@@ -68,12 +68,12 @@ def _(spark, sf):
     return map_columns(df, {"p_name": F.upper, "p_size": lambda y: y - 1})
 
 
-@query("prepare_documents", """WITH t AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+@query("prepare_documents", """WITH t AS (SELECT doc_id, lang, source, n_chars, quality, text FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
     SELECT doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::DOUBLE AS lang, (dense_rank() OVER (ORDER BY source) - 1)::DOUBLE AS source, n_chars::DOUBLE AS n_chars,
-      quality::INTEGER AS target, lang || ' ' || source AS text FROM t""")
+      quality::INTEGER AS target, lang || ' ' || coalesce(text, '') AS text FROM t""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("body"))
     raw = docs.join(table(spark, sf, "labels"), "doc_id", "left")
-    spec = Dataset("doc_id", "quality", ("lang", "source"), ("n_chars",), ("lang_name", "source_name"),
-                   derive={"lang_name": lambda: F.col("lang"), "source_name": lambda: F.col("source")})
+    spec = Dataset("doc_id", "quality", ("lang", "source"), ("n_chars",), ("lang_name", "body"),
+                   derive={"lang_name": lambda: F.col("lang")})
     return prepare(raw, spec)
