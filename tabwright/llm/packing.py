@@ -19,8 +19,8 @@ from .common import Scratch, text_of
 CAPACITY = 2048
 END = 0                  # id after each document
 BLOCK_PIECES = 100_000   # pieces that are packed together
-CACHED_STEMS = 1_000_000
-ROWS = 4_000             # texts that are split and looked up at a time
+CACHED_STEMS = 250_000   # stems that a worker process remembers: some tens of MB
+ROWS = 1_000             # texts that are split and looked up at a time
 MARK = "\x01"
 ENDINGS = ".,;:!?$%&#*"   # marks that are cut off the end of a word
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "serial"]
@@ -127,6 +127,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text"
                         serial += 1
                 columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.int32()] + [pa.int64()] * 4)]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row)), *columns], names=NAMES)
+            pa.default_memory_pool().release_unused()     # the worker process lives on beside later stages
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
