@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..session import scratch_table, written
 from .features import seeded_order
 from .fitted import Fitted
-from .ordered import running, sized, with_buckets
+from .ordered import as_of, cut_points, running, sized, with_buckets
 
 VOCABULARY_LIMIT = 100_000  # values kept on the driver over all columns; more go to a written table
 INLINE_LIMIT = 64           # codes looked up in an expression instead of a join
@@ -200,11 +200,10 @@ def fit_onehot(df: DataFrame, cols: Sequence[str], max_cells: int | None = None,
     With ``max_cells`` the encoder steps aside (None) when rows x width reaches
     it. Above ``limit`` flags use :func:`onehot_long`.
     """
-    counts = value_counts(df, cols)
-    n = counts.where(F.col("c") == cols[0]).agg(F.sum("n")).first()[0] or 0
-    rows = counts.select("c", "text", "num").limit(limit + 1).collect()
+    rows = value_counts(df, cols).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} one-hot columns, use onehot_long")
+    n = sum(r["n"] for r in rows if r["c"] == cols[0])
     values = {c: [r["text"] for r in sorted((r for r in rows if r["c"] == c), key=lambda r: (
         r["text"] is None, r["num"] or 0.0, (r["text"] or "").encode()))] for c in cols}
     fitted = OneHot(values, keep)
@@ -259,13 +258,29 @@ def infer_roles(df: DataFrame, min_numeric_uniques: int = 4) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class TargetRank(Fitted):
-    """y -> number of distinct training targets below y (binary search in the JVM)."""
+    """y -> number of distinct training targets below y (binary search in the JVM).
+
+    Many targets are a written table, which the distinct values asked for meet in an
+    as-of join.
+    """
 
     column: str
     targets: list
     out: str
+    table: str | None = None
+    cuts: list | None = None
+
+    @property
+    def per_batch(self) -> bool:
+        return self.table is not None
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.table is not None:
+            y = F.col(self.column).cast("double")
+            asked = df.select(y.alias("_y")).where("_y is not null").distinct()
+            found = as_of(asked, "_y", df.sparkSession.read.parquet(self.table), "v", self.cuts)
+            below = F.when(F.col("prev").isNull(), 0).when(F.col("prev.v") == F.col("_y"), F.col("prev.below")).otherwise(F.col("prev.below") + 1)
+            return df.join(found.select("_y", below.cast("int").alias(self.out)), y == F.col("_y"), "left").drop("_y")
         marked = with_buckets(df, {self.column: self.targets}, "_rank_")
         at = F.col(f"_rank_{self.column}")  # number of targets <= y
         equal = F.get(F.array(*[F.lit(t) for t in self.targets]), at - 1) == F.col(self.column).cast("double")
@@ -274,11 +289,15 @@ class TargetRank(Fitted):
 
 
 def fit_target_rank(df: DataFrame, c: str, out: str, limit: int = 5_000) -> TargetRank:
-    """Fitted ranks for a target with at most ``limit`` values; see :func:`rank_against` for more."""
-    rows = df.select(F.col(c).cast("double")).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{c} has more than {limit} values, use rank_against")
-    return TargetRank(c, sorted(r[0] for r in rows), out)
+    """Fitted ranks for a target; more than ``limit`` distinct values are written as a table."""
+    values = df.select(F.col(c).cast("double").alias("v")).where("v is not null").distinct()
+    rows = values.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return TargetRank(c, sorted(r[0] for r in rows), out)
+    path = scratch_table(df.sparkSession, "target-ranks")
+    cuts = cut_points(values, ["v"])["v"]
+    running(values.withColumn("_one", F.lit(1)), [], "v", {"below": "_one"}, cuts=cuts).select("v", "below").write.parquet(path)
+    return TargetRank(c, [], out, path, cuts)
 
 
 def rank_against(df: DataFrame, train: DataFrame, c: str, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_int, seeded_hash
 from .fitted import Fitted
-from .ordered import hash_rank
+from .ordered import OFFSET_ROWS, hash_rank, sized
 
 
 def seeded_order(seed, names: Sequence) -> list:
@@ -122,11 +122,16 @@ class Fingerprint(Fitted):
     def transform_train(self, df: DataFrame, key: str) -> DataFrame:
         """Training rows: the i-th copy of a row hashes its copy number too.
 
-        Copies are ranked by hash of their key in (row, key-hash prefix) windows,
-        so a row repeated a third of the time is still spread over many tasks.
+        Only rows that occur more than once are ranked. Copies are ranked by hash of
+        their key in (row, key-hash prefix) windows, so a row repeated a third of the
+        time is still spread over many tasks.
         """
         marked = df.withColumn("_row", self.row_hash()).withColumn("_key", seeded_hash(self.salt, key))
-        ranked = hash_rank(marked, "_key", "_copy", ["_row"])
+        repeated = marked.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_row")
+        repeated = sized(repeated, OFFSET_ROWS)
+        once = marked.join(repeated, "_row", "left_anti").withColumn("_copy", F.lit(1).cast("long"))
+        again = hash_rank(marked.join(repeated, "_row", "left_semi"), "_key", "_copy", ["_row"])
+        ranked = once.unionByName(again.withColumn("_copy", F.col("_copy").cast("long")))
         return ranked.withColumn(self.out, _fingerprint(self.row_hash(F.col("_copy") - 1))).drop("_row", "_key", "_copy")
 
 

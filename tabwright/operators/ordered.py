@@ -209,19 +209,21 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str] |
     }).drop(bucket, *[f"_o_{o}" for o in [*sums, *maxes]])
 
 
-def as_of(keys: DataFrame, order: str, table: DataFrame, value: str) -> DataFrame:
+def as_of(keys: DataFrame, order: str, table: DataFrame, value: str, cuts: list[float] | None = None) -> DataFrame:
     """``keys`` plus structs ``prev`` and ``next``: the last row of ``table`` up to the key and the first one beyond it.
 
     Both sides are numeric and have one row per value. They are cut into common
     buckets; a bucket takes the rows that lie outside it from the ends of the other
-    buckets, so a table of any size is joined without a sort as a whole.
+    buckets, so a table of any size is joined without a sort as a whole. With ``cuts``,
+    kept from when the table was made, nothing is run before the result.
     """
     entry = F.struct(F.col(value).cast("double").alias(value), *[c for c in table.columns if c != value])
     rows = table.select(F.col(value).cast("double").alias("_at"), entry.alias("_t"), F.lit(0).alias("_key"))
     asked = keys.select(F.col(order).cast("double").alias("_at"), F.lit(None).cast(rows.schema["_t"].dataType).alias("_t"),
                         F.lit(1).alias("_key"))
     both = rows.unionByName(asked)
-    marked = with_buckets(both, cut_points(both, ["_at"])).withColumnRenamed("_b__at", "_bk")
+    cuts = cut_points(both, ["_at"])["_at"] if cuts is None else cuts
+    marked = with_buckets(both, {"_at": cuts}).withColumnRenamed("_b__at", "_bk")
     ends = marked.groupBy("_bk").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
     up = W.orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)                # one row per bucket
     down = W.orderBy(F.desc("_bk")).rowsBetween(W.unboundedPreceding, -1)
@@ -229,7 +231,8 @@ def as_of(keys: DataFrame, order: str, table: DataFrame, value: str) -> DataFram
     inside = W.partitionBy("_bk").orderBy("_at", "_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     behind = W.partitionBy("_bk").orderBy(F.desc("_at"), F.desc("_key")).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = marked.withColumns({"_p": F.max("_t").over(inside), "_n": F.min("_t").over(behind)}).where("_key = 1")
-    found = null_safe_join(found, sized(ends, OFFSET_ROWS), ["_bk"])
+    ends = F.broadcast(ends) if len(cuts) < OFFSET_ROWS else ends      # one row per bucket
+    found = null_safe_join(found, ends, ["_bk"])
     return found.select(F.col("_at").alias(order), F.coalesce("_p", "_before").alias("prev"), F.coalesce("_n", "_after").alias("next"))
 
 

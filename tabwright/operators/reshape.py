@@ -107,7 +107,7 @@ class KnotMap(Fitted):
 
     knots: dict   # column -> [knots, left levels, right levels]
     normal: bool = False
-    tables: dict = field(default_factory=dict)   # column -> [path, number of the column in it, first knot, last knot]
+    tables: dict = field(default_factory=dict)   # column -> [path, number of the column in it, first knot, last knot, cut points]
 
     @property
     def per_batch(self) -> bool:
@@ -134,11 +134,11 @@ class KnotMap(Fitted):
         return df
 
     def _joined(self, df: DataFrame, c: str) -> DataFrame:
-        path, number, first, last = self.tables[c]
+        path, number, first, last, cuts = self.tables[c]
         table = df.sparkSession.read.parquet(path).where(F.col("c") == number).select("v", "lo", "hi")
         x = F.col(c).cast("double")
         inside = df.select(x.alias("_x")).where((F.col("_x") > first) & (F.col("_x") < last)).distinct()
-        found = as_of(inside, "_x", table, "v")
+        found = as_of(inside, "_x", table, "v", cuts)
         between = (F.col("_x") - F.col("prev.v")) / (F.col("next.v") - F.col("prev.v"))
         level = F.when(F.col("_x") == F.col("prev.v"), (F.col("prev.lo") + F.col("prev.hi")) / 2).otherwise(
             F.col("prev.hi") + (F.col("next.lo") - F.col("prev.hi")) * between)
@@ -180,11 +180,15 @@ def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles=None, output: s
     return KnotMap(knots, output == "normal", _knot_tables(df, {c: (n, size(n)) for c, n in many.items()}) if many else {})
 
 
-def _ranked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(c, x, _n, before, after), written: distinct finite values per column number, rows before, next larger value."""
+def _ranked_values(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, list[float]]]:
+    """(c, x, _n, before, after), written: distinct finite values per column number, rows before, next larger value.
+
+    Also the cut points of the columns that the values were ordered by.
+    """
     finite = df.select(*[finite_col(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
     names = [f"x{i}" for i in range(len(cols))]
-    marked = with_buckets(finite, cut_points(finite, names))
+    cuts = cut_points(finite, names)
+    marked = with_buckets(finite, cuts)
     long = marked.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_b_x{i}").alias("b"), F.col(f"x{i}").alias("x"))
                                              for i in range(len(cols))])).alias("s")).select("s.*").where("x is not null")
     counts = written(long.groupBy("c", "b", "x").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
@@ -196,18 +200,18 @@ def _ranked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     earlier = F.coalesce(F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.join(sized(buckets, OFFSET_ROWS), ["c", "b"])
     ranked = ranked.select("c", "x", "_n", (F.col("o") + earlier).alias("before"), F.coalesce(F.lead("x").over(inside), F.col("then")).alias("after"))
-    return written(ranked, "value-ranks")
+    return written(ranked, "value-ranks"), {c: cuts[name] for c, name in zip(cols, names)}
 
 
 def _knot_tables(df: DataFrame, sizes: dict[str, tuple[int, int]]) -> dict:
-    """column -> [path, number, first, last] of written knots (c, v, lo, hi), for columns with (count, knots).
+    """column -> [path, number, first, last, cut points] of written knots (c, v, lo, hi), for columns with (count, knots).
 
     Knot i of m lies at position i (n - 1) / (m - 1) of the n sorted values. A distinct
     value takes all knots on its positions as one row; the knots between it and the
     next value, at most one since m <= n, are interpolated.
     """
     cols = list(sizes)
-    ranked = _ranked_values(df, cols)
+    ranked, cuts = _ranked_values(df, cols)
     pick = lambda k: F.get(F.array(*[F.lit(sizes[c][k] - 1).cast("decimal(38,0)") for c in cols]), F.col("c"))
     rows = ranked.select("c", "x", "after", pick(0).alias("l"), pick(1).alias("k"), F.col("before").cast("decimal(19,0)").alias("first"),
                          (F.col("before") + F.col("_n") - 1).cast("decimal(19,0)").alias("last"))
@@ -223,7 +227,7 @@ def _knot_tables(df: DataFrame, sizes: dict[str, tuple[int, int]]) -> dict:
     path = scratch_table(df.sparkSession, "knots")
     knots.write.parquet(path)
     ends = df.sparkSession.read.parquet(path).groupBy("c").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
-    return {cols[r["c"]]: [path, r["c"], r["first"], r["last"]] for r in ends}
+    return {cols[r["c"]]: [path, r["c"], r["first"], r["last"], cuts[cols[r["c"]]]] for r in ends}
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -753,7 +757,7 @@ def _score_squares(n: int, ends: int = 2_000) -> float:
 
 def _normality(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Shapiro-Francia W' per column: squared correlation of all finite values with normal scores; 0 if undefined."""
-    ranked = _ranked_values(df, cols)
+    ranked, _ = _ranked_values(df, cols)
     first = _value_moments(ranked)
     found = _normal_likeness(ranked, first, len(cols), list(first))
     return {c: found.get(i, 0.0) for i, c in enumerate(cols)}
@@ -793,7 +797,7 @@ def column_shape(df: DataFrame, cols: Sequence[str], key: str | None = None) ->
     out = {c: "ordinal" for c in cols}
     if not cols:
         return out
-    ranked = _ranked_values(df, cols)
+    ranked, _ = _ranked_values(df, cols)
     odd = lambda c: [F.max(F.when(t, 1).otherwise(0)) for t in (
         F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.col(c).cast("double") == math.inf, F.col(c).cast("double") == -math.inf)]
     extra = df.agg(*[sum(odd(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()

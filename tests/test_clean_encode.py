@@ -205,3 +205,28 @@ def test_correlations_by_blocks(spark, block):
         else:
             assert abs(value - np.corrcoef(both.T)[0, 1]) < 1e-9
     assert X.fit_drop_duplicate(df, list("abcd")).dropped == ["d"]
+
+
+def test_many_targets_are_ranked_from_a_table(spark):
+    values = [float((i * 37) % 101) / 4 for i in range(300)]
+    train = spark.createDataFrame([(v,) for v in values] + [(None,)], "y double")
+    asked = spark.createDataFrame([(float(i), v) for i, v in enumerate([*values[:40], -1.0, 1e9, 0.1, None])], "i double, y double")
+    inline, written = E.fit_target_rank(train, "y", "r"), E.fit_target_rank(train, "y", "r", limit=10)
+    assert inline.table is None and written.per_batch and written.targets == []
+    again = Fitted.from_json(written.to_json())
+    known = sorted(set(values))
+    got = {r["i"]: r["r"] for r in again.transform(asked).collect()}
+    assert got == {r["i"]: r["r"] for r in inline.transform(asked).collect()}
+    assert got[40.0] == 0 and got[41.0] == len(known) and got[43.0] is None and got[42.0] == 1
+
+
+def test_copies_get_fingerprints_of_their_own(spark):
+    """Only repeated rows are ranked; unique rows keep the fingerprint they have when seen later."""
+    rows = [(i, float(i % 50 if i < 100 else i)) for i in range(160)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(4)
+    mark = X.Fingerprint(["x"], 3)
+    seen = {r["k"]: r["fingerprint"] for r in mark.transform(df).collect()}
+    trained = {r["k"]: r["fingerprint"] for r in mark.transform_train(df, "k").collect()}
+    assert len(set(trained.values())) == len(trained) == 160
+    assert all(trained[i] == seen[i] for i in range(100, 160))
+    assert sum(trained[i] == seen[i] for i in range(100)) == 50

@@ -251,6 +251,8 @@ def test_as_of_join(spark):
         assert (r["prev"] and r["prev"]["place"]) == (at - 1 if at else None)
         assert (r["next"] and r["next"]["place"]) == (at if at < len(values) else None)
     assert O.as_of(spark.createDataFrame([(1.0,)], "k double"), "k", table.where("false"), "v").first()["prev"] is None
+    given = O.as_of(spark.createDataFrame([(float(k),) for k in keys], "k double"), "k", table, "v", [-0.5, 0.1, 40.0])
+    assert sorted(map(str, given.collect())) == sorted(map(str, found))
 
 
 def plain_quantile_map(train, x, m):
