@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import embed as E, split as S
-from .base import query, table
+from .base import CLASS_SCORES, class_scores, query, table
 from .split import stratified_sql
 
 UNIT = """U AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, v FROM
@@ -173,7 +173,7 @@ def _(spark, sf):
     return out.select("item", F.posexplode("pooled").alias("pos", "value")).withColumn("value", F.round("value", 7))
 
 
-@query("i12_balanced_assign", """WITH e AS (SELECT vec_id, k, exp((embedding[k + 1]::DOUBLE - (SELECT max(list_max(embedding[1:8]))::DOUBLE FROM embeddings)) / 0.1::DOUBLE) AS e FROM embeddings, (SELECT unnest(range(8)) AS k)),
+@query("i12_balanced_assign", f"WITH {CLASS_SCORES}" + """, e AS (SELECT vec_id, k, exp((v[k + 1] - (SELECT max(list_max(v[1:8])) FROM CV)) / 0.1::DOUBLE) AS e FROM CV, (SELECT unnest(range(8)) AS k)),
       n AS (SELECT count(*) AS n FROM embeddings),
       c1 AS (SELECT k, 1 / (8 * sum(e)) AS c FROM e GROUP BY k),
       s1 AS (SELECT vec_id, k, e * c / (sum(e * c) OVER (PARTITION BY vec_id) * n) AS q, c FROM e JOIN c1 USING (k), n),
@@ -182,7 +182,7 @@ def _(spark, sf):
       c3 AS (SELECT k, any_value(c) / (8 * sum(q)) AS c FROM s2 GROUP BY k)
     SELECT vec_id, k::INTEGER AS prototype, round(e * c / sum(e * c) OVER (PARTITION BY vec_id), 8) AS mass FROM e JOIN c3 USING (k)""")
 def _(spark, sf):
-    df = emb(spark, sf).withColumn("scores", F.slice("embedding", 1, 8))
+    df = class_scores(spark, sf).withColumn("scores", F.slice("scores", 1, 8))      # eight prototypes
     out = E.balanced_assign(df, "scores", 0.1)
     return out.select("vec_id", F.posexplode("assignment").alias("prototype", "mass")).withColumn("mass", F.round("mass", 8))
 

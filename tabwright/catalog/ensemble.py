@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import as_double
 from ..operators import combine as C, encode as E
 from .bars import BORDERS
-from .base import query, table
+from .base import CLASS_SCORES, class_scores, query, table
 
-L = """L AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS v FROM embeddings),
+L = CLASS_SCORES + """, L AS (SELECT vec_id, label, v FROM CV),
   X AS (SELECT vec_id, label, c, v[c + 1] AS x FROM L, (SELECT unnest(range(10)) AS c)),
   S AS (SELECT vec_id, label, c, exp(x / 0.9::DOUBLE) / sum(exp(x / 0.9::DOUBLE)) OVER (PARTITION BY vec_id) AS p FROM X)"""
 # three members: the logits, twice the logits, and the logits in reverse class order
@@ -22,7 +22,7 @@ MEMBERS = """M AS (SELECT vec_id, m, c, CASE m WHEN 0 THEN v[c + 1] WHEN 1 THEN
 
 
 def logits(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    return class_scores(spark, sf).withColumnRenamed("scores", "logits")
 
 
 def long(df, col="probs", digits=8):
@@ -39,7 +39,8 @@ def members(spark, sf):
 
 @query("g4_temperature_softmax", f"WITH {L} SELECT vec_id, c::INTEGER AS class, round(p, 8) AS p FROM S")
 def _(spark, sf):
-    return long(C.softmax(table(spark, sf, "embeddings"), "embedding", 0.9, 10))
+    padded = logits(spark, sf).withColumn("logits", F.concat("logits", F.array(F.lit(99.0))))     # beyond the first ten classes
+    return long(C.softmax(padded, "logits", 0.9, 10))
 
 
 @query("g5_mean_of_probabilities", f"""WITH {L}, {MEMBERS}, q AS (SELECT vec_id, m, c, exp(x / 0.9::DOUBLE) / sum(exp(x / 0.9::DOUBLE)) OVER (PARTITION BY vec_id, m) AS p FROM M)

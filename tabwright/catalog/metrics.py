@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_unit, seeded_hash
 from ..functions.vectors import softmax
 from ..operators import metrics as M
-from .base import query, table
+from .base import CLASS_SCORES, class_scores, query, table
 
-# class predictions: softmax of ten times the first ten entries of every embedding
-P = """P AS (SELECT key, y_true, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM (SELECT vec_id AS key, label AS y_true,
-    list_transform(embedding[1:10], lambda x: exp(10 * x::DOUBLE)) AS e FROM embeddings)),
+# class predictions: softmax of ten times the class scores of every embedding
+P = CLASS_SCORES + """, P AS (SELECT key, y_true, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM (SELECT vec_id AS key, label AS y_true,
+    list_transform(v, lambda x: exp(10 * x)) AS e FROM CV)),
   Q AS (SELECT key, y_true, probs, (list_position(probs, list_max(probs)) - 1)::INTEGER AS y_pred FROM P)"""
 # scored binary rows: quality mixed with a hashed uniform, rounded so that scores tie
 B = """B AS (SELECT doc_id, quality AS y_true, toxic, round(0.25::DOUBLE * quality + 0.7::DOUBLE * (('0x' || substr(md5('1|' || doc_id), 1, 13))::BIGINT / 4503599627370496::DOUBLE), 2) AS score FROM labels)"""
@@ -19,9 +19,8 @@ R = """R AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedpric
 
 
 def predictions(spark, sf):
-    df = table(spark, sf, "embeddings")
-    first = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
-    return df.select(F.col("vec_id").alias("key"), F.col("label").alias("y_true"), softmax(first).alias("probs"))
+    scaled = F.transform("scores", lambda x: x * 10)
+    return class_scores(spark, sf).select(F.col("vec_id").alias("key"), F.col("label").alias("y_true"), softmax(scaled).alias("probs"))
 
 
 def scored(spark, sf):
