@@ -176,3 +176,11 @@ def test_query_matches_sql(spark, sf, name):
     from tools.compare import compare, connect
     note, _, _ = compare(spark, connect(sf), sf, name, queries.QUERIES[name], queries.SQL[name])
     assert note.startswith("ok"), note
+
+
+def test_mix_of_very_many_sources(spark):
+    """More sources than are held as a broadcast: the cuts are a written table."""
+    docs = spark.range(10_001).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id")).alias("text"),
+                                      F.concat(F.lit("s"), F.col("id")).alias("source"))
+    taken = mix.mix(docs).groupBy("source").count()
+    assert taken.count() == 10_001 and taken.agg(F.max("count")).first()[0] <= 3

@@ -333,3 +333,29 @@ def test_pipeline_stages(spark, sf):
                 assert r.n_chars == len(r.text) and (r == was[r.doc_id]) == (not removed[r.doc_id])
         before = after
     assert sum(r.length for r in rows) > 0 and json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def test_pipeline_run_keeps_only_what_its_result_reads(spark, sf):
+    import os
+    import corpus_pipeline as pipeline
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    result = pipeline.run(spark, sf)
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before)
+    assert left == ["llm-pieces", "llm-stage-3"]
+    rows = result.collect()
+    by_sequence = collections.defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for places in by_sequence.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) <= 2048
+
+
+def test_one_of_each_without_a_broadcast(spark, texts):
+    """What goes may be too many keys to broadcast; repeated rows stay once either way."""
+    rows = simhash.one_of_each(texts, shingle=3, distance=2).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, simhash.one_of_each(texts, shingle=3, distance=2, most=0).collect()))
+    again = simhash.one_of_each(texts.unionByName(texts), shingle=3, distance=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
