@@ -167,3 +167,64 @@ def test_checksums_tell_shifted_and_null_values_apart(spark):
     sums = {tuple(table_checksum(spark.createDataFrame([r], "a string, b string")).first())
             for r in [("a|", "b"), ("a", "|b"), ("", "x"), (None, "x"), ("1:a", ""), ("", "1:a")]}
     assert len(sums) == 6
+
+
+def brute_areas(rows, classes):
+    """AUC of every ordered pair, one-vs-rest and micro curve by comparing all pairs of rows, with weights."""
+    def area(pos, neg):
+        total = sum(w * v for _, w in pos for _, v in neg)
+        won = sum(w * v * ((s > t) + 0.5 * (s == t)) for s, w in pos for t, v in neg)
+        return won / total if total else None
+    ovo = {(a, b): area([(p[a], w) for y, p, w in rows if y == a], [(p[a], w) for y, p, w in rows if y == b])
+           for a in range(classes) for b in range(classes) if a != b}
+    ovr = {a: area([(p[a], w) for y, p, w in rows if y == a], [(p[a], w) for y, p, w in rows if y != a]) for a in range(classes)}
+    micro = area([(p[c], w) for y, p, w in rows for c in range(classes) if c == y], [(p[c], w) for y, p, w in rows for c in range(classes) if c != y])
+    return ovo, ovr, micro
+
+
+def test_areas_of_all_classes_from_one_table(spark):
+    """Ties, weights, groups and a class without true rows."""
+    import random
+    rnd = random.Random(11)
+    data = [(g, rnd.choice([0, 1, 2]), [round(rnd.random(), 1) for _ in range(4)], float(rnd.choice([1, 2, 5]))) for g in ("a", "b") for _ in range(40)]
+    df = spark.createDataFrame(data, "g string, y int, p array<double>, w double")
+    ready = df.select("g", F.col("y").cast("double").alias("_y"), F.col("p").alias("_probs"), F.col("w").alias("_w"))
+    found = M.class_areas(ready, ["g"]).collect()
+    for g in ("a", "b"):
+        rows = [(y, p, w) for k, y, p, w in data if k == g]
+        ovo, ovr, micro = brute_areas(rows, 4)
+        got = {(r["kind"], r["a"], r["b"]): r["auc"] for r in found if r["g"] == g}
+        for (a, b), value in ovo.items():
+            if value is not None:
+                assert abs(got["ovo", a, b] - value) < 1e-12
+            else:
+                assert got.get(("ovo", a, b)) is None
+        assert all(abs(got["ovr", a, -1] - v) < 1e-12 for a, v in ovr.items() if v is not None) and got.get(("ovr", 3, -1)) is None
+        assert abs(got["micro", -1, -1] - micro) < 1e-12
+        size = {y: sum(w for k, w in [(y2, w2) for y2, _, w2 in rows] if k == y) for y in range(3)}
+        scores = {r["metric"]: r["score"] for r in M.evaluate(df.where(F.col("g") == g), ["roc_auc_ovo", "roc_auc_ovo_weighted", "roc_auc_ovr_weighted"],
+                                                              y_true="y", probs="p", weight="w").collect()}
+        pairs = {k: v for k, v in ovo.items() if v is not None}
+        assert abs(scores["roc_auc_ovo"] - sum(pairs.values()) / len(pairs)) < 1e-12
+        weights = {(a, b): size[a] + size[b] for a, b in pairs}
+        assert abs(scores["roc_auc_ovo_weighted"] - sum(pairs[k] * weights[k] for k in pairs) / sum(weights.values())) < 1e-12
+        assert abs(scores["roc_auc_ovr_weighted"] - sum(ovr[a] * size[a] for a in size) / sum(size.values())) < 1e-12
+
+
+def test_metrics_of_quantiles(spark):
+    name = "pinball_test"
+    if name not in M.REGISTRY:
+        M.register_metric(name, M.pinball_loss, 0.0, False, "quantile", problems=[M.REGRESSION])
+    df = spark.createDataFrame([(10.0, [8.0, 11.0], 1.0), (4.0, [5.0, 6.0], 3.0)], "y_true double, quantiles array<double>, w double")
+    row = M.evaluate(df, [name], problem=M.REGRESSION, quantile_levels=[0.1, 0.9], weight="w").first()
+    each = [(0.1 * 2 + 0.1 * 1) / 2, (0.9 * 1 + 0.1 * 2) / 2]
+    assert abs(row["error"] - (each[0] + 3 * each[1]) / 4) < 1e-12 and row["score"] == -row["error"]
+    with pytest.raises(ValueError, match="quantile_levels"):
+        M.evaluate(df, [name], problem=M.REGRESSION)
+    with pytest.raises(Exception, match="quantile"):
+        M.evaluate(df, [name], problem=M.REGRESSION, quantile_levels=[0.1, 0.5, 0.9]).collect()
+    with pytest.raises(Exception, match="quantile"):
+        M.evaluate(df.withColumn("quantiles", F.array(F.lit(1.0), F.lit(None).cast("double"))), [name], problem=M.REGRESSION,
+                   quantile_levels=[0.1, 0.9]).collect()
+    with pytest.raises(ValueError):
+        M.register_metric("odd_kind", M.pinball_loss, needs="interval")
