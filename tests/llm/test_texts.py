@@ -52,6 +52,37 @@ def test_edited_fingerprint_is_that_of_the_edited_text():
         assert str(mark) == str(syncmers.Document(3, text).print)
 
 
+def test_likeness_is_the_longest_chain_of_all_anchors():
+    rnd = random.Random(5)
+
+    def chain(a, b):
+        """Longest rising run of common anchors by comparing all pairs."""
+        x, y = (dict(reversed(list(zip(d.hashes.tolist(), d.positions.tolist())))) for d in (a, b))
+        common = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+        best = [1] * len(common)
+        for i, (_, q) in enumerate(common):
+            best[i] = 1 + max((best[j] for j in range(i) if common[j][1] < q), default=0)
+        union = len(x.keys() | y.keys())
+        return max(best, default=0) / union if union else 1.0
+    for _ in range(40):
+        parts = ["".join(rnd.choice("abcd ") for _ in range(60)) for _ in range(5)]
+        a, b = ("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 7))) for _ in range(2))
+        first, second = syncmers.Document(1, a), syncmers.Document(2, b)
+        assert first.print.likeness(second.print) == second.print.likeness(first.print) == pytest.approx(chain(first, second))
+
+
+def test_a_shared_passage_of_long_texts_counts():
+    """360 characters in common of 24,000: likeness is their share of the anchors, not chance."""
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rnd.choice(letters) for _ in range(360))
+    for _ in range(5):
+        texts = ["".join(rnd.choice(letters) for _ in range(24_000)) for _ in range(2)]
+        a, b = (syncmers.Document(i, t[:9000 * (i + 1)] + passage + t[9000 * (i + 1):]) for i, t in enumerate(texts))
+        assert 0.004 < a.print.likeness(b.print) < 0.012
+        assert str(a.print).count("@") == 64
+
+
 def test_edited_likeness(spark, texts, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in syncmers.edited_likeness(docs).collect()}
