@@ -159,7 +159,7 @@ def power_sql(source, method):
     jac = "ln(x)" if method == "box-cox" else "sign(x) * ln(1 + abs(x))"
     ll = f"-count(*) / 2 * ln(var_pop({psi_sql('x', 'lam', method)})) + (lam - 1) * sum({jac})"
     return f"""x AS ({source}),
-      c AS (SELECT lam FROM (SELECT lam, round({ll}, 6) AS ll FROM x, (SELECT round(-2 + 0.1::DOUBLE * unnest(range(41)), 2) AS lam) GROUP BY lam) ORDER BY ll DESC, lam LIMIT 1),
+      c AS (SELECT lam FROM (SELECT lam, round({ll}, 6) AS ll FROM x, (SELECT round(-6 + 0.1::DOUBLE * unnest(range(121)), 2) AS lam) GROUP BY lam) ORDER BY ll DESC, lam LIMIT 1),
       f AS (SELECT lam FROM (SELECT lam, round({ll}, 6) AS ll FROM x, (SELECT round(lam - 0.1 + 0.01::DOUBLE * unnest(range(21)), 2) AS lam FROM c) GROUP BY lam) ORDER BY ll DESC, lam LIMIT 1),
       p AS (SELECT x.* EXCLUDE (x), {psi_sql('x', 'lam', method)} AS y FROM x, f)"""
 
