@@ -16,7 +16,7 @@ FEATURES = {"robust": "({c} - a_{c}) / b_{c}", "1_plus_log": "ln(1 + {c})"}
 TRAIN = "l_linenumber <= 4"
 # rows as they come, with the medians and quartile ranges of the training rows
 BASE = f"""m AS (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS a_{c}, (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.3489795003921634::DOUBLE AS b_{c}" for c in COLS)} FROM lineitem WHERE {TRAIN}),
-  x AS (SELECT {KEY_SQL}, l_returnflag, l_linenumber, {', '.join(f"{FEATURES[k].format(c=c)} AS {k[0] if k == 'robust' else 'l'}_{c}" for k in FEATURES for c in COLS)} FROM lineitem, m)"""
+  x AS (SELECT {KEY_SQL}, row_number() OVER () AS line, l_returnflag, l_linenumber, {', '.join(f"{FEATURES[k].format(c=c)} AS {k[0] if k == 'robust' else 'l'}_{c}" for k in FEATURES for c in COLS)} FROM lineitem, m)"""
 
 
 def lines(spark, sf):
@@ -85,9 +85,9 @@ BAR_MEMBERS = G.plan_members("regression", 2, None, CONFIGS, OPTIONS, target_tra
 
 def bar_sql(average: str) -> str:
     """``average`` combines the members' masses p of one bar."""
-    parts = [f"SELECT key, {m.member} AS m, i, exp((" + " + ".join(f"{c} * {j + 1}" for j, c in enumerate(feature_sql(m)))
+    parts = [f"SELECT key, line, {m.member} AS m, i, exp((" + " + ".join(f"{c} * {j + 1}" for j, c in enumerate(feature_sql(m)))
              + ") * (i - 31.5::DOUBLE) / 40 / 0.9::DOUBLE) AS e FROM x, (SELECT unnest(range(64)) AS i)" for m in BAR_MEMBERS]
-    return f"""WITH {BASE}, s AS ({' UNION ALL '.join(parts)}), n AS (SELECT key, i, e / sum(e) OVER (PARTITION BY key, m) AS p FROM s),
+    return f"""WITH {BASE}, s AS ({' UNION ALL '.join(parts)}), n AS (SELECT key, i, e / sum(e) OVER (PARTITION BY line, m) AS p FROM s),
       a AS (SELECT key, i, {average} AS p FROM n GROUP BY key, i), z AS (SELECT key, i, p / sum(p) OVER (PARTITION BY key) AS p FROM a),
       C AS (SELECT key, i, p, round(-3.2 + 0.1::DOUBLE * i, 1)::DOUBLE AS l, round(-3.1 + 0.1::DOUBLE * i, 1)::DOUBLE AS r, 0.1::DOUBLE AS w,
         sum(p) OVER o AS c1, sum(p) OVER o - p AS c0 FROM z WINDOW o AS (PARTITION BY key ORDER BY i)),
