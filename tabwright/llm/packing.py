@@ -19,8 +19,8 @@ from .common import Scratch, text_of
 CAPACITY = 2048
 END = 0                  # id after each document
 BLOCK_PIECES = 100_000   # pieces that are packed together
-CACHED_STEMS = 250_000   # stems that a worker process remembers: some tens of MB
-ROWS = 1_000             # texts that are split and looked up at a time
+CACHED_STEMS = 1_000_000   # stems that a worker process remembers: some hundreds of MB
+ROWS = 4_000             # texts that are split and looked up at a time
 MARK = "\x01"
 ENDINGS = ".,;:!?$%&#*"   # marks that are cut off the end of a word
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "serial"]
@@ -39,8 +39,8 @@ class Encoder:
     control character U+0001 between them, whose id no other text gives.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.stems = tokenizer, {}
+    def __init__(self, tokenizer: Tokenizer, cached: int = CACHED_STEMS):
+        self.tokenizer, self.stems, self.cached = tokenizer, {}, cached
         (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def alone(self, word: str) -> bytes:
@@ -68,7 +68,7 @@ class Encoder:
             last = stem[-1:]
             parts.append((stem, lower[len(stem):]) if last.isascii() and last.isalnum() else (lower, ""))
         stems = {stem for stem, _ in parts}.difference(self.stems, alone)
-        if len(self.stems) + len(stems) > CACHED_STEMS:
+        if len(self.stems) + len(stems) > self.cached:
             self.stems, stems = {}, {stem for stem, _ in parts}.difference(alone)
         self.encode_stems(list(stems))
         for ending in {ending for _, ending in parts}.difference(self.stems):
@@ -100,12 +100,13 @@ def _encoder(model: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text", capacity: int = CAPACITY,
-              end: int = END) -> DataFrame:
+              end: int = END, rows: int = ROWS, cached: int = CACHED_STEMS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, serial.
 
     A document is the ids of its whole text and the id ``end``; it is cut into pieces of
     ``capacity`` ids only if it has more. ``serial`` counts the pieces of a task: with
-    it, copies of one row can be told apart.
+    it, copies of one row can be told apart. ``rows`` texts are looked up at a time, and
+    a worker remembers ``cached`` stems: fewer of both take less memory and more time.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())   # a few MB, of fixed size
@@ -114,9 +115,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text"
 
     def run(batches):
         encode, serial = _encoder(model.value), 0
+        encode.cached = cached
         for batch in batches:
-            for low in range(0, len(batch), ROWS):
-                some = batch.slice(low, ROWS)
+            for low in range(0, len(batch), rows):
+                some = batch.slice(low, rows)
                 found, row = [], []
                 for i, ids in enumerate(encode(some.column("text"))):
                     ids += last
@@ -130,8 +132,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text"
             pa.default_memory_pool().release_unused()     # the worker process lives on beside later stages
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(run, PIECE.format(id=kind))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    return texts.mapInArrow(run, PIECE.format(id=kind))
 
 
 def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +194,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     return rows.groupBy("block").applyInPandas(run, PLACED.format(id=kind))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="text", capacity: int = CAPACITY,
+                   rows: int = ROWS, cached: int = CACHED_STEMS) -> DataFrame:
     """Tokenize and pack all rows.
 
     A null or empty text is the id ``END`` alone. Every row is a document, repeated ones
@@ -200,4 +203,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id="doc_id", text="
     result. Other columns of the input are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    return pack(scratch.keep(tokenized(docs, tokenizer_path, doc_id, text, capacity), "pieces"), capacity)
+    pieces = tokenized(docs, tokenizer_path, doc_id, text, capacity, rows=rows, cached=cached)
+    return pack(scratch.keep(pieces, "pieces"), capacity)
