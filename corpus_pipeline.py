@@ -66,7 +66,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    # small workers: they live on beside the stages of a later run
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), rows=1_000, cached=250_000)
 
 
 STAGES = [
