@@ -9,6 +9,7 @@ of queries, and a query only goes to shards with a cell that it may have to visi
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +21,17 @@ from ..session import written
 
 FIT_ROWS = 8_192       # rows at most that centres are fitted on, the first by hash
 CENTRES = 2_048        # centres at most
-CELL_ROWS = 64         # rows per centre while there are fewer centres
+CELL_ROWS = 256        # rows per centre while there are fewer centres
 ROUNDS = 5             # k-means rounds
 SHARD_ROWS = 65_536    # index rows of a task
-QUERY_ROWS = 16_384    # queries of a task
+QUERY_ROWS = 65_536    # queries of a task at most
+LEAST_QUERIES = 1_024  # blocks of queries are made smaller, down to this, until there is work for all cores
+TASKS_A_CORE = 3       # blocks times shards for every core, at least
 CHUNK_ROWS = 1_024     # queries whose bounds are held together
+TILE_ROWS = 4_096      # rows of a cell that meet a chunk of queries in one product
+CROWD = 8              # times k rows of a tile that reach a query's score before the tile's best are taken first
 DIGITS = 12            # scores are rounded, so equal vectors tie
+SLACK = 1e-11          # more than rounding to DIGITS changes a score
 
 
 def matrix(column) -> np.ndarray:
@@ -157,51 +163,99 @@ def _allowed(own, keys, exclude_self, after):
     return ok
 
 
+def _kept(s: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of every row of ``s``, the first ones on ties; entries of -inf are never kept."""
+    if s.shape[1] <= k:
+        return s > -np.inf
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, level = s > least, (s == least) & (s > -np.inf)
+    return above | (level & (level.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
+
+
 def visit(q, own, need, shard: dict, k: int, largest: bool = True, exclude_self: bool = False, after: bool = False):
     """Best k rows of a shard per query: (query, row, score) arrays, and the number of cells visited.
 
-    In every round each query that is not done takes its next best cell; queries at one
-    cell are one matrix product. A query is done when the bound of its next cell is
-    below its k-th score, or below ``need``, what the result is known to reach.
+    ``need`` is what the result of a query is known to reach; a query that has no such
+    score yet visits its best cells, one by one, until it has k rows. Then the cells are
+    gone through by falling bound, each as one matrix product with all queries whose
+    k-th score it may beat: cells that nobody needs cost nothing, and vectors without
+    structure cost a product per pair.
     """
-    sign, keys = 1.0 if largest else -1.0, shard["keys"]
+    sign, keys, starts = 1.0 if largest else -1.0, shard["keys"], shard["starts"]
     bounds = upper_bounds(q, shard["centres"], shard["radius"], shard["longest"], shard["shortest"], largest)
-    order = np.argsort(-bounds, axis=1, kind="stable")
     m, visited = len(q), 0
     score, place, floor = np.full((m, k), -np.inf), np.full((m, k), -1), need.copy()
-    active = np.arange(m)
-    for r in range(bounds.shape[1]):
-        cell = order[active, r]
-        going = bounds[active, cell] >= floor[active]
-        active, cell = active[going], cell[going]
-        if not len(active):
-            break
-        here, at = active, cell
+
+    # products in single precision find the candidates, which are then scored in double; the error is below d 2^-23 |q| |x|
+    x, sizes = shard["x"], np.linalg.norm(q, axis=1)
+    longest = float(np.max(shard["longest"], initial=0.0))
+    single = all(n == 0 or 1e-3 < n < 1e3 for n in (longest, *(sizes[sizes > 0].min(initial=1.0), sizes.max(initial=0.0))))
+    fast, near = (q.astype(np.float32), shard["x32"]) if single else (q, x)
+    slack = SLACK + ((q.shape[1] + 8) * 2.0 ** -23 * longest * sizes if single else 0.0)
+
+    def meet(rows, a, b):
+        s = fast[rows] @ near[a:b].T
+        if largest:
+            use = s >= np.nextafter((floor - slack)[rows].astype(s.dtype), s.dtype.type(-np.inf))[:, None]
+        else:
+            use = s <= np.nextafter((slack - floor)[rows].astype(s.dtype), s.dtype.type(np.inf))[:, None]
+        at = np.flatnonzero(use)
+        counts = np.bincount(at // (b - a), minlength=len(rows)) if len(at) > CROWD * k else np.zeros(0, int)
+        crowded = np.flatnonzero(counts > CROWD * k)
+        if len(crowded):    # copies, or no score to reach yet
+            some = sign * np.round(q[rows[crowded]] @ x[a:b].T, DIGITS)
+            if exclude_self or after:
+                some[~_allowed(own[rows[crowded]], keys[a:b], exclude_self, after)] = -np.inf
+            use[crowded] &= _kept(some, k)
+            at = np.flatnonzero(use)
+        i, j = np.divmod(at, b - a)
+        if exclude_self:
+            other = own[rows[i]] != keys[a + j]
+            i, j = i[other], j[other]
+        if after:
+            later = own[rows[i]] < keys[a + j]
+            i, j = i[later], j[later]
+        found = sign * np.round(np.einsum("ij,ij->i", q[rows[i]], x[a + j]), DIGITS)
+        better = found >= floor[rows[i]]
+        i, j, found = i[better], j[better], found[better]
+        if not len(i):
+            return
+        hit = np.unique(i)
+        had_i, had_k = np.nonzero(place[rows[hit]] >= 0)
+        all_i = np.concatenate([i, hit[had_i]])
+        all_s = np.concatenate([found, score[rows[hit]][had_i, had_k]])
+        all_p = np.concatenate([a + j, place[rows[hit]][had_i, had_k]])
+        by = np.lexsort((keys[all_p], -all_s, all_i))
+        all_i, all_s, all_p = all_i[by], all_s[by], all_p[by]
+        rank = np.arange(len(all_i)) - np.searchsorted(all_i, all_i)
+        keep = rank < k
+        score[rows[all_i[keep]], rank[keep]] = all_s[keep]
+        place[rows[all_i[keep]], rank[keep]] = all_p[keep]
+        floor[rows[hit]] = np.maximum(floor[rows[hit]], score[rows[hit], k - 1])
+
+    def go(rows, c):
+        nonlocal visited
         if after:
-            some = shard["last"][cell] > own[active]
-            here, at = active[some], cell[some]
-        visited += len(here)
-        turn = np.argsort(at, kind="stable")
-        here, at = here[turn], at[turn]
-        for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1) if len(at) else []:
-            rows, c = here[group], at[group[0]]
-            a, b = shard["starts"][c], shard["starts"][c + 1]
-            s = sign * np.round(q[rows] @ shard["x"][a:b].T, DIGITS)
-            i, j = np.nonzero(_allowed(own[rows], keys[a:b], exclude_self, after) & (s >= floor[rows, None]))
-            if not len(i):
-                continue
-            hit = np.unique(i)
-            had_i, had_k = np.nonzero(place[rows[hit]] >= 0)
-            all_i = np.concatenate([i, hit[had_i]])
-            all_s = np.concatenate([s[i, j], score[rows[hit]][had_i, had_k]])
-            all_p = np.concatenate([a + j, place[rows[hit]][had_i, had_k]])
-            by = np.lexsort((keys[all_p], -all_s, all_i))
-            all_i, all_s, all_p = all_i[by], all_s[by], all_p[by]
-            rank = np.arange(len(all_i)) - np.searchsorted(all_i, all_i)
-            keep = rank < k
-            score[rows[all_i[keep]], rank[keep]] = all_s[keep]
-            place[rows[all_i[keep]], rank[keep]] = all_p[keep]
-            floor[rows[hit]] = np.maximum(floor[rows[hit]], score[rows[hit], k - 1])
+            rows = rows[shard["last"][c] > own[rows]]
+        visited += len(rows)
+        for a in range(starts[c], starts[c + 1] if len(rows) else 0, TILE_ROWS):     # the rows of a cell are in the order of their keys
+            meet(rows, a, min(a + TILE_ROWS, starts[c + 1]))
+
+    lost = np.flatnonzero(np.isneginf(floor))
+    if len(lost):
+        order = np.argsort(-bounds[lost], axis=1, kind="stable")
+        for r in range(bounds.shape[1]):
+            on = np.flatnonzero(np.isneginf(floor[lost]))
+            if not len(on):
+                break
+            cells = order[on, r]
+            for c in np.unique(cells):
+                go(lost[on[cells == c]], c)
+            bounds[lost[on], cells] = -np.inf       # done
+    for c in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
+        rows = np.flatnonzero((bounds[:, c] >= floor) & (bounds[:, c] > -np.inf))
+        if len(rows):
+            go(rows, c)
     i, j = np.nonzero(place >= 0)
     return i, place[i, j], sign * score[i, j], visited
 
@@ -214,7 +268,8 @@ def shard_of(rows: pa.Table, index_cells: dict, centres: np.ndarray) -> dict:
     starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (by[1:] != by[:-1])]))
     place = {pair: i for i, pair in enumerate(zip(index_cells["by"].tolist(), index_cells["cell"].tolist()))}
     at = np.array([place[pair] for pair in zip(by[starts].tolist(), cell[starts].tolist())])
-    return {"x": matrix(rows.column("vec"))[order], "keys": keys, "tags": rows.column("tag").to_numpy()[order], "by": by[starts],
+    x = matrix(rows.column("vec"))[order]
+    return {"x": x, "x32": x.astype(np.float32), "keys": keys, "tags": rows.column("tag").to_numpy()[order], "by": by[starts],
             "starts": np.concatenate([starts, [len(keys)]]), "centres": centres[cell[starts]],
             **{c: index_cells[c][at] for c in ("radius", "longest", "shortest", "last")}}
 
@@ -258,7 +313,9 @@ def search(index: CellIndex, queries: DataFrame, key: str, vec: str, k: int, mea
     asked = written(_rows(queries, key, vec).select("key", "vec").mapInArrow(first_bounds, schema), "queries")
     # blocks of queries with close homes, so that a block leaves out many shards
     homes = asked.groupBy("home").agg(F.count(F.lit(1)).alias("n")).orderBy("home").toArrow().to_pydict()
-    first, splits = dealt(homes["n"], query_rows)
+    shards = int((cells["base"] + cells["splits"]).max())
+    each = math.ceil(sum(homes["n"]) * shards / (TASKS_A_CORE * queries.sparkSession.sparkContext.defaultParallelism))
+    first, splits = dealt(homes["n"], min(query_rows, max(LEAST_QUERIES, each)))
     blocks = {h: (f, s) for h, f, s in zip(homes["home"], first, splits)}
     routed = StructType([*schema.fields, StructField("block", IntegerType()), StructField("shard", IntegerType())])
 

@@ -162,3 +162,49 @@ def test_similarity_queries_form_no_stripes(spark, sf, monkeypatch):
     for name in ("c9_upper_pair_profile", "i1_cosine_profile", "i1_nearest_by_cosine", "i2_pearson_profile", "i5_similarity_summary",
                  "i6_energy_distance", "i7_knn_vote", "i10_spread_score"):
         assert queries[name](spark, sf).count() > 0
+
+
+class Counted(np.ndarray):
+    """An array that counts the matrix products it is part of."""
+
+    products = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+        Counted.products += ufunc is np.matmul
+        return getattr(ufunc, method)(*[np.asarray(x) for x in inputs], **kw)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+@pytest.mark.parametrize("largest, after", [(True, False), (False, False), (True, True)])
+def test_vectors_without_structure_are_one_product_per_cell(scale, largest, after):
+    """Random vectors and many copies: results are those of all pairs, and no cell is gone through query by query."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)) * scale
+    x[1000:1900] = x[3]
+    keys = rng.permutation(3000)
+    centres = N.centres_of(x[:1000], 20)
+    cell = N.closest(x, centres)
+    some, size = np.unique(cell), np.linalg.norm(x, axis=1)
+    cells = {"by": np.zeros(len(some), int), "cell": some, "last": np.array([keys[cell == c].max() for c in some]),
+             "radius": np.array([np.linalg.norm(x[cell == c] - centres[c], axis=1).max() for c in some]),
+             "longest": np.array([size[cell == c].max() for c in some]), "shortest": np.array([size[cell == c].min() for c in some])}
+    rows = pa.table({"key": keys, "by": np.zeros(3000, int), "tag": np.zeros(3000, int), "cell": cell, "vec": N.lists(x)})
+    shard = N.shard_of(rows, cells, centres)
+    own, q = keys[::10], x[::10]
+    s = np.round(q @ x.T, N.DIGITS) * (1 if largest else -1)
+    s[own[:, None] >= keys if after else own[:, None] == keys] = -np.inf
+    seen = np.partition(s[:, :500], 496, axis=1)[:, 496]          # the fourth best of some rows
+    Counted.products = 0
+    counted = shard | {c: shard[c].view(Counted) for c in ("x", "x32") if c in shard}
+    i, place, score, _ = N.visit(q, own, seen - 1e-9 * scale ** 2, counted, 4, largest, not after, after)
+    assert Counted.products < 4 * len(some)
+    for row in range(len(q)):
+        best = [j for j in np.lexsort((keys, -s[row]))[:4] if s[row, j] > -np.inf]
+        assert np.allclose(np.sort(score[i == row]), np.sort(s[row][best] * (1 if largest else -1)), rtol=1e-12)
+        if scale == 1:
+            assert shard["keys"][place[i == row]].tolist() == keys[best].tolist()
+
+
+def test_the_first_of_equal_scores_are_kept():
+    s = np.array([[1.0, 3, 3, 2, 3], [5, -np.inf, -np.inf, -np.inf, -np.inf], [2, 2, 2, 2, 2]])
+    assert N._kept(s, 2).tolist() == [[False, True, True, False, False], [True] + [False] * 4, [True, True, False, False, False]]
