@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -368,3 +369,36 @@ def test_products_equal_expressions(spark, monkeypatch):
     written_out = [tuple(r) for r in fitted.transform(df).select(*fitted.names()).collect()]
     monkeypatch.setattr(R, "PRODUCT_TERMS", 0)
     assert np.allclose([tuple(r) for r in fitted.transform(df).select(*fitted.names()).collect()], written_out)
+
+
+def test_knot_maps_of_odd_values_run_on_batches(spark):
+    """Levels of nulls, NaN, infinities, knots and values between; no column becomes an expression of its own."""
+    knots = R.KnotMap({"x": [[0.0, 1.0, 4.0], [0.0, 0.25, 1.0], [0.0, 0.5, 1.0]]})
+    values = [None, float("nan"), -math.inf, math.inf, -1.0, 0.0, 0.5, 1.0, 2.5, 4.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r.x for r in knots.transform(df).orderBy("i").collect()]
+    assert got == [None, 1.0, 0.0, 1.0, 0.0, 0.0, 0.125, 0.375, 0.75, 1.0]
+    normal = [r.x for r in R.KnotMap(knots.knots, True).transform(df).orderBy("i").collect()]
+    assert normal[0] is None and normal[1] == -normal[4] == R.PROBIT_CLIP
+    assert math.isclose(normal[8], NormalDist().inv_cdf(0.75), abs_tol=1e-8)
+    assert "ArrowEvalPython" in knots.transform(df)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("method", ["yeo-johnson", "box-cox"])
+def test_power_profiles_are_merged_over_batches(spark, method):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.lognormal(size=400), np.repeat(1e6, 30)] + ([-rng.lognormal(size=70)] if method != "box-cox" else []))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.inf,)], "x double").repartition(5)
+    lams = [-2.0, 0.0, 0.5, 2.0]
+    got = R._power_profile(df, ["x"], {"x": lams}, method)["x"]
+    for lam in lams:
+        def one(v):
+            if method == "box-cox":
+                return math.log(v) if lam == 0 else (v ** lam - 1) / lam
+            if v >= 0:
+                return math.log1p(v) if lam == 0 else ((v + 1) ** lam - 1) / lam
+            return -math.log1p(-v) if lam == 2 else -((1 - v) ** (2 - lam) - 1) / (2 - lam)
+        y = np.array([one(v) for v in x])
+        log = np.sign(x) * np.log1p(np.abs(x)) if method != "box-cox" else np.log(x)
+        ll = -len(x) / 2 * np.log(y.var()) + (lam - 1) * log.sum()
+        assert np.allclose(got[lam], (ll, y.mean(), y.std(), y.max()), rtol=1e-8)
