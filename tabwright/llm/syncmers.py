@@ -14,8 +14,9 @@ from ..operators.ordered import cut_points, with_buckets
 from .common import text_of
 
 K, S = 16, 5            # characters of an anchor and of the inner substrings compared
-SKETCH = 64             # anchors that are written out of a fingerprint; likeness compares all
+SKETCH = 64             # anchors of the short form of a fingerprint; likeness and the written form have all
 BASE = np.uint64(0x9E3779B97F4A7C15)
+OUT_BYTES = 8_000_000   # fingerprints that a task hands over at once
 PART_ROWS = 20_000      # rows of a range that one task goes through in order
 
 
@@ -82,8 +83,20 @@ class Fingerprint:
         self.hashes, first = np.unique(hashes, return_index=True)
         self.positions = positions[first]
 
+    def whole(self) -> str:
+        """All anchors in the order of their hashes: per anchor 16 hexadecimal digits of the hash and 8 of the position."""
+        both = np.empty(len(self.hashes), np.dtype([("hash", ">u8"), ("position", ">u4")]))
+        both["hash"], both["position"] = self.hashes, self.positions
+        return both.tobytes().hex()
+
+    @classmethod
+    def read(cls, text: str) -> Fingerprint:
+        """The fingerprint of which ``text`` is the whole form."""
+        both = np.frombuffer(bytes.fromhex(text), np.dtype([("hash", ">u8"), ("position", ">u4")]))
+        return cls("", both["position"].astype(np.int64), both["hash"].astype(np.uint64))
+
     def __str__(self) -> str:
-        """The SKETCH smallest as ``hash@position`` in hexadecimal, in the order of the hashes; empty for an empty text."""
+        """A short form to look at: the SKETCH smallest as ``hash@position`` in hexadecimal, in the order of the hashes; empty for an empty text."""
         return " ".join(f"{h:016x}@{p:x}" for h, p in zip(self.hashes[:SKETCH].tolist(), self.positions[:SKETCH].tolist()))
 
     def likeness(self, other: Fingerprint) -> float:
@@ -184,26 +197,34 @@ def edited_likeness(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     The next document is the one with the next smaller id (after the last, the first);
     rows with one id follow each other by a hash of the text, rows without an id come
     last, and the only row of a table follows itself. A null text is empty; an empty
-    text has an empty fingerprint. An empty table gives an empty result. Other columns
+    text has an empty fingerprint. Fingerprints are written whole, so both likenesses
+    follow from the written ones (:meth:`Fingerprint.read`). An empty table gives an empty result. Other columns
     are not read. Texts are shuffled once, into ranges of the order; a task goes
     through them in order and holds two documents at a time.
     """
     names = [c.split()[0] for c in EDITED.split(", ")]
 
+    def frame(out):
+        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
     def run(batches):
         held, part = None, None
         for batch in batches:
-            out = []
+            out, size = [], 0
             for row, t, at, last in zip(batch["doc_id"], batch["text"], batch["_part"], batch["_last"]):
                 if at == part and held is None:
                     continue   # a further copy of the row that ended the part
                 document = Document(None if pd.isna(row) else int(row), t)
                 if at == part:
                     edited, mark = held.edited(document)
-                    out.append((held.id, len(held.text), hashlib.sha256(edited.encode()).hexdigest(), str(held.print),
-                                str(mark), held.print.likeness(mark), held.print.likeness(document.print)))
+                    out.append((held.id, len(held.text), hashlib.sha256(edited.encode()).hexdigest(), held.print.whole(),
+                                mark.whole(), held.print.likeness(mark), held.print.likeness(document.print)))
+                    size += len(out[-1][3]) + len(out[-1][4])
+                    if size > OUT_BYTES:
+                        yield frame(out)
+                        out, size = [], 0
                 held, part = None if last else document, at
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield frame(out)
 
     rows = _in_order(docs, doc_id, text).select("doc_id", "text", "_part", "_last")
     return rows.mapInPandas(run, EDITED)

@@ -106,6 +106,22 @@ def test_edited_likeness(spark, texts, sf):
         [ord(c) for c in texts.where("doc_id = 1").first().text], syncmers.K, syncmers.S)
 
 
+def test_likeness_follows_from_the_written_fingerprints(spark):
+    """Texts of far more than 64 anchors: what is written holds all of them, and both likenesses follow from it."""
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (6000, 6000, 9, 0, 40)]
+    texts.append(texts[0][:4000] + texts[1][:500])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in syncmers.edited_likeness(docs).collect()}
+    for i, r in rows.items():
+        mark, edited, following = (syncmers.Fingerprint.read(f) for f in (
+            r.fingerprint, r.edited_fingerprint, rows[(i - 1) % len(texts)].fingerprint))
+        whole = syncmers.Document(i, texts[i]).print
+        assert mark.hashes.tolist() == whole.hashes.tolist() and mark.positions.tolist() == whole.positions.tolist()
+        assert mark.likeness(edited) == r.near_edited and mark.likeness(following) == r.near_next
+    assert len(syncmers.Fingerprint.read(rows[0].fingerprint).hashes) > 500
+
+
 # ---- SimHash -----------------------------------------------------------------
 
 
