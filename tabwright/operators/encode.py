@@ -410,14 +410,27 @@ def _all_rows(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+PIECE_WORDS = 300_000   # words of a task's texts that are looked at together
+
+
+def _pieces(lists: pa.ListArray, words: int = PIECE_WORDS) -> list[pa.ListArray]:
+    """Consecutive texts with at most ``words`` words together; a longer text is alone."""
+    ends = lists.offsets.to_numpy()
+    out, start = [], 0
+    while start < len(lists):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + words, side="right")) - 1)
+        out.append(lists.slice(start, stop - start))
+        start = stop
+    return out
+
+
 def _gram_level(tokens: DataFrame, n: int, passed: list[str] | None) -> DataFrame:
     """(gram, df, tf) per batch of texts: n-grams both of whose parts of n - 1 words are in ``passed`` (None: all words)."""
     known = pa.array(passed or [], pa.string())
     vocabulary = pa.array(sorted({w for g in passed or [] for w in g.split(" ")}), pa.string())
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column("w")
+        for lists in (piece for batch in batches for piece in _pieces(batch.column("w"))):
             flat = lists.flatten()
             doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             coded = flat.dictionary_encode()

@@ -230,3 +230,15 @@ def test_copies_get_fingerprints_of_their_own(spark):
     assert len(set(trained.values())) == len(trained) == 160
     assert all(trained[i] == seen[i] for i in range(100, 160))
     assert sum(trained[i] == seen[i] for i in range(100)) == 50
+
+
+def test_ngrams_look_at_few_words_at_a_time():
+    """Pieces of a batch have bounded words, keep every text whole and lose none."""
+    import pyarrow as pa
+
+    texts = [["a"] * n for n in (3, 0, 4, 12, 1, 1, 0, 5)]
+    lists = pa.array([["cut", "off"], *texts], pa.list_(pa.string())).slice(1)
+    pieces = E._pieces(lists, 5)
+    assert [t for p in pieces for t in p.to_pylist()] == texts
+    assert all(len(p.flatten()) <= 5 or len(p) == 1 for p in pieces)
+    assert E._pieces(lists.slice(0, 0)) == []
