@@ -2,9 +2,8 @@
 
 Rows of a set lie in cells around centres. By the triangle inequality the distance of
 a query to a cell's centre and the cell's radius bound its score with every row of the
-cell; a query visits cells by falling bound and ends when no cell can hold a better
-row than it has. Cells are dealt into shards, a task searches one shard for one block
-of queries, and a query only goes to shards with a cell that it may have to visit.
+cell; cells are gone through by falling bound, each together with all queries of a chunk
+that it may give a better row. Cells are dealt into shards, a task searches one shard for one block of queries, and a query only goes to shards with a cell that it may have to visit.
 """
 
 from __future__ import annotations
