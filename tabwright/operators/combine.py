@@ -7,13 +7,17 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from .encode import words
+from .neighbours import lists, matrix
 from .ordered import sized
 
 BORDER_LIMIT = 1e3          # fixed values: borders beyond are broken,
@@ -32,13 +36,73 @@ def mean_vector(df: DataFrame, by: Sequence[str], vec: str | Column, out: str) -
         F.col(vec) if isinstance(vec, str) else vec))).alias(out))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the rows of a key in one partition and next to each other."""
+    return df.repartition(F.col(key)).sortWithinPartitions(key)
+
+
+def mean_of_runs(df: DataFrame, key: str, used: Sequence[Column], values: Callable[..., np.ndarray], out: str) -> DataFrame:
+    """(key, mean): mean over a key's rows of ``values``, a matrix made of Arrow batches of the used columns.
+
+    For rows that lie as :func:`dealt` puts them, so nothing is shuffled and a task holds
+    one batch and the sum of the run that may go on in the next one.
+    """
+    def record(keys: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, lists(sums / n[:, None])], names=[key, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, x = batch.column(0), values(*batch.columns[1:])
+            code = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            sums, n = np.add.reduceat(x, starts, axis=0), np.diff(np.append(starts, len(code)))
+            firsts = keys.take(pa.array(starts))
+            if last is not None and last[0].equals(firsts.slice(0, 1)):
+                n[0] += last[1][0]
+                sums[0] += last[2][0]
+            elif last is not None:
+                yield record(*last)
+            if len(n) > 1:
+                yield record(firsts.slice(0, len(n) - 1), n[:-1], sums[:-1])
+            last = firsts.slice(len(n) - 1), n[-1:], sums[-1:]
+        if last is not None:
+            yield record(*last)
+    rows = df.select(key, *[c.alias(f"_{i}") for i, c in enumerate(used)])
+    return rows.mapInArrow(run, StructType([df.schema[key], StructField(out, ArrayType(DoubleType()))]))
+
+
+def _softmax_rows(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def log_masses(probs: str) -> Column:
+    """Log of every bar's mass, finite for empty bars, on Arrow batches."""
+    return F.arrow_udf(lambda v: lists(np.log(np.maximum(matrix(v), 1e-300))), "array<double>")(probs)
+
+
 def combine(df: DataFrame, key: str, logits: str, temperature: float = 0.9, k: int | None = None,
-            before_softmax: bool = False, permutation: str | None = None, out: str = "probs") -> DataFrame:
+            before_softmax: bool = False, permutation: str | None = None, out: str = "probs",
+            in_runs: bool = False) -> DataFrame:
     """Member rows -> one probability array per key.
 
     Mean of member probabilities, or softmax of mean logits. ``permutation``
-    names an array column that puts a member's classes back in order.
+    names an array column that puts a member's classes back in order. With ``in_runs``
+    the rows of a key lie next to each other (:func:`dealt`) and are not shuffled.
     """
+    if in_runs:
+        def values(x: pa.Array, order: pa.Array | None = None) -> np.ndarray:
+            x = matrix(x)[:, :k] / temperature
+            x = x if order is None else np.take_along_axis(x, matrix(order).astype(np.int64), axis=1)
+            return x if before_softmax else _softmax_rows(x)
+        v = V.as_double(logits)
+        size = F.least(F.size(v), F.lit(k)) if k else F.size(v)
+        order = [F.coalesce(F.col(permutation), F.sequence(F.lit(0), size - 1))] if permutation else []
+        found = mean_of_runs(df, key, [v, *order], values, out)
+        return found.withColumn(out, V.softmax(out)) if before_softmax else found
     scaled = F.transform(V.as_double(logits), lambda x: x / temperature)
     scaled = F.slice(scaled, 1, k) if k else scaled
     rows = df.withColumn("_l", scaled)
@@ -127,11 +191,13 @@ def _extra_width(border: float) -> float:
 
 
 def merge_distributions(df: DataFrame, key: str, member: str, logits: str, member_borders: Mapping[int, Sequence[float]],
-                        borders: Sequence[float], before_softmax: bool = False, out: str = "probs") -> DataFrame:
+                        borders: Sequence[float], before_softmax: bool = False, out: str = "probs",
+                        temperature: float = 1.0, in_runs: bool = False) -> DataFrame:
     """Members' bar masses moved to common borders and averaged per key.
 
     Each common border's place among a member's borders is the same for all
-    rows, so a batch needs one cumulative sum and one gather.
+    rows, so a batch needs one cumulative sum and one gather. With ``in_runs`` the
+    rows of a key lie next to each other (:func:`dealt`), and their bars are not shuffled.
     """
     common = np.asarray(borders, dtype=float)
     plans = {}
@@ -143,29 +209,33 @@ def merge_distributions(df: DataFrame, key: str, member: str, logits: str, membe
         share = np.clip(np.divide(common - own[at], width, out=np.zeros_like(common), where=width > 0), 0, 1)
         plans[int(m)] = (np.asarray(mask), turned, at, share, common <= own[0], common >= own[-1])
 
-    @F.pandas_udf("array<double>")
-    def translate(ids: pd.Series, values: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(ids), dtype=object, index=ids.index)
-        for m, rows in values.groupby(ids.to_numpy()):
+    def translated(ids: pa.Array, values: pa.Array) -> np.ndarray:
+        ids, logits = ids.to_numpy(zero_copy_only=False), matrix(values) / temperature
+        result = np.empty((len(ids), len(common) - 1))
+        for m in np.unique(ids):
             mask, turned, at, share, below, above = plans[int(m)]
-            x = np.stack(rows.to_numpy()).astype(np.float64)
+            rows = np.flatnonzero(ids == m)
+            x = logits[rows]
             x = x[:, ::-1] if turned else x
             x = np.where(mask, -np.inf, x)
-            p = np.exp(x - x.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            p = _softmax_rows(x)
             left = np.cumsum(p, axis=1) - p
             cdf = left[:, at] + p[:, at] * share
             cdf = np.where(below, 0.0, np.where(above, 1.0, cdf))
             cdf[:, 0], cdf[:, -1] = 0.0, 1.0
-            result.loc[rows.index] = list(np.maximum(np.diff(cdf, axis=1), 0.0))
-        return result
-
-    moved = df.select(key, translate(F.col(member).cast("long"), V.as_double(logits)).alias("_p"))
+            result[rows] = np.maximum(np.diff(cdf, axis=1), 0.0)
+        # an empty bar has log mass -inf in any member, so it stays empty
+        return np.log(np.maximum(result, 1e-300)) if before_softmax else result
+
+    ids, values = F.col(member).cast("long"), V.as_double(logits)
+    if in_runs:
+        merged = mean_of_runs(df, key, [ids, values], translated, out)
+    else:
+        moved = F.arrow_udf(lambda i, v: lists(translated(i, v)), "array<double>")
+        merged = mean_vector(df.select(key, moved(ids, values).alias("_p")), [key], "_p", out)
     if not before_softmax:
-        return mean_vector(moved, [key], "_p", out)
-    # an empty bar has log mass -inf in any member, so it stays empty
-    logs = F.transform("_p", lambda p: F.log(F.greatest(p, F.lit(1e-300))))
-    return mean_vector(moved, [key], logs, "_m").select(key, V.softmax("_m").alias(out))
+        return merged
+    return merged.withColumn(out, F.arrow_udf(lambda v: lists(_softmax_rows(matrix(v))), "array<double>")(out))
 
 
 # ---- model hook ---------------------------------------------------------------

@@ -4,7 +4,9 @@ A model is a function ``model(train, rows)`` of two long tables, the members' tr
 rows (member, key, features, target) and the rows to answer (member, key, features). It
 returns (member, key, logits) with one logit per class, or per bar of the borders. It
 may fit on ``train`` with Spark, or run a user's network in batches with
-:func:`operators.combine.map_model`.
+:func:`operators.combine.map_model`. A model whose output rows follow from one row each, in
+place and in order, may say so by an attribute ``per_row``: the narrow rows are then
+dealt by key before it, and its wide outputs are not shuffled.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import vectors as V
 from ..operators import bars, combine, encode, reshape
 from ..operators.features import Scale
+from ..operators.neighbours import lists, matrix
 from .ensemble import FittedEnsemble, fit_ensemble, plan_members
 
 TEMPERATURE = 0.9
@@ -25,6 +29,15 @@ OUTPUTS = ("mean", "median", "mode", "quantiles")
 Model = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def member_outputs(model: Model, shown: DataFrame, ensemble: FittedEnsemble, rows: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """The model's outputs for all members, and whether the rows of a key lie next to each other in them."""
+    in_runs = getattr(model, "per_row", False) and ensemble.per_row and isinstance(rows.schema[key].dataType, RUN_KEYS)
+    return model(shown, ensemble.features(combine.dealt(rows, key) if in_runs else rows, key)), in_runs
+
+
+RUN_KEYS = (T.StringType, T.IntegralType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)    # equal if their bytes are
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Fitted members, the label's codes and what the model has to see."""
@@ -45,12 +58,12 @@ class Classifier:
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
         """(key, probs) with one probability per class in the order of ``labels``."""
-        outputs = self.model(self.shown, self.ensemble.features(rows, self.key))
+        outputs, in_runs = member_outputs(self.model, self.shown, self.ensemble, rows, self.key)
         orders = [(F.lit(m.member), F.array(*[F.lit(p) for p in m.permutation])) for m in self.ensemble.members if m.permutation]
         if orders:
             outputs = outputs.withColumn("_order", F.create_map(*[x for pair in orders for x in pair])[F.col("member")])
         probs = combine.combine(outputs, self.key, "logits", self.temperature, len(self.labels), self.before_softmax,
-                                "_order" if orders else None)
+                                "_order" if orders else None, in_runs=in_runs)
         if self.balance:
             probs = combine.reweight(probs, "probs", self.priors)
         return combine.tidy_probs(probs, "probs")
@@ -104,11 +117,10 @@ class Regressor:
 
     def distributions(self, rows: DataFrame) -> DataFrame:
         """(key, logits): log mass of every bar, averaged over the members on the common borders."""
-        outputs = self.model(self.shown, self.ensemble.features(rows, self.key))
-        cooled = outputs.withColumn("logits", F.transform(V.as_double("logits"), lambda x: x / self.temperature))
-        merged = combine.merge_distributions(cooled, self.key, "member", "logits", self.member_borders(), self.borders,
-                                             self.before_softmax)
-        return merged.select(self.key, F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-300)))).alias("logits"))
+        outputs, in_runs = member_outputs(self.model, self.shown, self.ensemble, rows, self.key)
+        merged = combine.merge_distributions(outputs, self.key, "member", "logits", self.member_borders(), self.borders,
+                                             self.before_softmax, temperature=self.temperature, in_runs=in_runs)
+        return merged.select(self.key, combine.log_masses("probs").alias("logits"))
 
     def predict(self, rows: DataFrame, outputs: Sequence[str] = OUTPUTS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
         """(key, mean, median, mode, q_...) of the predicted distributions on the target's own scale."""
@@ -118,7 +130,8 @@ class Regressor:
         if any(not 0 <= q <= 1 for q in quantiles):
             raise ValueError("quantile levels lie between 0 and 1")
         shift, factor, _ = self.scale.params[self.target]
-        found = bars.regression_outputs(self.distributions(rows), self.borders, shift=shift, scale=1 / factor, probs=list(quantiles))
+        found = bars.regression_outputs(self.distributions(rows), self.borders, shift=shift, scale=1 / factor, probs=list(quantiles),
+                                        outputs=outputs)
         names = {"quantiles": [c for c in found.columns if c.startswith("q_")]}
         return found.select(self.key, *[c for name in outputs for c in names.get(name, [name])])
 
@@ -163,8 +176,10 @@ def nearest_means(train: DataFrame, rows: DataFrame, classes: int, key: str, sha
 
 def linear(weights: Sequence[Sequence[float]], key: str) -> Model:
     """A fixed model: logit c is the sum of weights[j][c] times feature j. It looks at no training rows."""
+    table = np.array(weights, dtype=np.float64)
+    logits = F.arrow_udf(lambda v: lists(matrix(v)[:, :len(table)] @ table), "array<double>")    # one product per Arrow batch
+
     def model(train: DataFrame, rows: DataFrame) -> DataFrame:
-        def one(c: int) -> Column:
-            return sum((F.get("features", F.lit(j)) * F.lit(float(w[c])) for j, w in enumerate(weights)), F.lit(0.0))
-        return rows.select("member", key, F.array(*[one(c) for c in range(len(weights[0]))]).alias("logits"))
+        return rows.select("member", key, logits("features").alias("logits"))
+    model.per_row = True
     return model

@@ -126,3 +126,32 @@ def test_unusable_borders_are_repaired():
 def test_members_of_a_plan_follow_one_seed():
     a, b = (G.plan_members("classification", 5, 3, seed=4) for _ in range(2))
     assert a == b and sorted({m.options.shift for m in a}) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_outputs_of_models_per_row_are_not_shuffled(spark, before):
+    """Rows that share a key, over the ends of batches; the same answers as from a model that promises nothing."""
+    rows = spark.range(400).select(F.when(F.col("id") % 9 > 0, F.col("id") % 150).alias("id"), (F.col("id") % 11).cast("double").alias("a"),
+                                   F.sin("id").alias("b"), (F.col("id") % 3).alias("c"), F.col("id").cast("double").alias("y"))
+    configs, borders = [S.PrepConfig("robust", "none"), S.PrepConfig("none", "none")], [-2 + 0.5 * i for i in range(9)]
+
+    def answers(per_row):
+        weights = [[(j + 1) * (i - 3.5) / 4 for i in range(8)] for j in range(2)]
+        models = [P.linear(weights, "id"), P.linear([w[:3] for w in weights], "id")]
+        models = models if per_row else [lambda t, r, m=m: m(t, r) for m in models]
+        bars = P.fit_regressor(rows, "id", ["a", "b"], "y", models[0], borders, n=2, configs=configs, options=PLAIN, target_transforms=(None,),
+                               before_softmax=before).predict(rows)
+        classes = P.fit_classifier(rows, "id", ["a", "b"], "c", models[1], n=4, configs=configs, options=PLAIN, before_softmax=before).predict_proba(rows)
+        for out in (bars, classes):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert (plan.count("Exchange") == 1 and "Aggregate" not in plan) == per_row
+        return [sorted(([r["id"], *np.ravel([np.ravel(r[c]) for c in out.columns if c not in ("id", "probs")]), *(r["probs"] if "probs" in out.columns else [])]
+                        for r in out.collect()), key=lambda r: (r[0] is None, r[0])) for out in (bars, classes)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        fast, plain = answers(True), answers(False)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for x, y in zip(fast, plain):
+        assert [r[0] for r in x] == [r[0] for r in y] and x[-1][0] is None
+        assert np.allclose(np.array([r[1:] for r in x], float), np.array([r[1:] for r in y], float), rtol=1e-9)
