@@ -131,6 +131,6 @@ def _(spark, sf):
 @query("a11_file_checksum", "SELECT page_id, sha1(html || chr(10)) AS sha1 FROM pages")
 def _(spark, sf):
     path = scratch_table(spark, "assets")
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)   # a file per page
+    S.write_assets(table(spark, sf, "pages").select("page_id", "html"), path, "page_id")   # a file per page
     sums = S.file_checksum(S.read_assets(spark, path, "*.txt"))
     return sums.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "sha1")

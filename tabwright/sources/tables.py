@@ -28,6 +28,20 @@ def read_assets(spark: SparkSession, path: str, glob: str = "*", recursive: bool
             .option("recursiveFileLookup", recursive).load(path))
 
 
+WRITES_A_CORE = 4     # tasks per core that write files, so that slow ones even out
+
+
+def write_assets(df: DataFrame, path: str, key: str) -> None:
+    """A text file per row below ``<key>=<value>``, from the other column.
+
+    A file costs the same whatever its size, so rows are dealt to all cores by key and not by
+    bytes; tasks move their own files into place, since one after the other takes the driver too long.
+    """
+    tasks = WRITES_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    (df.repartition(tasks, F.col(key)).write.partitionBy(key)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -126,3 +126,16 @@ def test_repeated_batch_counts_once(spark):
     got = {r["s"]: r for r in meter.values(spark, 1).collect()}
     assert got["a"]["median"] == 4.0 and got["a"]["max"] == 50.0 and math.isclose(got["a"]["global_avg"], 10.0)
     assert got["b"]["avg"] == 1.0
+
+
+def test_asset_files_are_written_by_all_cores(spark, tmp_path):
+    """One input split is dealt to many tasks; every row has its file, and the checksum is that of its bytes."""
+    import hashlib
+    import re
+    from tabwright.sources import tables as S
+    path = str(tmp_path / "assets")
+    S.write_assets(spark.range(64).coalesce(1).selectExpr("id", "concat('text ', id) AS text"), path, "id")
+    sums = {int(re.search(r"id=(\d+)", r["path"])[1]): (r["sha1"], re.search(r"part-(\d+)", r["path"])[1])
+            for r in S.file_checksum(S.read_assets(spark, path, "*.txt")).collect()}
+    assert {i: s for i, (s, _) in sums.items()} == {i: hashlib.sha1(f"text {i}\n".encode()).hexdigest() for i in range(64)}
+    assert len({task for _, task in sums.values()}) >= spark.sparkContext.defaultParallelism
