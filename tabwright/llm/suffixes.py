@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordered import null_safe_join
-from .common import Scratch, fresh, numbered, text_of
+from .common import Scratch, fresh, numbered, shuffles_dropped, text_of
 from .syncmers import BASE, _mixed, _rolling, anchors
 
 THRESHOLD = 100
@@ -195,7 +195,8 @@ def ranked(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, Dat
     driver to tell whether a run goes on across it.
     """
     ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    marked = scratch.keep(ordered.mapInArrow(_mark, SORTED), name)
+    with shuffles_dropped(rows.sparkSession):     # before the next round writes its own
+        marked = scratch.keep(ordered.mapInArrow(_mark, SORTED), name)
     ends = marked.where(F.col("kind").isin(FIRST, LAST)).select("part", "kind", "k1", "k2", "d", "q").collect()
     settled, before = [], None
     for r in sorted(ends, key=lambda r: (r["part"], r["kind"])):

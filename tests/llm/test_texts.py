@@ -6,6 +6,7 @@ import collections
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabwright.llm import components, packing, simhash, suffixes, syncmers, toxicity, warc
+from tabwright.llm.common import Scratch
 
 # ---- syncmers ----------------------------------------------------------------
 
@@ -232,6 +234,24 @@ def test_texts_without_repeats(spark):
     assert (got[2].text, got[2].n_chars, got[2].q) == ("xyz", 3, "j")
 
 
+def test_a_sorted_round_leaves_no_shuffle_files(spark):
+    """The next round writes its own; both at a time took more disk than the texts allow."""
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size())} if held.size() else set()
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, "".join(map(chr, rng.integers(97, 123, 3_000)))) for i in range(40)], "doc_id long, text string")
+    before = files()
+    marked, _ = suffixes.ranked(suffixes.families(docs.selectExpr("doc_id d", "cast(text as binary) data")),
+                                Scratch(spark), "families")
+    for _ in range(50):     # Spark drops them in the background
+        left = [f for f in files() - before if f.endswith(".data")]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and marked.isEmpty()
+
+
 # ---- toxicity ----------------------------------------------------------------
 
 
