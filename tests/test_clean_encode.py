@@ -242,3 +242,14 @@ def test_ngrams_look_at_few_words_at_a_time():
     assert [t for p in pieces for t in p.to_pylist()] == texts
     assert all(len(p.flatten()) <= 5 or len(p) == 1 for p in pieces)
     assert E._pieces(lists.slice(0, 0)) == []
+
+
+def test_copies_are_numbered_alike_in_one_window_or_many(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("x"))
+    mark = X.Fingerprint(["x"], 1)
+    monkeypatch.setattr(X, "hash_rank", None)     # a few copies need no ranks of prefixes
+    one = {r["k"]: r["fingerprint"] for r in mark.transform_train(df, "k").collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "COPIES_AT_ONCE", 20)
+    assert one == {r["k"]: r["fingerprint"] for r in mark.transform_train(df, "k").collect()}
+    assert len(set(one.values())) == 400

@@ -402,3 +402,16 @@ def test_power_profiles_are_merged_over_batches(spark, method):
         log = np.sign(x) * np.log1p(np.abs(x)) if method != "box-cox" else np.log(x)
         ll = -len(x) / 2 * np.log(y.var()) + (lam - 1) * log.sum()
         assert np.allclose(got[lam], (ll, y.mean(), y.std(), y.max()), rtol=1e-8)
+
+
+def test_many_knots_on_few_values_are_literals(spark, monkeypatch):
+    rows = spark.range(12_000).select((F.pmod(F.xxhash64("id"), F.lit(7)) * 1.5).alias("x"), F.rand(3).alias("y"))
+    probe = spark.createDataFrame([(v / 4, 0.5) for v in range(-4, 44)] + [(None, None)], "x double, y double")
+    fitted = R.fit_quantile(rows, ["x", "y"], lambda n: n // 2)
+    assert set(fitted.knots) == {"x"} and set(fitted.tables) == {"y"}
+    monkeypatch.setattr(R, "_few_knots", lambda df, tables: {})
+    joined = R.fit_quantile(rows, ["x", "y"], lambda n: n // 2)
+    assert set(joined.tables) == {"x", "y"}
+    key = lambda r: (r.x is not None, r.x)
+    got, want = (sorted(f.transform(probe).collect(), key=key) for f in (fitted, joined))
+    assert [r.x for r in got] == pytest.approx([r.x for r in want], abs=1e-12)
