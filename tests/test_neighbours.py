@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -220,3 +222,70 @@ def test_distance_sums_of_near_copies():
     plain = [[d[ga == i][:, gb == j].sum() for j in (0, 1)] for i in (0, 1)]
     assert np.allclose(E._distance_sums(a, b, ga, gb), plain, rtol=1e-12)
     assert abs(E._distance_sums(a[:1], np.repeat(a[:1], 5, axis=0), ga[:1] * 0, np.zeros(5, int))[0, 0]) == 0
+
+
+def peak_mb(fn, *args, **options):
+    """The result, and the MB that numpy and Python held at most beside what was there before."""
+    tracemalloc.start()
+    try:
+        out = fn(*args, **options)
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def shard_table(x, cell):
+    """A shard as Spark hands it over, in many parts, and its cells."""
+    some, size = np.unique(cell), np.linalg.norm(x, axis=1)
+    of = [np.flatnonzero(cell == c) for c in some]
+    centres = np.stack([x[rows].mean(axis=0) for rows in of])
+    cells = {"by": np.zeros(len(some), int), "cell": some, "last": np.array([rows[-1] for rows in of]),
+             "radius": np.array([np.linalg.norm(x[rows] - c, axis=1).max() for rows, c in zip(of, centres)]),
+             "longest": np.array([size[rows].max() for rows in of]), "shortest": np.array([size[rows].min() for rows in of])}
+    rows = pa.table({"key": np.arange(len(x)), "by": np.zeros(len(x), int), "tag": np.arange(len(x)) % 10, "cell": cell, "vec": N.lists(x)})
+    return pa.Table.from_batches(rows.to_batches(max_chunksize=1_000)), cells, centres
+
+
+def test_memory_does_not_grow_with_centres():
+    rng = np.random.default_rng(11)
+    x, centres = rng.normal(size=(4096, 16)), rng.normal(size=(2048, 16))
+    near, mb = peak_mb(N.closest, x, centres)
+    assert mb < 32 and near.tolist() == ((x[:, None, 0] * 0 + (centres * centres).sum(1) / 2) - x @ centres.T).argmin(axis=1).tolist()
+
+
+def test_memory_of_a_shard_and_of_a_chunk_of_queries_is_bounded():
+    """Wide vectors, large cells and many scores that are close: the shard is held once, a chunk needs little beside it."""
+    rng = np.random.default_rng(12)
+    x = units(1 + 0.3 * rng.normal(size=(12_000, 128)))
+    rows, cells, centres = shard_table(x, np.arange(12_000) % 3)
+    shard, mb = peak_mb(N.shard_of, rows, cells, centres)
+    assert mb < 1.5 * x.nbytes / 1e6
+    order = np.lexsort((np.arange(12_000), np.arange(12_000) % 3))
+    assert (shard["x"] == x[order]).all()
+    q = x[:1024]
+    s = np.round(q @ x.T, N.DIGITS)
+    need = np.partition(s, -600, axis=1)[:, -600]      # a weak first bound: 200 rows of each cell reach it
+    (i, place, score, _), mb = peak_mb(N.visit, q, np.arange(1024), need, shard, 25)
+    assert mb < 96
+    for row in range(0, 1024, 50):
+        best = np.lexsort((np.arange(12_000), -s[row]))[:25]
+        assert shard["keys"][place[i == row]].tolist() == best.tolist()
+
+
+@pytest.mark.parametrize("largest, exclude_self, after", [(True, False, False), (False, True, False), (True, False, True)])
+def test_first_needs_in_pieces(largest, exclude_self, after):
+    """The bound of every query from a sample is its k-th best score; few queries meet the sample at a time."""
+    rng = np.random.default_rng(13)
+    x, keys = rng.normal(size=(8192, 16)), rng.permutation(8192)
+    q, own = x[:1024], keys[:1024]
+    got, mb = peak_mb(N.first_needs, q, own, keys, x, 20, largest, exclude_self, after)
+    assert mb < 32
+    s = (1 if largest else -1) * (q @ x.T)
+    s[own[:, None] >= keys if after else (own[:, None] == keys) & exclude_self] = -np.inf
+    assert np.allclose(got, np.sort(s, axis=1)[:, -20], atol=1e-9)
+    assert np.isneginf(N.first_needs(q, own, keys[:19], x[:19], 20)).all()
+
+
+def test_small_groups_are_not_beside_a_part_of_a_large_one():
+    assert N.dealt([3, 3, 5, 6, 25, 4], 10, [0, 1, 2, 2, 3, 3]) == ([0, 0, 1, 2, 3, 6], [1, 1, 1, 1, 3, 1])
+    assert N.dealt([4, 4, 4], 10, [0, 0, 0]) == ([0, 0, 1], [1, 1, 1])
