@@ -139,3 +139,46 @@ def test_asset_files_are_written_by_all_cores(spark, tmp_path):
             for r in S.file_checksum(S.read_assets(spark, path, "*.txt")).collect()}
     assert {i: s for i, (s, _) in sums.items()} == {i: hashlib.sha1(f"text {i}\n".encode()).hexdigest() for i in range(64)}
     assert len({task for _, task in sums.values()}) >= spark.sparkContext.defaultParallelism
+
+
+def test_asset_files_are_those_of_sparks_writer_and_reader(spark, tmp_path):
+    """Files of shared, missing and odd keys, hidden and nested ones; the driver keeps no list of them."""
+    from tabwright.sources import tables as S
+    rows = [("a/b=c%d", "one"), ("a/b=c%d", "two\nlines"), (None, "lost"), ("", "empty"), ("plain", None), ("üñ [x]", ""), ("a b", "é")]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    S.write_assets(df, ours, "id")
+    df.repartition(1, "id").write.partitionBy("id").text(theirs)
+    spark_reads = lambda path: spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
+
+    def found(df, root):
+        lines = {}
+        for r in df.collect():      # a missing and an empty key may have a file each in one folder
+            lines.setdefault(r["path"].split(f"{root}/")[1].rsplit("/", 1)[0], set()).update(bytes(r["content"]).split(b"\n"))
+        return lines
+    files = S.read_assets(spark, ours, "*.txt")
+    assert found(files, "ours") == found(spark_reads(theirs), "theirs") and len(found(files, "ours")) == 5
+    assert files.inputFiles() == [] and not list((tmp_path / "ours").rglob("*.txt.crc")) and (tmp_path / "ours" / "_SUCCESS").exists()
+    for name in ("_hidden/a.txt", "_x=1/a.txt", ".b/a.txt", "deep/er/a.txt", "deep/a.csv", "deep/.a.txt", "deep/_a.txt", "deep/a.txt._COPYING_", "a.txt"):
+        (tmp_path / "ours" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "ours" / name).write_text(name)
+    for glob in ("*.txt", "*", "?.txt"):
+        plain = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(ours)
+        assert sorted(S.read_assets(spark, ours, glob).collect()) == sorted(plain.collect())
+    assert S.read_assets(spark, ours, "*").schema.simpleString() == plain.schema.simpleString()
+    with pytest.raises(FileExistsError):
+        S.write_assets(df, ours, "id")
+    with pytest.raises(ValueError, match="one text column"):
+        S.write_assets(spark.range(2), str(tmp_path / "other"), "id")
+
+
+def test_contents_of_large_files_come_few_at_a_time(tmp_path, monkeypatch):
+    from tabwright.sources import tables as S
+    monkeypatch.setattr(S, "CONTENT_BYTES", 100)
+    paths = []
+    for i, size in enumerate((10, 0, 95, 300, 1, 40)):
+        (tmp_path / f"{i}").write_bytes(bytes([i]) * size)
+        paths.append(f"file:{tmp_path}/{i}")
+    pieces = [p.to_pylist() for p in S._contents(paths)]
+    assert [len(p) for p in pieces] == [3, 1, 2] and [len(x) for p in pieces for x in p] == [10, 0, 95, 300, 1, 40]
+    assert [p.to_pylist() for p in S._contents([])] == [[]]
