@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordered import null_safe_join
-from .common import Scratch, fresh, numbered, shuffles_dropped, text_of
+from ..session import shuffles_dropped
+from .common import Scratch, fresh, numbered, text_of
 from .syncmers import BASE, _mixed, _rolling, anchors
 
 THRESHOLD = 100

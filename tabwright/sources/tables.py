@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..session import mounted_folder
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
                fmt: str = "csv", sep: str = ",", multi_line: bool = False) -> DataFrame:
@@ -35,20 +37,13 @@ CONTENT_BYTES = 8 << 20   # content of files in one batch, beside its last file
 ASSETS = "path string, modificationTime timestamp, length long"
 
 
-def _folder(spark: SparkSession, path: str) -> str | None:
-    """The path as the operating system names it; none in a store that only Spark reaches."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.makeQualified(target).toUri().getPath() if system.getUri().getScheme() == "file" else None
-
-
 def read_assets(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """Files as rows (path, modificationTime, length, content); content is read only if selected.
 
     Spark's reader keeps all files of all folders on the driver. In a folder that executors
     reach by name, one task lists the entries and all tasks look into them, when the result is run.
     """
-    folder = _folder(spark, path) if recursive and not re.search(r"[*?\[\]{},\\]", path) else None
+    folder = mounted_folder(spark, path) if recursive and not re.search(r"[*?\[\]{},\\]", path) else None
     if folder is None or re.search(r"[\[\]{}\\]", glob) or not path_exists(spark, path):
         return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                 .option("recursiveFileLookup", recursive).load(path))
@@ -128,7 +123,7 @@ def write_assets(df: DataFrame, path: str, key: str) -> None:
     """
     spark = df.sparkSession
     tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
-    folder, dealt = _folder(spark, path), df.repartition(tasks, F.col(key))
+    folder, dealt = mounted_folder(spark, path), df.repartition(tasks, F.col(key))
     if folder is None:   # tasks move their own files into place, since one after the other takes the driver too long
         dealt.write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
         return

@@ -253,3 +253,29 @@ def test_copies_are_numbered_alike_in_one_window_or_many(spark, monkeypatch):
     monkeypatch.setattr(X, "COPIES_AT_ONCE", 20)
     assert one == {r["k"]: r["fingerprint"] for r in mark.transform_train(df, "k").collect()}
     assert len(set(one.values())) == 400
+
+
+@pytest.mark.parametrize("at_once", [50_000, 20])
+def test_keys_of_any_kind_are_held_and_had_again(spark, monkeypatch, at_once):
+    """Hex digits of either case, odd lengths, other texts and missing keys number copies as whole rows do."""
+    monkeypatch.setattr(X, "COPIES_AT_ONCE", at_once)
+    texts = ["0aff", "0AFF", "abc", "", None, "zz", "ab c1", "00", "00 "] + [f"{i:032x}" for i in range(91)]
+    df = spark.createDataFrame([(k, float(i % 3 if i < 80 else i)) for i, k in enumerate(texts)], "k string, x double").repartition(3)
+    double = lambda d: d.withColumn("y", F.col("x") * 2)
+    mark = X.Fingerprint(["y"], 2)
+    got = mark.transform_train(df, "k", double)
+    whole = mark.transform_train(double(df), "k")
+    order = lambda d: sorted(map(str, d.select("k", "x", "y", "fingerprint").collect()))
+    assert got.columns == whole.columns and order(got) == order(whole) and len(set(order(got))) == 100
+    assert got.schema["k"].dataType == df.schema["k"].dataType
+    number = df.select(F.monotonically_increasing_id().alias("k"), "x").localCheckpoint()
+    assert order(mark.transform_train(number, "k", double)) == order(mark.transform_train(double(number), "k"))
+    assert "fingerprint" in mark.transform_train(df.where("false"), "k", double).columns
+
+
+def test_moved_rows_carry_no_prepared_columns(spark):
+    df = spark.range(100).select(F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 5).cast("double").alias("x"))
+    out = X.Fingerprint(["y0", "y1"], 2).transform_train(df, "k", lambda d: d.withColumns({"y0": F.col("x") + 0.1, "y1": F.sqrt("x")}))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):].splitlines()[1]
+    assert "y0" not in below.split("AS _row")[-1] and "_in_0" in below and plan.count("RepartitionByExpression") == 1

@@ -415,3 +415,44 @@ def test_many_knots_on_few_values_are_literals(spark, monkeypatch):
     key = lambda r: (r.x is not None, r.x)
     got, want = (sorted(f.transform(probe).collect(), key=key) for f in (fitted, joined))
     assert [r.x for r in got] == pytest.approx([r.x for r in want], abs=1e-12)
+
+
+def test_knots_in_files_give_the_joined_levels_without_moving_rows(spark, monkeypatch):
+    """Several files per column, values on, between and beyond knots; the joined map is the one before."""
+    monkeypatch.setattr(R, "INLINE_KNOTS", 10)
+    monkeypatch.setattr(R, "PIECE_KNOTS", 60)
+    rng = np.random.default_rng(4)
+    a, b = np.round(rng.normal(size=700), 2), np.exp(rng.normal(size=700))
+    a[::4] = 0.25
+    train = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.25, float(a.min()), float(a.max()), 1e-300]
+    asked = [*odd, *a.tolist(), *rng.normal(size=200).tolist()]
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(asked)], "i int, a double, b double")
+    for output in ("uniform", "normal"):
+        fitted = Fitted.from_json(R.fit_quantile(train, ["a", "b"], lambda n: n // 2, output).to_json())
+        assert set(fitted.tables) == {"a", "b"} and fitted.per_row
+        pieces, firsts = R._knot_pieces(fitted.tables["b"][5], fitted.tables["b"][1])
+        assert len(pieces) > 2 and (np.diff(firsts[:, 0]) > 0).all()
+        joined = R.KnotMap(fitted.knots, fitted.normal, {c: t[:5] for c, t in fitted.tables.items()})
+        assert not joined.per_row
+        out = fitted.transform(df)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        same = [tuple(r) for r in joined.transform(df).orderBy("i").collect()]
+        assert [repr(tuple(r)) for r in out.orderBy("i").collect()] == [repr(r) for r in same]
+
+
+def test_prepared_training_rows_are_not_written(spark, monkeypatch, tmp_path):
+    """Numbering copies moves the given columns and prepares rows again; values are those of rows prepared once."""
+    from tabwright.operators import features as X
+    monkeypatch.setattr(R, "INLINE_KNOTS", 10)
+    rows = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("key"), (F.col("id") % 70).cast("double").alias("x"),
+                                   (F.col("id") % 2).cast("double").alias("y")).repartition(3)
+    fitted = S.fit_features(rows, ["x", "y"], ["y"], S.PrepConfig("quantile_uni", "ordinal"), S.StepOptions(seed=1))
+    assert R.KnotMap in {type(s) for s in Chain(fitted.steps).steps} | {type(s) for step in fitted.steps for s in getattr(step, "steps", [])}
+    made = []
+    monkeypatch.setattr(S, "written", lambda df, name: made.append(name) or df)
+    got = fitted.select(rows, ["key"], "key")
+    plain = fitted.fingerprint.transform_train(Chain(fitted.steps).transform(rows), "key").select("key", *fitted.columns)
+    assert made == [] and sorted(got.collect()) == sorted(plain.collect())
+    monkeypatch.setattr(X, "COPIES_AT_ONCE", 3)
+    assert sorted(fitted.select(rows, ["key"], "key").collect()) == sorted(plain.collect())
