@@ -456,3 +456,36 @@ def test_prepared_training_rows_are_not_written(spark, monkeypatch, tmp_path):
     assert made == [] and sorted(got.collect()) == sorted(plain.collect())
     monkeypatch.setattr(X, "COPIES_AT_ONCE", 3)
     assert sorted(fitted.select(rows, ["key"], "key").collect()) == sorted(plain.collect())
+
+
+@pytest.mark.parametrize("at_once", [50_000, 5])
+def test_members_share_one_move_of_training_rows(spark, monkeypatch, at_once):
+    """Samples of repeated rows, in windows of a class or of its prefixes; rows are those of members moved one by one."""
+    from tabwright.operators import features as X
+    monkeypatch.setattr(X, "COPIES_AT_ONCE", at_once)
+    n = F.col("id") % 40
+    rows = spark.range(600).select(F.md5(F.col("id").cast("string")).alias("key"), F.when(n < 20, 3.0).otherwise(n).alias("x"),
+                                   F.when(n > 37, None).otherwise(n % 2).cast("double").alias("c"), (F.col("id") % 90).cast("double").alias("y"))
+    rows = rows.repartition(3).localCheckpoint()
+    members = G.plan_members("regression", 4, seed=2)
+    fitted = G.fit_ensemble(rows, "key", ["x", "c"], ["c"], members, "y", 0.5, 2)
+    moved = fitted.features(rows, "key", "y", train=True)
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    monkeypatch.setattr(G, "numbered_by_class", lambda *a: None)
+    monkeypatch.setattr(X, "numbered_by_class", lambda *a: None)
+    one_by_one = fitted.features(rows, "key", "y", train=True)
+    assert moved.columns == one_by_one.columns and sorted(map(str, moved.collect())) == sorted(map(str, one_by_one.collect()))
+
+
+def test_classes_that_are_prepared_alike_are_not_numbered_apart(spark):
+    """A map that joins different rows, or rows that mostly differ, leave copies to the prepared rows."""
+    from tabwright.operators import features as X
+    rows = spark.range(200).select(F.md5(F.col("id").cast("string")).alias("key"), (F.col("id") % 10).cast("double").alias("x"))
+    mark = X.Fingerprint(["h"], 1)
+    apart, alike = (lambda d: d.withColumn("h", F.col("x") * 2)), (lambda d: d.withColumn("h", F.floor(F.col("x") / 2)))
+    assert X.numbered_by_class(rows, "key", ["x"], [F.lit(True)], [(apart, mark)]) is not None
+    assert X.numbered_by_class(rows, "key", ["x"], [F.lit(True)], [(apart, mark), (alike, mark)]) is None
+    assert X.numbered_by_class(rows, "key", ["key"], [F.lit(True)], [(apart, mark)]) is None
+    numbered, back = X.numbered_by_class(rows, "key", ["x"], [F.lit(True)], [(apart, mark)])
+    got = mark.of_copy(apart(numbered.withColumns(back)), "_copy_0").select("key", "x", "fingerprint")
+    assert sorted(got.collect()) == sorted(mark.transform_train(apart(rows), "key").select("key", "x", "fingerprint").collect())
